@@ -38,16 +38,18 @@ def fingerprints(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
 def refine(prints: DataFrame) -> DataFrame:
     """Groups of two or more equal texts: n, head, digest, keep_id, keep_row, group_size.
 
-    Each level counts with map-side sums, so a group that holds a third of all rows is a few partial rows per task,
-    and only rows that survived a level take part in the next one.
+    Each level counts with map-side sums, and only rows that survived a level take part in the next one. The last level
+    sums by a salt first, so that a group with a third of all rows leaves the join evenly dealt.
     """
     again = lambda df, keys: df.groupBy(*keys).count().filter("count > 1").select(*keys)
     same_n = prints.join(again(prints, ["n"]), "n", "left_semi")
     same_head = same_n.join(again(same_n, ["n", "head"]), ["n", "head"], "left_semi")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    keys = ["n", "head", "digest"]
+    salted = same_head.withColumn("salt", F.pmod("row", F.lit(64))).repartition(*keys, "salt").groupBy(*keys, "salt")
     return (
-        same_head.groupBy("n", "head", "digest")
-        .agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
+        salted.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("rows"))
+        .groupBy(*keys)
+        .agg(F.min("first").alias("first"), F.sum("rows").alias("group_size"))
         .filter("group_size > 1")
         .select("n", "head", "digest", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size")
     )
