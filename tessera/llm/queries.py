@@ -36,6 +36,28 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_turns(format_turns(messages)))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.langid import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.lm_scoring import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
+    return score(docs, fit(docs, docs.join(good, "doc_id", "left_semi")))
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash import near_duplicates
 
@@ -49,7 +71,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_sharding, op4_chat, op7_packing, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_sharding, op4_chat, op5_langid, op6_ann, op7_packing, op9_simhash, op10_lm_scoring)}
 
 # The mix in one plain window per source; MD5 gives both engines the same u.
 _OP1 = r"""
