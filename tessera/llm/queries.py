@@ -58,6 +58,12 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash import near_duplicates
 
@@ -71,7 +77,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_sharding, op4_chat, op5_langid, op6_ann, op7_packing, op9_simhash, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_sharding, op4_chat, op5_langid, op6_ann, op7_packing, op8_line_dedup, op9_simhash, op10_lm_scoring)}
 
 # The mix in one plain window per source; MD5 gives both engines the same u.
 _OP1 = r"""
