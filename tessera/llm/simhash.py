@@ -242,6 +242,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, words: int
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     group = named.join(least, "root").select("node", "component_id")
     of = nodes.select("node", "rep").join(group, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+    of = materialize(of, "groups")  # so that both sides of the last join are plain shuffles, which Spark can split at hot fingerprints
     return prints.join(of, "node").select("doc_id", *cols, "component_id")
 
 
