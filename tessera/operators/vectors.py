@@ -30,7 +30,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine",
     nb, mb = max(1, math.ceil(n / ROWS), min(cores, math.ceil(n / 4096))), max(1, math.ceil(m / ASKED))
     each = lambda b: F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
     left = vectors.select("id", "ord", "embedding", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int").alias("vb")).withColumn("qb", each(mb))
-    right = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(mb)).cast("int").alias("qb")).withColumn("vb", each(nb))
+    right = queries.select(F.col("query_id").alias("query_id"), F.col("embedding").alias("asked"), F.pmod(F.xxhash64("query_id"), F.lit(mb)).cast("int").alias("qb")).withColumn("vb", each(nb))
     kinds = dict(queries.dtypes)["query_id"]
     schema = f"query_id {kinds}, id string, ord long, score double"
 
@@ -38,7 +38,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine",
         out: list[pa.Table] = []
         if block.num_rows and asked.num_rows:
             block = block.sort_by("ord")
-            x, q, ids = _matrix(block["embedding"]), _matrix(asked["embedding"]), block["id"].to_pylist()
+            x, q, ids = _matrix(block["embedding"]), _matrix(asked["asked"]), block["id"].to_pylist()
             names = asked["query_id"].to_pylist()
             for at in range(0, len(q), 64):
                 part = q[at : at + 64]

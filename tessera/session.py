@@ -8,6 +8,7 @@ import uuid
 import weakref
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _scratch: dict[str, weakref.ref] = {}
 
@@ -52,6 +53,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_below(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df with a broadcast hint if a count shows that it has at most `rows` (narrow) rows; as it is beyond that."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def release(paths: list[str] | None = None) -> None:
     """Remove written scratch tables, all of them by default."""
     for path in list(_scratch if paths is None else paths):
