@@ -120,7 +120,7 @@ def kappa(labels: DataFrame) -> DataFrame:
     rows, cols = shares.groupBy(F.col("a").alias("l")).agg(F.sum("p").alias("pa")), shares.groupBy(F.col("b").alias("l")).agg(F.sum("p").alias("pb"))
     chance = rows.join(cols, "l").agg(F.coalesce(F.sum(F.col("pa") * F.col("pb")), F.lit(0.0)).alias("e"))
     agree = shares.agg(F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("p"))), F.lit(0.0)).alias("agreement"))
-    return agree.join(F.broadcast(chance)).select("agreement", ((F.col("agreement") - F.col("e")) / (1 - F.col("e"))).alias("kappa"))
+    return agree.join(F.broadcast(chance)).select("agreement", F.try_divide(F.col("agreement") - F.col("e"), 1 - F.col("e")).alias("kappa"))
 
 
 def total_variation(counts: DataFrame) -> DataFrame:
@@ -130,3 +130,21 @@ def total_variation(counts: DataFrame) -> DataFrame:
     pairs = arms.alias("x").join(arms.alias("y"), F.col("x.arm") < F.col("y.arm")).select(F.col("x.arm").alias("a"), F.col("y.arm").alias("b"))
     sides = pairs.join(p.select(F.col("arm").alias("a"), "kind", "p"), "a").select("a", "b", "kind", "p").union(pairs.join(p.select(F.col("arm").alias("b"), "kind", (-F.col("p")).alias("p")), "b").select("a", "b", "kind", "p"))
     return sides.groupBy("a", "b", "kind").agg(F.abs(F.sum("p")).alias("d")).groupBy("a", "b").agg((F.sum("d") / 2).alias("tvd"))
+
+
+def bootstrap(df: DataFrame, keys: list[str], id_: str, value: str, resamples: int = 10_000, seed: int = 7) -> DataFrame:
+    """Mean and its percentile interval (2.5, 97.5) from Poisson resamples of the rows.
+
+    A row's count in a resample is Poisson(1) of a hash of (seed, resample, id), so the result is the same on every run; sums are
+    taken map-side for each resample, and no sample is written out.
+    """
+    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("_b"), F.col(id_)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    cdf, p, count = 0.0, 0.36787944117144233, F.lit(0)
+    for k in range(1, 8):
+        cdf += p
+        count = F.when(u >= cdf, k).otherwise(count)
+        p /= k
+    drawn = df.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_c", count)
+    means = drawn.groupBy(*keys, "_b").agg((F.sum(F.col("_c") * F.col(value)) / F.sum("_c")).alias("m"))
+    ends = means.groupBy(*keys).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    return df.groupBy(*keys).agg(F.avg(value).alias("mean")).join(ends, keys)
