@@ -65,7 +65,7 @@ def format_turns(messages: DataFrame, trained: tuple[str, ...] = ("assistant",))
     attachments lists (place, kind, ref, tokens); tokens counts all parts expanded. Each row is formatted on its own,
     so a conversation of any length is spread over tasks. Null roles are empty; unknown kinds count as documents.
     """
-    role = F.regexp_replace(escape(F.col("role")), "\n", "\\\\\\\\\n")
+    role = F.regexp_replace(escape(F.col("role")), "\n", "\\\\\n")
     head = F.concat(F.lit(OPEN), role, F.lit("\n"))
     flat = messages.withColumn("_flat", visit(F.col("parts"))).withColumn("_head", head)
     others = F.filter("parts", lambda p: F.coalesce(p["kind"], F.lit("text")) != "text")
