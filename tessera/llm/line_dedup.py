@@ -138,9 +138,10 @@ def line_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     position: Column = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
     firsts = materialize(lines.filter("line IS NOT NULL").groupBy("hash").agg(F.min(position).alias("first")), "firsts")
     chosen = materialize(contents(docs, firsts.join(near, "hash", "left_semi")), "chosen")
-    gone = firsts.join(earlier(chosen), "hash", "left").select(F.col("hash"), "first", F.col("partner").isNotNull().alias("late"))
+    gone = firsts.join(earlier(chosen), "hash", "left").select("hash", F.col("first.row").alias("first_row"), F.col("first.line").alias("first_line"), F.col("partner").isNotNull().alias("late"))
+    gone = materialize(gone, "gone")  # so that both sides of the next join are plain shuffles, which Spark can split at hot lines
     judged = lines.select("row", "doc_id", "line", "hash", "n").join(gone, "hash", "left")
-    out = F.col("line").isNotNull() & (F.col("late") | (F.col("first.row") != F.col("row")) | (F.col("first.line") != F.col("line")))
+    out = F.col("line").isNotNull() & (F.col("late") | (F.col("first_row") != F.col("row")) | (F.col("first_line") != F.col("line")))
     return (
         judged.withColumn("out", F.when(out, F.col("line")))
         .groupBy("row")
