@@ -33,6 +33,7 @@ class Params:
     tolerance_ratio: float = 0.0
     max_nodes: int | None = None
     blind: bool = False
+    frame: str | None = None
 
 
 def type_affinity(frame: str, node_type: Column) -> Column:
@@ -74,7 +75,13 @@ def seeds(queries: DataFrame, nodes: DataFrame, vectors: DataFrame, p: Params) -
     if not p.blind:
         half = max(1, p.seed_k // 2)
         slots = max(1, p.seed_k - half)
-        purpose = knn(queries.select("query_id", F.col("purpose_vec").alias("embedding")), vectors, slots)
+        purpose = knn(queries.select("query_id", F.col("purpose_vec").alias("embedding")), vectors, slots if p.frame is None else 4 * slots)
+        if p.frame is not None:  # a wider pool, ranked by the frame
+            kinds = nodes.select(F.col("node_id").alias("id"), "node_type")
+            gated = F.round(frame_score(F.round("score", 9), p.frame, F.col("node_type"), None), 9)
+            ranked = purpose.join(kinds, "id").withColumn("gated", gated)
+            ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("gated"), "ord")))
+            purpose = ranked.filter(F.col("place") <= slots)
         channels = channels.union(top.filter(F.col("place") <= half).select("query_id", "id", F.lit(0), "place")).union(purpose.select("query_id", "id", F.lit(1), "place"))
     first = channels.join(live, "id", "left_semi").groupBy("query_id", "id").agg(F.min(F.struct("channel", "place")).alias("at"))
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy("at"))
@@ -122,7 +129,15 @@ def retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: Da
     """
     steps = materialize(weighted_adjacency(edges, nodes, rows), "steps")
     purpose = queries.select("query_id", "purpose_vec")
-    scored = lambda df: df.join(vectors.select(F.col("id").alias("node_id"), "embedding"), "node_id", "left").join(purpose, "query_id").withColumn("ps", F.round(cosine(F.col("embedding"), F.col("purpose_vec")), 9)).drop("embedding", "purpose_vec")
+
+    def scored(df: DataFrame) -> DataFrame:
+        near = df.join(vectors.select(F.col("id").alias("node_id"), "embedding"), "node_id", "left").join(purpose, "query_id")
+        topic = F.round(cosine(F.col("embedding"), F.col("purpose_vec")), 9)
+        if p.frame is None:
+            return near.withColumn("ps", topic).drop("embedding", "purpose_vec")
+        gated = frame_score(topic, p.frame, F.col("node_type"), F.col("rel_type") if "rel_type" in df.columns else None)
+        return near.join(nodes.select("node_id", "node_type"), "node_id").withColumn("ps", F.round(gated, 9)).drop("embedding", "purpose_vec", "node_type")
+
     live = nodes.filter(~F.col("deprecated") & ~F.col("forgotten")).select("node_id", F.col("ord"))
     start = scored(seeds(queries, nodes, vectors, p))
     none = lambda t: F.lit(None).cast(t)

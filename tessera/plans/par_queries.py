@@ -9,6 +9,7 @@ from tessera.operators import par as P
 from tessera.operators import vectors as V
 from tessera.plans.graph_queries import ADJ_SQL, JUMP_SQL
 from tessera.sources import canonical as C
+from tessera.schema import FRAME_RELATIONS, FRAME_TYPES, jump_rows
 from tessera.sources.canonical import BASE_SQL
 
 QUERIES: dict = {}
@@ -85,7 +86,7 @@ def vector_log_replay(spark: SparkSession, sf: str) -> DataFrame:
     return V.replay(log).select("id", "value")
 
 
-def par_sql(hops: int = 5, k: int = 5, thr: float = 0.30, patience: int = 2, delta: float = 0.015, tol: float = 0.10, k_sigma: float | None = None, blind: bool = False) -> str:
+def par_sql(hops: int = 5, k: int = 5, thr: float = 0.30, patience: int = 2, delta: float = 0.015, tol: float = 0.10, k_sigma: float | None = None, blind: bool = False, frame: str | None = None, uniform: bool = False) -> str:
     """The unrolled twin of P.retrieve: CTEs seeds, hop0.., mean0.., and `hops`, `means`, `banded`."""
     half = max(1, k // 2)
     slots = max(1, k - half)
@@ -93,13 +94,21 @@ def par_sql(hops: int = 5, k: int = 5, thr: float = 0.30, patience: int = 2, del
     channels = f"SELECT query_id, node_id, 2 AS channel, place FROM tk WHERE place <= {k if blind else 2 * k}"
     if not blind:
         channels += f" UNION ALL SELECT query_id, node_id, 0, place FROM tk WHERE place <= {half} UNION ALL SELECT query_id, node_id, 1, place FROM pk WHERE place <= {slots}"
-    score = f"round({COS.format(a='n.v', b='q.pv')}, 9)"
+    topic = f"round({COS.format(a='n.v', b='q.pv')}, 9)"
+    seed_score = score = topic
+    if frame:
+        case = lambda col, prefs: f"CASE {col} " + " ".join(f"WHEN '{x}' THEN {v / max(prefs.values())!r}::DOUBLE" for x, v in prefs.items()) + " ELSE 0::DOUBLE END"
+        by_type, by_rel = f"(0.25::DOUBLE + 0.75::DOUBLE * {case('n.node_type', FRAME_TYPES[frame])})", f"(0.15::DOUBLE + 0.85::DOUBLE * {case('m.rel_type', FRAME_RELATIONS[frame])})"
+        seed_score = f"round({topic} * (0.55::DOUBLE + 0.35::DOUBLE * {by_type}) / (0.55::DOUBLE + 0.35::DOUBLE), 9)"
+        score = f"round({topic} * (0.55::DOUBLE + 0.35::DOUBLE * {by_type} + 0.10::DOUBLE * {by_rel}) / (0.55::DOUBLE + 0.35::DOUBLE + 0.10::DOUBLE), 9)"
+        wide = f"(SELECT * FROM {near('pv')} WHERE place <= {4 * slots})"
+        framed = f"(SELECT query_id, w.node_id, w.ord, row_number() OVER (PARTITION BY query_id ORDER BY {seed_score} DESC, w.ord) AS place FROM {wide} w JOIN asked q USING (query_id) JOIN nodes n ON n.node_id = w.node_id)"
     out = [
-        BASE_SQL, ADJ_SQL, JUMP_SQL, ASKED_SQL, f"tk AS {near('tv')}", f"pk AS {near('pv')}",
-        "steps AS MATERIALIZED (SELECT a.*, j.weight FROM adj a JOIN nodes n USING (node_id) JOIN jump j ON j.node_type = n.node_type AND j.rel_type = a.rel_type AND j.is_reverse = a.is_reverse WHERE weight > 0)",
+        BASE_SQL, ADJ_SQL, JUMP_SQL, ASKED_SQL, f"tk AS {near('tv')}", f"pk AS {framed if frame else near('pv')}",
+        "steps AS MATERIALIZED (SELECT a.*, j.weight FROM adj a JOIN nodes n USING (node_id) JOIN jump j ON j.node_type = n.node_type AND j.rel_type = a.rel_type AND j.is_reverse = a.is_reverse WHERE weight > 0)" if not uniform else "steps AS MATERIALIZED (SELECT a.*, 1.0::DOUBLE AS weight FROM adj a)",
         f"ch AS ({channels})",
         f"sd AS MATERIALIZED (SELECT * FROM (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY min((channel, place))) AS pos FROM ch JOIN active USING (node_id) GROUP BY query_id, node_id) WHERE pos <= {k})",
-        f"hop0 AS MATERIALIZED (SELECT sd.query_id, 0 AS hop, sd.node_id, NULL::VARCHAR AS parent, NULL::VARCHAR AS rel_type, NULL::BOOLEAN AS is_reverse, NULL::DOUBLE AS weight, {score} AS ps, {score} * 0.5 AS combined, pos FROM sd JOIN nodes n USING (node_id) JOIN asked q USING (query_id))",
+        f"hop0 AS MATERIALIZED (SELECT sd.query_id, 0 AS hop, sd.node_id, NULL::VARCHAR AS parent, NULL::VARCHAR AS rel_type, NULL::BOOLEAN AS is_reverse, NULL::DOUBLE AS weight, {seed_score} AS ps, {seed_score} * 0.5 AS combined, pos FROM sd JOIN nodes n USING (node_id) JOIN asked q USING (query_id))",
         "mean0 AS (SELECT query_id, 0 AS hop, avg(ps) AS mu FROM hop0 GROUP BY query_id)",
         "vis0 AS (SELECT query_id, node_id FROM hop0)",
         "st0 AS (SELECT query_id, NULL::DOUBLE AS peak, NULL::DOUBLE AS prev, false AS declining, 0 AS cnt, false AS found FROM asked)",
@@ -172,6 +181,22 @@ def par_blind(spark: SparkSession, sf: str) -> DataFrame:
     return P.result(hops, means, nodes).select("query_id", "node_id", "hop", r6("score"), "rank")
 
 
+@query(par_sql(thr=0.05, frame="plan") + HOPS)
+def par_framed(spark: SparkSession, sf: str) -> DataFrame:
+    """Retrieval under the plan frame: topic scores gated by type and relation."""
+    (hops, _), _ = _run(spark, sf, P.Params(threshold=0.05, frame="plan"))
+    return hops.select("query_id", "hop", "node_id", "parent", "rel_type", "is_reverse", "weight", r6("ps"), r6("combined"))
+
+
+@query(par_sql(thr=0.1, uniform=True) + HOPS)
+def par_uniform_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """The ablation with all step weights at 1."""
+    nodes = C.nodes(spark, sf)
+    ones = [(t, r, rev, 1.0) for t, r, rev, _ in jump_rows()]
+    hops, _ = P.retrieve(asked(spark, sf), nodes, C.edges(spark, sf), C.vectors(spark, sf), LOOSE, ones)
+    return hops.select("query_id", "hop", "node_id", "parent", "rel_type", "is_reverse", "weight", r6("ps"), r6("combined"))
+
+
 @query(par_sql(thr=0.1) + """SELECT query_id, node_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, node_id) AS p FROM banded) WHERE p <= 12""")
 def peak_band_collect(spark: SparkSession, sf: str) -> DataFrame:
     (hops, means), _ = _run(spark, sf, LOOSE)
@@ -220,8 +245,6 @@ def precision_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _frame_sql(frame: str) -> str:
-    from tessera.schema import FRAME_RELATIONS, FRAME_TYPES
-
     case = lambda col, prefs: f"CASE {col} " + " ".join(f"WHEN '{k}' THEN {v / max(prefs.values())!r}" for k, v in prefs.items()) + " ELSE 0 END"
     return f"SELECT '{frame}' AS frame, e.src, e.dst, round((0.55::DOUBLE + 0.35 * (0.25 + 0.75 * ({case('n.node_type', FRAME_TYPES[frame])})) + 0.10 * (0.15 + 0.85 * ({case('e.rel_type', FRAME_RELATIONS[frame])})))::DOUBLE, 6) AS gate FROM edges e JOIN nodes n ON n.node_id = e.dst"
 
