@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.graph import jump_weight, with_reverse
 from tessera.schema import MUTUAL, RELATIONS
+from tessera.session import materialize
 
 
 def edge_reject_reason(proposed: DataFrame, nodes: DataFrame, existing: DataFrame | None = None, check_weight: bool = True) -> DataFrame:
@@ -30,10 +31,17 @@ def edge_reject_reason(proposed: DataFrame, nodes: DataFrame, existing: DataFram
 
 
 def next_ids(nodes: DataFrame, new: DataFrame, order: str) -> DataFrame:
-    """New rows with node_id n<k>, k counting on from the largest numeric suffix in use."""
-    top = nodes.agg(F.coalesce(F.max(F.regexp_extract("node_id", r"^n(\d+)$", 1).try_cast("long")), F.lit(0)).alias("top"))
-    place = F.row_number().over(Window.orderBy(order))
-    return new.withColumn("_k", place).join(F.broadcast(top)).withColumn("node_id", F.concat(F.lit("n"), F.col("top") + F.col("_k"))).drop("_k", "top")
+    """New rows with node_id n<k>, k counting on from the largest numeric suffix in use.
+
+    Rows are dealt by ranges of the order and numbered within their range; the ranges' prefix counts are added.
+    """
+    top = nodes.agg(F.coalesce(F.max(F.regexp_extract("node_id", r"^n(\d+)$", 1).try_cast("long")), F.lit(0)).alias("top")).first()["top"]
+    dealt = materialize(new.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "new")
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = dealt.groupBy("_part").count().withColumn("_before", before).drop("count")  # a row for each range
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    numbered = dealt.withColumn("_k", place).join(F.broadcast(offsets), "_part")
+    return numbered.withColumn("node_id", F.concat(F.lit("n"), F.lit(top) + F.col("_before") + F.col("_k"))).drop("_part", "_before", "_k")
 
 
 def resolve_ids(edge_ops: DataFrame, mapping: DataFrame) -> DataFrame:

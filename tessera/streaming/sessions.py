@@ -51,3 +51,38 @@ def upsert_batches(target: str):
         df.write.mode("overwrite").parquet(f"{target}/batch={batch}")
 
     return write
+
+
+def stream_flushes(rounds: DataFrame, idle_seconds: int = 90, batch: int = 6, late: str = "1 minute") -> DataFrame:
+    """conv_id, rounds, reason of a stream (conv_id, text, ts): what a conversation's buffer holds when it is flushed, for its size
+    or because event time passed its last round by the idle time.
+
+    The buffer is counted, not kept: state is a count and a time for each conversation, and goes when it is idle.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        held, last = state.get if state.exists else (0, 0)
+        if state.hasTimedOut:
+            if held:
+                out.append((key[0], held, "idle"))
+            state.remove()
+        else:
+            for at in sorted(t.value // 1000 for part in parts for t in part["ts"]):
+                if held and at - last > idle_seconds * 1_000_000:
+                    out.append((key[0], held, "idle"))
+                    held = 0
+                held, last = held + 1, max(last, at)
+                if held >= batch:
+                    out.append((key[0], held, "size"))
+                    held = 0
+            state.update((held, last))
+            state.setTimeoutTimestamp(max(last // 1000 + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["conv_id", "rounds", "reason"])
+
+    grouped = rounds.withWatermark("ts", late).groupBy("conv_id")
+    return grouped.applyInPandasWithState(run, "conv_id string, rounds long, reason string", "held long, last long", "append", GroupStateTimeout.EventTimeTimeout)

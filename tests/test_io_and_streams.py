@@ -106,3 +106,27 @@ def test_statistics(spark):
     assert nearest_rank(x, ["g"], "v", {"p": 0.5, "q": 0.9}).first()[1:] == (3, 4)  # 1.5 rounds to the even 2, 2.7 to 3
     s = spark.createDataFrame([(0.9, True), (0.5, True), (0.5, False), (0.1, False)], "score double, positive boolean").withColumn("g", F.lit(0))
     assert auc(s, ["g"]).first()["auc"] == 0.875
+
+
+def test_stateful_flushes(spark, tmp_path):
+    ddl = "conv_id string, text string, ts timestamp"
+    first = [("a", "x", at(s)) for s in (0, 1, 2, 3, 4, 5, 6)] + [("b", "x", at(0)), ("b", "x", at(200))]
+    spark.createDataFrame(first, ddl).coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = S.stream_flushes(spark.readStream.schema(ddl).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("flushes").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        q.processAllAvailable()
+        spark.createDataFrame([("c", "x", at(5000))], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+        spark.createDataFrame([("c", "x", at(5001))], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {(r["conv_id"], r["rounds"], r["reason"]) for r in spark.table("flushes").collect()}
+    assert {("a", 6, "size"), ("a", 1, "idle"), ("b", 1, "idle")} <= got
+
+
+def test_greedy_match(spark):
+    from tessera.operators.experiments import greedy_match
+
+    pairs = spark.createDataFrame([("g", "a", "x", 0.9), ("g", "a", "y", 0.95), ("g", "b", "y", 0.9), ("g", "b", "x", 0.8), ("g", "c", "z", 0.7)], "g string, a string, b string, score double")
+    assert {(r["a"], r["b"]) for r in greedy_match(pairs, "g").collect()} == {("a", "y"), ("b", "x")}
