@@ -27,7 +27,7 @@ def clear_names(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: Column, totals: DataFrame) -> DataFrame:
-    """Adds `before`: the sum of value over all rows of the same keys that come earlier by (bucket, order).
+    """Adds `_before`: the sum of value over all rows of the same keys that come earlier by (bucket, order).
 
     totals has keys, bucket, bucket_total and what else is to be added: a bounded number of buckets per key. Each (keys, bucket) is a task's
     own small window and the buckets' prefix sums are added, so a key with a third of all rows is no one task's work.
@@ -37,4 +37,4 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], va
     offsets = totals.withColumn("_offset", F.coalesce(F.sum("bucket_total").over(by_key), F.lit(0))).drop("bucket_total")
     own = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     numbered = df.withColumn("_within", F.coalesce(F.sum(value).over(own), F.lit(0)))
-    return numbered.join(offsets, [*keys, bucket]).withColumn("before", F.col("_offset") + F.col("_within")).drop("_offset", "_within")
+    return numbered.join(offsets, [*keys, bucket]).withColumn("_before", F.col("_offset") + F.col("_within")).drop("_offset", "_within")

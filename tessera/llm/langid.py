@@ -134,8 +134,8 @@ def fit(docs: DataFrame, top: int = TOP, sample: int = SAMPLE, orders: tuple[int
     return Filters.build({lang: g["gram"].to_numpy().view(np.uint64) for lang, g in rows.groupby("lang")}, orders)
 
 
-def identify(docs: DataFrame, filters: Filters) -> DataFrame:
-    """docs with lang_pred and score. Only the text goes to Python; null, empty and letterless texts are `und` with score 0.
+def identify(docs: DataFrame, filters: Filters, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred and score, or columns of the given names. Only the text goes to Python; null, empty and letterless texts are `und` with score 0.
 
     Columns of those names in the input are replaced; ties, repeated rows and empty tables need no care.
     """
@@ -144,5 +144,5 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     def decide(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([filters.decide(t) for t in text], columns=["lang_pred", "score"])
 
-    found = docs.drop("lang_pred", "score").withColumn("_decided", decide("text"))
-    return found.select("*", "_decided.lang_pred", "_decided.score").drop("_decided")
+    found = docs.drop(*names).withColumn("_decided", decide("text"))
+    return found.select("*", F.col("_decided.lang_pred").alias(names[0]), F.col("_decided.score").alias(names[1])).drop("_decided")

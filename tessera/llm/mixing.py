@@ -19,20 +19,20 @@ def quality(size: Column, text: Column) -> Column:
 
 
 def budgets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """Targets by source from (source_key, source_size): weight shares of the budget, none above cap times its size.
+    """Targets by source from (_source_key, source_size): weight shares of the budget, none above cap times its size.
 
     Sources in key order weigh as `weights`, repeating. Sorted by cap/weight, the capped sources come first: each of
     them is above what is left shared by the weights left; the first that is not sets the level for the rest. The
     window runs over one row per source.
     """
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy("source_key")))
+    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy("_source_key")))
     weighed = ranked.select(
-        "source_key",
+        "_source_key",
         "source_size",
         F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int")).alias("w"),
         (F.col("source_size") * cap).alias("most"),
     )
-    order = Window.orderBy(F.col("most") / F.col("w"), "source_key")
+    order = Window.orderBy(F.col("most") / F.col("w"), "_source_key")
     earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     levels = weighed.select(
@@ -42,7 +42,7 @@ def budgets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     )
     free = F.when(F.col("most") > F.col("level") * F.col("w"), F.struct("place", "level"))
     level = F.min(free).over(everything)["level"]
-    return levels.select("source_key", "source_size", F.least("most", F.coalesce(level * F.col("w"), F.col("most"))).alias("target"))
+    return levels.select("_source_key", "source_size", F.least("most", F.coalesce(level * F.col("w"), F.col("most"))).alias("target"))
 
 
 def mix(
@@ -68,19 +68,19 @@ def mix(
     given = F.col("_weight") if weight is not None else quality(F.col("size"), F.col("text"))
     keyed = clear_names(docs.withColumn("_weight", weight) if weight is not None else docs, ADDED).withColumn("size", size)
     keyed = (
-        keyed.withColumn("source_key", F.when(F.col("source").isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), "source")))
+        keyed.withColumn("_source_key", F.when(F.col("source").isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), "source")))
         .withColumn("_key", -F.log(uniform(F.col("doc_id"))) / F.when(given > 1e-6, given).otherwise(F.lit(1e-6)))
         .withColumn("_bucket", F.floor((1.0 - F.exp(-F.col("_key"))) * buckets).cast("int"))
     )
-    totals = materialize(keyed.groupBy("source_key", "_bucket").agg(F.sum("size").alias("bucket_total")), "mix")
-    plan = budgets(totals.groupBy("source_key").agg(F.sum("bucket_total").alias("source_size")), weights, share, cap)
+    totals = materialize(keyed.groupBy("_source_key", "_bucket").agg(F.sum("size").alias("bucket_total")), "mix")
+    plan = budgets(totals.groupBy("_source_key").agg(F.sum("bucket_total").alias("source_size")), weights, share, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    extra = F.col("before") + F.col("size") / 2.0 <= F.col("target") - F.col("epochs") * F.col("source_size")
+    extra = F.col("_before") + F.col("size") / 2.0 <= F.col("target") - F.col("_epochs") * F.col("source_size")
     order = [F.col("_key"), F.col("doc_id"), F.col("size")]
     return (
-        running(keyed, ["source_key"], "_bucket", order, F.col("size"), totals.join(plan, "source_key"))
-        .withColumn("epochs", epochs.cast("long"))
-        .withColumn("copies", F.col("epochs") + F.when((F.col("size") > 0) & extra, 1).otherwise(0))
+        running(keyed, ["_source_key"], "_bucket", order, F.col("size"), totals.join(plan, "_source_key"))
+        .withColumn("_epochs", epochs.cast("long"))
+        .withColumn("copies", F.col("_epochs") + F.when((F.col("size") > 0) & extra, 1).otherwise(0))
         .withColumn("taken", F.col("size") * F.col("copies"))
         .select(*[c for c in clear_names(docs, ADDED).columns], *ADDED)
     )
@@ -88,5 +88,6 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document repeated as often as it is taken, with the columns of the input."""
-    chosen = mix(docs, **options).filter("copies > 0")
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("_document"), "doc_id", "text", "source")  # names that mix adds stay as they are
+    chosen = mix(whole, **options).filter("copies > 0").select("_document", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
+    return chosen.select("_document.*")

@@ -105,13 +105,13 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, tokens: int = TOKENS, length:
     sizes = totals.groupBy("bucket").agg(F.sum("bucket_total").alias("bucket_rows"))
     room = F.greatest(F.floor(F.lit(tokens) / F.greatest("padded", F.lit(1))), F.lit(1)).cast("long")
     numbered = running(dealt, ["bucket"], "salt", [F.col("doc_id"), F.col("length")], F.lit(1), totals.join(sizes, "bucket"))
-    batch = F.floor(F.col("before") / room)
+    batch = F.floor(F.col("_before") / room)
     return numbered.select(
         "doc_id",
         F.col("length").alias("n_tokens"),
         "bucket",
         "padded",
         batch.alias("batch"),
-        (F.col("before") % room).cast("long").alias("slot"),
+        (F.col("_before") % room).cast("long").alias("slot"),
         F.least(room, F.col("bucket_rows") - batch * room).cast("long").alias("batch_rows"),
     )

@@ -121,5 +121,5 @@ def shard(docs: DataFrame, shards: int = SHARDS, block_bits: int = BLOCK_BITS) -
     )
     totals = placed.groupBy("shard", "salt").agg(F.count(F.lit(1)).alias("bucket_total"))
     return running(placed, ["shard"], "salt", [F.col("doc_id"), F.col("size"), F.col("text_crc32")], F.lit(1), totals).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("before").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("_before").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

@@ -38,7 +38,7 @@ def empty(spark):
 
 @pytest.fixture
 def clash(docs):
-    names = "size source_size target taken copies shard slot keep_id kept score lang_pred n bucket batch row line hash before rank component_id"
+    names = "size source_size target taken copies shard slot keep_id kept score lang_pred n bucket batch row line hash before rank component_id epochs source_key digest"
     return docs.withColumns({c: F.lit("x") for c in names.split()})
 
 
@@ -82,6 +82,7 @@ def test_stages(spark, docs, empty, clash, k):
         out = stage(spark, d, "")
         if k < 4:
             assert out.columns == d.columns, name
+            assert {x for c in set(d.columns) - set(DOCS.replace(" long", "").replace(" string", "").split(", ")) for r in out.select(c).distinct().collect() for x in r} <= {"x"}, name
         assert (out.count() > 0) == (d is not empty), name
 
 
