@@ -16,6 +16,7 @@ WORD_SHARE = 1e-6
 PAIR_SHARE = 1e-6
 WEIGHT = 0.7
 ADD = 1.0
+PIECE = 2_000
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -23,16 +24,23 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most PIECE texts, so that a worker's counts stay small; Spark sums them before the shuffle."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE):
+            yield batch.slice(at, PIECE)
+
+
 def _texts(batch: pa.RecordBatch, column: int = 0) -> Iterator[bytes | None]:
     for t in batch.column(column).cast(pa.binary()):
         yield t.as_py()
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """word BINARY, n: counts over all texts. Each batch is counted in Python, then summed by Spark."""
+    """word BINARY, n: counts over all texts. Pieces are counted in Python, then summed by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             seen: Counter = Counter()
             for t in _texts(batch):
                 seen.update(words(t))
@@ -60,7 +68,7 @@ def count_pairs(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """pair, n: counts of adjacent words that are both in the vocabulary, over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             found = [np.zeros(0, dtype=np.int64)]
             for t in _texts(batch):
                 ids = vocabulary.encode(t)
