@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import weakref
@@ -36,7 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
-        known = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        known = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
 
