@@ -38,10 +38,10 @@ def fingerprints(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
 def refine(prints: DataFrame) -> DataFrame:
     """Groups of two or more equal texts: n, head, digest, keep_id, keep_row, group_size.
 
-    Each level counts with map-side sums, and only rows that survived a level take part in the next one. The last level
-    sums by a salt first, so that a group with a third of all rows leaves the join evenly dealt.
+    Each level counts with map-side sums, and only rows that survived a level take part in the next one. Survivors' keys are
+    written, so that the joins with them have plain shuffles, which Spark can split at hot keys. The last level sums by a salt first, so that a group with a third of all rows leaves the join evenly dealt.
     """
-    again = lambda df, keys: df.groupBy(*keys).count().filter("count > 1").select(*keys)
+    again = lambda df, keys: materialize(df.groupBy(*keys).count().filter("count > 1").select(*keys), "again")
     same_n = prints.join(again(prints, ["n"]), "n", "left_semi")
     same_head = same_n.join(again(same_n, ["n", "head"]), ["n", "head"], "left_semi")
     keys = ["n", "head", "digest"]
@@ -64,7 +64,7 @@ def exact_dedup(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """
     prints = fingerprints(docs, prefix)
     keys = ["n", "head", "digest"]
-    return prints.join(refine(prints), keys, "left").select(
+    return prints.join(materialize(refine(prints), "groups"), keys, "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
