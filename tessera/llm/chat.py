@@ -86,7 +86,7 @@ def read_turns(formatted: DataFrame) -> DataFrame:
 
     Only the columns formatted and loss are looked at. Placeholders stay in the text as they are; conv_id and turn pass.
     """
-    whole = r"(?s)^### ((?:\\.|[^\\\n])*)\n(.*)</turn>\n$"
+    whole = r"(?s)^### ((?:\\.|[^\\\n])*+)\n(.*)</turn>\n$"
     masked = F.array_join(F.transform("loss", lambda r: unescape(F.substring(F.col("formatted"), r["start"] + 1, r["length"]))), "")
     return formatted.select(
         "conv_id",
