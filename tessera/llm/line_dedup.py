@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from tessera.session import materialize
 
 LEAST = 5
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def signed_hash(words: list[bytes], *more: int) -> int:
@@ -40,6 +43,21 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
     return short[at + (len(short) == len(long)) :] == long[at + 1 :]
 
 
+def variants(words: list[bytes]) -> np.ndarray:
+    """Signed hashes of the line without each of its words in turn, then of the whole line, in time linear in its words.
+
+    A line's hash is the sum of its words' hashes times BASE to the power of their place, modulo 2^64: without word i
+    the words before it keep their places and those after it move by one.
+    """
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    with np.errstate(over="ignore"):
+        terms = h * np.cumprod(np.full(len(h), BASE, dtype=np.uint64))
+        upto = np.cumsum(terms, dtype=np.uint64)
+        total = upto[-1:]
+        less = upto - terms + (total - upto) * np.uint64(INVERSE)
+    return np.concatenate([less, total]).view(np.int64)
+
+
 def scan(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """row, doc_id, line, hash, n, keys: a row for each line with a word, and one with null line for each document.
 
@@ -82,18 +100,14 @@ def contents(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def deletions(chosen: DataFrame) -> DataFrame:
-    """hash, first, less, at, n: for each word of each line the hash of the line without it."""
+    """hash, first, less, at, n: for each word of each line the hash of the line without it; at = n is the whole line."""
 
     @F.pandas_udf("array<long>")
-    def less(content: pd.Series) -> pd.Series:
-        def all_of(c: str) -> list[int]:
-            words = c.encode().split()
-            return [signed_hash(words[:i] + words[i + 1 :]) for i in range(len(words))]
-
-        return content.map(all_of)
+    def every(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: variants(c.encode().split()))
 
-    held = chosen.select("hash", "first", less("content").alias("every"))
-    return held.select("hash", "first", F.size("every").alias("n"), F.posexplode("every").alias("at", "less"))
+    held = chosen.select("hash", "first", every("content").alias("every"))
+    return held.select("hash", "first", (F.size("every") - 1).alias("n"), F.posexplode("every").alias("at", "less"))
 
 
 def earlier(chosen: DataFrame) -> DataFrame:
@@ -103,14 +117,15 @@ def earlier(chosen: DataFrame) -> DataFrame:
     the partner of the rest. A deletion that is a whole line joins the two, either of which may be the earlier. No
     group's pairs are formed: a deletion meets its group's minimum and at most one line.
     """
-    variants = materialize(deletions(chosen), "deletions")
+    emitted = materialize(deletions(chosen), "deletions")
+    shorter_by_one = emitted.filter("at < n")
     best = F.min(F.struct("first", "hash"))
-    groups = variants.groupBy("less", "at", "n").agg(best.alias("best"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
-    replaced = variants.join(groups, ["less", "at", "n"]).filter("best.hash <> hash").select("hash", F.col("best.first").alias("first"), F.col("best.hash").alias("partner"))
-    whole = chosen.select(F.col("hash").alias("less"), F.col("first").alias("whole_first"))
-    met = materialize(variants.select("hash", "first", "less").join(whole, "less"), "met")
-    shorter = met.filter("whole_first < first").select("hash", F.col("whole_first").alias("first"), F.col("less").alias("partner"))
-    longer = met.filter("first < whole_first").select(F.col("less").alias("hash"), "first", F.col("hash").alias("partner"))
+    groups = shorter_by_one.groupBy("less", "at", "n").agg(best.alias("best"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
+    replaced = shorter_by_one.join(groups, ["less", "at", "n"]).filter("best.hash <> hash").select("hash", F.col("best.first").alias("first"), F.col("best.hash").alias("partner"))
+    whole = emitted.filter("at = n").select("less", F.col("hash").alias("whole_hash"), F.col("first").alias("whole_first"))
+    met = materialize(shorter_by_one.select("hash", "first", "less").join(whole, "less"), "met")
+    shorter = met.filter("whole_first < first").select("hash", F.col("whole_first").alias("first"), F.col("whole_hash").alias("partner"))
+    longer = met.filter("first < whole_first").select(F.col("whole_hash").alias("hash"), "first", F.col("hash").alias("partner"))
     linked = replaced.union(shorter).union(longer).groupBy("hash").agg(F.min(F.struct("first", "partner")).alias("to"))
     pairs = linked.select("hash", F.col("to.partner").alias("partner"))
 

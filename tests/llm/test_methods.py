@@ -190,6 +190,24 @@ def test_line_dedup(spark):
     assert kept[0] == "\n".join(x for k, x in enumerate(docs[0][1].split("\n")) if k not in want[0])
 
 
+def test_variants_are_hashes_of_the_shortened_lines():
+    from tessera.llm.line_dedup import variants
+
+    words = [b"w%d" % (k * k % 7) for k in range(30)]
+    found = variants(words).tolist()
+    assert found == [variants(words[:k] + words[k + 1 :])[-1] for k in range(30)] + [variants(words)[-1]]
+    assert variants(words[::-1])[-1] != found[-1] and len(variants([b"one"])) == 2
+
+
+def test_very_long_lines(spark):
+    from tessera.llm.line_dedup import line_dedup
+
+    words = [f"w{k % 997}" for k in range(200_000)]
+    docs = [" ".join(words), " ".join(words[:7] + words[8:]), " ".join([*words[:9], "x", *words[10:]]), " ".join(words[::-1])]
+    got = line_dedup(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_dropped"] for r in got} == {0: 0, 1: 1, 2: 1, 3: 0}
+
+
 @pytest.mark.parametrize("a, b, near", [("a b c", "a b c", True), ("a b c", "a x c", True), ("a b c", "a c", True), ("a b c", "x a b c", True), ("a b c", "b a c", False), ("a", "", True), ("a b", "", False), ("a b c", "a x c d", False)])
 def test_within_one(a, b, near):
     from tessera.llm.line_dedup import within_one
@@ -269,6 +287,9 @@ def test_chat_round_trip(spark):
     assert [(a["kind"], a["ref"], a["tokens"]) for a in r["attachments"]] == [("image", "s3://i", 3), ("audio", "a.wav", 25), ("document", "d.pdf", 3072)]
     assert r["tokens"] == 2 + 3 + 1 + 25 + 3072 and out[1, 0]["loss"] == [] and out[2, 0]["tokens"] == 0
     back = {(x["conv_id"], x["turn"]): x for x in read_turns(format_turns(m)).collect()}
+    role = "r\\\\\n" * 500 + "r" * 20_000
+    long = spark.createDataFrame([(3, 0, role, parts)], m.schema)
+    assert read_turns(format_turns(long)).first()["role"] == role
     assert back[1, 1]["text"] == "see \\<|x <|image:0|> and <|audio:1|><|document:2|>" and back[1, 1]["learned"] == "see \\<|x  and "
 
 
