@@ -16,6 +16,7 @@ from tessera.session import materialize
 LEAST = 5
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+BLOOM_BITS = 1 << 27
 
 
 def signed_hash(words: list[bytes], *more: int) -> int:
@@ -86,17 +87,50 @@ def scan(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return numbered.mapInArrow(run, f"row long, doc_id {kind}, line int, hash long, n int, keys array<long>")
 
 
+def bloom(hashes: DataFrame) -> np.ndarray:
+    """A Bloom filter with two bits for each hash, built on Spark; whatever the table, it has BLOOM_BITS bits (16 MB)."""
+    bit = [F.col("hash"), F.shiftrightunsigned("hash", 32)]
+    at = hashes.select(F.explode(F.array(*[b.bitwiseAND(F.lit(BLOOM_BITS - 1)) for b in bit])).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 63 AS INT)))").alias("bits")).toPandas()
+    out = np.zeros(BLOOM_BITS // 64, dtype=np.uint64)
+    out[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
+
+
+def may_hold(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    held = np.ones(len(hashes), dtype=bool)
+    for h in (hashes.view(np.uint64), hashes.view(np.uint64) >> np.uint64(32)):
+        at = (h & np.uint64(BLOOM_BITS - 1)).astype(np.int64)
+        held &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return held
+
+
 def contents(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """hash, first, content of the lines whose first occurrence (first.doc_id, first.line) is asked for."""
-    text = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
-    asked = firsts.select("hash", "first", F.col("first.doc_id").alias("_doc"), F.col("first.line").alias("_line"))
-    found = text.join(asked, (F.col("line") == F.col("_line")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    """hash, first, content of the lines whose first occurrence (first.doc_id, first.line) is asked for.
 
-    @F.pandas_udf("long")
-    def again(content: pd.Series) -> pd.Series:  # where a doc_id stands for several texts, only one line is the one meant
-        return content.map(lambda c: signed_hash(c.encode().split())).astype("int64")
+    A second scan hashes the lines again and passes on those that a Bloom filter of fixed size may hold; the join decides.
+    So the other lines' texts are not shuffled; a filter too full to help costs only what no filter would.
+    """
+    kind, shared = dict(docs.dtypes)["doc_id"], docs.sparkSession.sparkContext.broadcast(bloom(firsts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                lines = text.as_py().split(b"\n") if text.is_valid else []
+                full = [(at, w) for at, w in enumerate(map(bytes.split, lines)) if w]
+                hashes = np.array([signed_hash(w) for _, w in full], dtype=np.int64)
+                for k in np.flatnonzero(may_hold(words, hashes)).tolist():
+                    for column, value in zip(out, (doc, full[k][0], hashes[k], lines[full[k][0]]), strict=True):
+                        column.append(value)
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["_doc", "_line", "_hash", "content"])
 
-    return found.filter(again("content") == F.col("hash")).select("hash", "first", "content").dropDuplicates(["hash"])
+    found = docs.select("doc_id", "text").mapInArrow(run, f"_doc {kind}, _line int, _hash long, content string")
+    place = F.col("_doc").eqNullSafe(F.col("first.doc_id")) & (F.col("_line") == F.col("first.line"))  # keys too: a hot line is dealt by document
+    met = found.join(firsts.select("hash", "first"), (F.col("_hash") == F.col("hash")) & place)
+    return met.select("hash", "first", "content").dropDuplicates(["hash"])
 
 
 def deletions(chosen: DataFrame) -> DataFrame:
@@ -152,7 +186,8 @@ def line_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     near = keyed.join(shared, "key", "left_semi").select("hash").distinct()
     position: Column = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
     firsts = materialize(lines.filter("line IS NOT NULL").groupBy("hash").agg(F.min(position).alias("first")), "firsts")
-    chosen = materialize(contents(docs, firsts.join(near, "hash", "left_semi")), "chosen")
+    asked = materialize(firsts.join(near, "hash", "left_semi"), "asked")
+    chosen = materialize(contents(docs, asked), "chosen")
     gone = firsts.join(earlier(chosen), "hash", "left").select("hash", F.col("first.row").alias("first_row"), F.col("first.line").alias("first_line"), F.col("partner").isNotNull().alias("late"))
     gone = materialize(gone, "gone")  # so that both sides of the next join are plain shuffles, which Spark can split at hot lines
     judged = lines.select("row", "doc_id", "line", "hash", "n").join(gone, "hash", "left")
