@@ -151,7 +151,7 @@ class Forest:
             query, node = np.repeat(query, n), self.children[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
         return np.concatenate([q for q, _ in found]), np.concatenate([x for _, x in found])
 
-    def labels(self, radius: int, pairs: int = 2_000_000) -> np.ndarray:
+    def labels(self, radius: int, pairs: int = 200_000) -> np.ndarray:
         """For each row the smallest row that it reaches by links within the radius, in its bucket.
 
         Links between a child and its parent come free with the tree. Two rows that already share the bucket's largest
