@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import materialize
 
-WORD_SHARE = 1e-6
-PAIR_SHARE = 1e-6
 WEIGHT = 0.7
 ADD = 1.0
 PIECE = 2_000
+SEED = 42
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -24,6 +25,19 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """XXH64 of every word, as signed numbers; words are told apart by these 64 bits."""
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(w, SEED) for w in words(text)], dtype=np.uint64).view(np.int64)
+
+
+def _distinct(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of v and w, and how often each occurs."""
+    code = v.view(np.uint64) * MIX + w.view(np.uint64)
+    _, first, n = np.unique(code, return_index=True, return_counts=True)
+    return v[first], w[first], n
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of at most PIECE texts, so that a worker's counts stay small; Spark sums them before the shuffle."""
     for batch in batches:
@@ -37,51 +51,74 @@ def _texts(batch: pa.RecordBatch, column: int = 0) -> Iterator[bytes | None]:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """word BINARY, n: counts over all texts. Pieces are counted in Python, then summed by Spark."""
+    """w, n, followed: of each word of the texts, how often it occurs and how often a word follows. Sums of pieces, not yet added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
-            seen: Counter = Counter()
-            for t in _texts(batch):
-                seen.update(words(t))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            found = [word_hashes(t) for t in _texts(batch)]
+            ids = np.concatenate([np.zeros(0, dtype=np.int64), *found])
+            inner = np.ones(len(ids))
+            inner[np.cumsum([len(f) for f in found if len(f)], dtype=np.int64) - 1] = 0
+            w, place, n = np.unique(ids, return_inverse=True, return_counts=True)
+            followed = np.bincount(place, weights=inner, minlength=len(w)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n.astype(np.int64)), pa.array(followed)], ["w", "n", "followed"])
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "w long, n long, followed long")
 
 
-class Vocabulary:
-    """Words with ids from 1, sorted; id 0 is every other word."""
-
-    def __init__(self, known: list[bytes]):
-        self.ids = {w: k for k, w in enumerate(sorted(known), 1)}
-        self.size = len(known) + 1
+def count_pairs(docs: DataFrame) -> DataFrame:
+    """v, w, n: counts of adjacent words of the texts. Sums of pieces, not yet added."""
 
-    def encode(self, text: bytes | None) -> np.ndarray:
-        get = self.ids.get
-        return np.array([get(w, 0) for w in words(text)], dtype=np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            found = [word_hashes(t) for t in _texts(batch)]
+            none = np.zeros(0, dtype=np.int64)
+            v, w, n = _distinct(np.concatenate([none, *[f[:-1] for f in found]]), np.concatenate([none, *[f[1:] for f in found]]))
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(w), pa.array(n.astype(np.int64))], ["v", "w", "n"])
 
-    def pairs(self, ids: np.ndarray) -> np.ndarray:
-        return ids[:-1] * self.size + ids[1:]
+    return docs.select("text").mapInArrow(run, "v long, w long, n long")
 
 
-def count_pairs(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """pair, n: counts of adjacent words that are both in the vocabulary, over all texts."""
+def document_pairs(docs: DataFrame) -> DataFrame:
+    """row, doc_id, v, w, n: the distinct pairs of each document; its first word has a null v, a wordless document one row with n = 0."""
+    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
-            found = [np.zeros(0, dtype=np.int64)]
-            for t in _texts(batch):
-                ids = vocabulary.encode(t)
-                both = (ids[:-1] > 0) & (ids[1:] > 0)
-                found.append(vocabulary.pairs(ids)[both])
-            code, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["pair", "n"])
+        for batch in _slices(batches):
+            at, vs, ws, ns, first = [], [], [], [], []
+            for k, t in enumerate(_texts(batch, 2)):
+                ids = word_hashes(t)
+                v, w, n = _distinct(ids[:-1], ids[1:])
+                vs += [np.zeros(1, dtype=np.int64), v]
+                ws += [ids[:1] if len(ids) else np.array([k], dtype=np.int64), w]
+                ns += [np.array([min(len(ids), 1)]), n]
+                first += [np.ones(1, dtype=bool), np.zeros(len(v), dtype=bool)]
+                at.append(np.full(len(v) + 1, k))
+            if at:
+                place = pa.array(np.concatenate(at))
+                v = pa.array(np.concatenate(vs), mask=np.concatenate(first))
+                cols = [batch.column(0).take(place), batch.column(1).take(place), v, pa.array(np.concatenate(ws)), pa.array(np.concatenate(ns).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "v", "w", "n"])
+
+    def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                yield batch.slice(at, 200)
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return numbered.mapInArrow(run, f"row long, doc_id {kind}, v long, w long, n long")
 
-    return docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+class Vocabulary:
+    """Words with ids from 1, sorted; id 0 is every other word."""
+
+    def __init__(self, known: list):
+        self.ids = {w: k for k, w in enumerate(sorted(known), 1)}
+        self.size = len(known) + 1
 
 
 class Model:
-    """P(w | v) = WEIGHT * c(v, w) / c(v) + left(v) * P(w), with add-one P(w) and left(v) what kept pairs of v leave of 1.
+    """P(w | v) = WEIGHT * c(v, w) / c(v) + left(v) * P(w), with add-one P(w) and left(v) what the pairs of v leave of 1.
 
     pairs is sorted and the same for matched models; so is the vocabulary."""
 
@@ -92,81 +129,100 @@ class Model:
         self.pair = np.where(given > 0, counts / np.maximum(given, 1), 0.0)
         self.left = 1 - WEIGHT * np.bincount(pairs // size, weights=self.pair, minlength=size)
 
-    def loss(self, ids: np.ndarray, at: np.ndarray, hit: np.ndarray) -> np.ndarray:
-        """Negative log probability of each token; at and hit say where its pair with the token before it stands."""
-        p = self.single[ids]
-        seen = np.where(hit, self.pair[at], 0.0) if len(self.pair) else np.zeros(len(at))
-        p[1:] = WEIGHT * seen + self.left[ids[:-1]] * p[1:]
-        return -np.log(p)
-
 
 class Scorer:
-    def __init__(self, vocabulary: Vocabulary, pairs: np.ndarray, target: Model, background: Model):
-        self.vocabulary, self.pairs, self.target, self.background = vocabulary, pairs, target, background
-
-    def score(self, text: bytes | None) -> tuple[int, float | None, float | None, float | None]:
-        """Tokens, mean target and background loss of a token, and their difference; null where there is no token."""
-        ids = self.vocabulary.encode(text)
-        if not len(ids):
-            return 0, None, None, None
-        code = self.vocabulary.pairs(ids)
-        at = np.minimum(np.searchsorted(self.pairs, code), max(len(self.pairs) - 1, 0))
-        hit = self.pairs[at] == code if len(self.pairs) else np.zeros(len(code), dtype=bool)
-        own, other = self.target.loss(ids, at, hit), self.background.loss(ids, at, hit)
-        return len(ids), float(own.mean()), float(other.mean()), float((own - other).mean())
-
-
-def fit(background: DataFrame, target: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> Scorer:
+    """Both models as tables: words (w, t, b, ft, fb) and pairs (v, w, t, b), counts in target and background; ft, fb: followed.
+
+    vocabulary, pairs, target and background are the same as arrays, gathered when first asked for: only for small corpora.
+    """
+
+    def __init__(self, word_table: DataFrame, pair_table: DataFrame):
+        self.word_table, self.pair_table = word_table, pair_table
+        size, t, b = word_table.agg(F.count(F.lit(1)), F.sum("t"), F.sum("b")).first()
+        self.size, self.total = size + 1, {"t": t or 0, "b": b or 0}
+
+    def single(self, side: str) -> Column:
+        """P(w) from the count column of w, which is null for a word of neither corpus."""
+        return (F.coalesce(F.col(f"w{side}"), F.lit(0)) + ADD) / (self.total[side] + ADD * self.size)
+
+    def losses(self, pairs: DataFrame) -> DataFrame:
+        """code, lt, lb: negative log probabilities of w after v for pairs (v, w, t, b)."""
+        table = self.word_table
+        given = table.select(F.col("w").alias("v"), F.col("t").alias("vt"), F.col("b").alias("vb"), "ft", "fb")
+        wanted = table.select("w", F.col("t").alias("wt"), F.col("b").alias("wb"))
+
+        def loss(side: str) -> Column:
+            seen = F.coalesce(F.try_divide(F.col(side), F.col(f"v{side}")), F.lit(0.0))
+            left = 1 - WEIGHT * F.coalesce(F.try_divide(F.col(f"f{side}"), F.col(f"v{side}")), F.lit(0.0))
+            return -F.log(WEIGHT * seen + left * self.single(side))
+
+        # sort-merge joins: neither table is sent to every task, and adaptive execution splits frequent words
+        joined = pairs.join(given.hint("merge"), "v", "left").join(wanted.hint("merge"), "w", "left")
+        return joined.select(F.xxhash64("v", "w").alias("code"), loss("t").alias("lt"), loss("b").alias("lb"))
+
+    def first_losses(self) -> DataFrame:
+        """code, lt, lb of every word that starts a text."""
+        counts = self.word_table.select("w", F.col("t").alias("wt"), F.col("b").alias("wb"))
+        return counts.select(F.xxhash64(F.lit(None).cast("long"), "w").alias("code"), (-F.log(self.single("t"))).alias("lt"), (-F.log(self.single("b"))).alias("lb"))
+
+    @cached_property
+    def vocabulary(self) -> Vocabulary:
+        return Vocabulary([r["w"] for r in self.word_table.select("w").collect()])
+
+    @cached_property
+    def _arrays(self) -> tuple[np.ndarray, Model, Model]:
+        ids, size = self.vocabulary.ids, self.vocabulary.size
+        rows = sorted((ids[r["v"]] * size + ids[r["w"]], r["t"], r["b"]) for r in self.pair_table.collect())
+        code, *counts = np.array(rows, dtype=np.int64).reshape(-1, 3).T
+        singles = np.zeros((2, size))
+        for r in self.word_table.collect():
+            singles[:, ids[r["w"]]] = r["t"], r["b"]
+        return code, Model(singles[0], code, counts[0]), Model(singles[1], code, counts[1])
+
+    pairs = property(lambda self: self._arrays[0])
+    target = property(lambda self: self._arrays[1])
+    background = property(lambda self: self._arrays[2])
+
+
+def fit(background: DataFrame, target: DataFrame) -> Scorer:
     """Matched models: counts over all of both corpora, one vocabulary, one list of pairs, one smoothing.
 
-    Counts cover every text. A word or pair gets a parameter of its own if it has at least its share of all background
-    tokens; there are at most 1/share of these whatever the corpus, which bounds the driver and the model that tasks get.
-    A pair with its share has two such words, so pairs of other words need no count. All other tokens are one word.
+    Every word and every pair of adjacent words of either corpus has a parameter, whatever the size of either; so the
+    tables grow with the corpora. They stay tables: no count but the totals passes through the driver or a broadcast.
     """
-    everything = materialize(count_words(background), "words")
-    total = everything.agg(F.sum("n")).first()[0] or 0
-    frequent = everything.filter(F.col("n") >= word_share * total).orderBy("word").toPandas()
-    vocabulary = Vocabulary([bytes(w) for w in frequent["word"]])
-
-    def singles(counts: dict[bytes, int], tokens: int) -> np.ndarray:
-        out = np.zeros(vocabulary.size)
-        for w, n in counts.items():
-            out[vocabulary.ids[w]] = n
-        out[0] = tokens - out.sum()
-        return out
-
-    wanted = F.broadcast(everything.filter(F.col("n") >= word_share * total).select("word"))  # at most 1 / word_share rows
-    own = materialize(count_words(target), "target")
-    own_total = own.agg(F.sum("n")).first()[0] or 0
-    own_words = own.join(wanted, "word", "left_semi").toPandas()
-
-    pairs = count_pairs(background, vocabulary).filter(F.col("n") >= pair_share * total).orderBy("pair").toPandas()
-    code = pairs["pair"].to_numpy(dtype=np.int64)
-    kept = background.sparkSession.createDataFrame(pairs[["pair"]]) if len(code) else None
-    count = np.zeros(len(code))
-    if kept is not None:
-        mine = count_pairs(target, vocabulary).join(F.broadcast(kept), "pair", "left_semi").toPandas()
-        count[np.searchsorted(code, mine["pair"].to_numpy(dtype=np.int64))] = mine["n"].to_numpy()
-    all_singles = singles({bytes(w): n for w, n in zip(frequent["word"], frequent["n"], strict=True)}, total)
-    own_singles = singles({bytes(w): n for w, n in zip(own_words["word"], own_words["n"], strict=True)}, own_total)
-    return Scorer(vocabulary, code, Model(own_singles, code, count), Model(all_singles, code, pairs["n"].to_numpy(dtype=np.float64)))
+
+    def both(count, sums: list[str]) -> DataFrame:
+        own = count(target).select("*", F.lit(True).alias("mine"))
+        return own.union(count(background).select("*", F.lit(False).alias("mine"))).groupBy(*sums)
+
+    def side(name: str, mine: bool, alias: str) -> Column:
+        return F.sum(F.when(F.col("mine") == mine, F.col(name)).otherwise(0)).alias(alias)
+
+    found = both(count_words, ["w"]).agg(side("n", True, "t"), side("n", False, "b"), side("followed", True, "ft"), side("followed", False, "fb"))
+    pairs = both(count_pairs, ["v", "w"]).agg(side("n", True, "t"), side("n", False, "b"))
+    return Scorer(materialize(found, "words"), materialize(pairs, "pairs"))
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score (mean per-token loss difference; lower is nearer the target).
 
     Every document is scored over its whole text; null, empty and wordless texts have no tokens and null losses. Repeated
-    rows are rows of their own; other columns are not read.
+    rows are rows of their own; other columns are not read. The documents' distinct pairs meet the losses of the pairs in
+    a join, and sums per document are added map-side before they meet. Pairs of neither corpus are looked up by their words.
     """
-    kind = dict(docs.dtypes)["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            rows = [model.score(t) for t in _texts(batch, 1)]
-            n, own, other, diff = zip(*rows, strict=True) if rows else ((), (), (), ())
-            cols = [pa.array(n, pa.int64()), *[pa.array(c, pa.float64()) for c in (own, other, diff)]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    coded = document_pairs(docs).select("row", "doc_id", F.xxhash64("v", "w").alias("code"), "n")
+    other = {s: -F.log(F.lit(ADD / (scorer.total[s] + ADD * scorer.size))) for s in "tb"}
+
+    def sums(table: DataFrame) -> DataFrame:
+        met = coded.join(table.hint("merge"), "code", "left")
+        cost = [F.sum(F.col("n") * F.coalesce(f"l{s}", other[s])).alias(s) for s in "tb"]  # not met in the end: an unknown first word
+        return met.groupBy("row", "doc_id").agg(F.sum("n").alias("n"), *cost, F.count_if((F.col("n") > 0) & F.col("lt").isNull()).alias("unmet"))
+
+    known = scorer.losses(scorer.pair_table).union(scorer.first_losses())
+    out = materialize(sums(known), "sums")
+    if not out.filter("unmet > 0").isEmpty():
+        own = document_pairs(docs).filter("v IS NOT NULL").select("v", "w").distinct()
+        unseen = own.join(scorer.pair_table.select("v", "w").hint("merge"), ["v", "w"], "left_anti")
+        out = materialize(sums(known.union(scorer.losses(unseen.select("v", "w", F.lit(0).alias("t"), F.lit(0).alias("b"))))), "sums")
+    mean = {s: F.try_divide(F.col(s), F.col("n")) for s in "tb"}
+    return out.select("doc_id", F.col("n").alias("n_tokens"), mean["t"].alias("target_loss"), mean["b"].alias("background_loss"), (mean["t"] - mean["b"]).alias("score"))

@@ -275,6 +275,46 @@ def test_bigram_models(spark, docs):
     assert isinstance(Vocabulary([b"x"]), Vocabulary) and isinstance(scorer.target, Model)
 
 
+def test_every_word_and_pair_has_a_parameter(spark):
+    import tessera.llm.lm_scoring as L
+
+    rng = random.Random(8)
+    vocab = [f"w{k}" for k in range(30)]
+    base = [(k, " ".join(rng.choices(vocab, k=rng.randint(1, 40)))) for k in range(60)]
+    base += [(100, "many " * 1_100_000), (101, "rare pair once")]  # over a million tokens: one of them is below a share of 1e-6
+    own = base[:7] + [(200, "target only words"), (201, "only words")]
+    other = [(300, "unknown w1 w2 stranger w3 pair rare"), (301, "w29 w0 w29"), (302, ""), (303, "target only pair once"), (303, "w1")]
+    back, target, docs = (spark.createDataFrame(x, "doc_id long, text string") for x in (base, own, base[:9] + other))
+
+    def counts(rows):
+        w, p = defaultdict(int), defaultdict(int)
+        for _, t in rows:
+            s = t.split()
+            for x in s:
+                w[x] += 1
+            for x in zip(s, s[1:], strict=False):
+                p[x] += 1
+        return w, p, sum(w.values())
+
+    sides = counts(own), counts(base)
+    size = len({*sides[0][0], *sides[1][0]}) + 1
+
+    def loss(text, side):
+        w, p, n = side
+        s, out = text.split(), []
+        for k, x in enumerate(s):
+            single = (w.get(x, 0) + 1) / (n + size)
+            v = s[k - 1]
+            follow = sum(c for (a, _), c in p.items() if a == v)
+            c = w.get(v, 0)
+            out.append(-np.log(single if not k else 0.7 * p.get((v, x), 0) / max(c, 1) + (1 - 0.7 * follow / max(c, 1)) * single))
+        return float(np.mean(out)) if s else None
+
+    got = sorted((r["doc_id"], r["n_tokens"], r["target_loss"] or 0, r["background_loss"] or 0) for r in L.score(docs, L.fit(back, target)).collect())
+    want = sorted((d, len(t.split()), loss(t, sides[0]) or 0, loss(t, sides[1]) or 0) for d, t in base[:9] + other)
+    assert np.allclose(got, want)
+
+
 def test_chat_round_trip(spark):
     from tessera.llm.chat import PART_DDL, format_turns, read_turns
 
