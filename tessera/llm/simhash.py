@@ -86,15 +86,16 @@ def lossless_masks(count: int, radius: int = 4) -> list[list[int]]:
     return [[sum(c)] for c in combinations(block, blocks - radius)]
 
 
-def sampled_masks(count: int, words: int, agree: float = 0.845, least: float = 0.95) -> list[list[int]]:
+def sampled_masks(count: int, words: int, radius: int, least: float = 0.99) -> list[list[int]]:
     """Masks of random bits, for radii at which no lossless choice is small enough.
 
-    Each has about log2(count) - 3 bits, so that a bucket keeps its size as the table grows, and there are as many as find a
-    pair whose bits agree with probability `agree` with probability `least`. Texts that share 0.8 of their five-word shingles
-    agree in 0.85 of their bits (measured), so nearly all such pairs meet; closer ones meet in several tables.
+    Each has about log2(count) - 8 bits, so that some hundreds of unrelated rows share a key however large the table. There
+    are as many as find a pair that differs in the whole radius with probability `least`, at any count; so their number grows
+    with about the cube root of the rows at 52 of 256 bits. Closer pairs meet in several tables.
     """
-    bits = max(10, math.ceil(math.log2(max(count, 2))) - 3)
-    tables = math.ceil(math.log(1 - least) / math.log(1 - agree**bits))
+    bits = max(10, math.ceil(math.log2(max(count, 2))) - 8)
+    meet = math.comb(64 * words - radius, bits) / math.comb(64 * words, bits)
+    tables = math.ceil(math.log(1 - least) / math.log(1 - meet))
     rng = np.random.default_rng(7)
     masks = []
     for _ in range(tables):
@@ -236,7 +237,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, words: int
     prints = materialize(fingerprints(docs, width, words).withColumn("node", node), "prints")
     nodes = materialize(prints.groupBy("node", *cols).agg(F.min("doc_id").alias("rep")), "nodes")
     count = nodes.count()
-    masks = lossless_masks(count, radius) if words == 1 and radius <= 8 else sampled_masks(count, words)
+    masks = lossless_masks(count, radius) if words == 1 and radius <= 8 else sampled_masks(count, words, radius)
     stars = components(materialize(links(nodes, masks, radius), "links"))
     member = stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(stars.select("v", "v").distinct())
     named = member.join(nodes.select("node", "rep"), "node")

@@ -162,6 +162,32 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     assert set(range(60)) <= left and len(left - set(range(60))) <= 1
 
 
+@pytest.mark.parametrize("count", [1_000, 90_000, 5_600_000])
+def test_sampled_masks_find_pairs_at_the_radius(count):
+    from tessera.llm.simhash import sampled_masks
+
+    rng = np.random.default_rng(11)
+    keys = [sum(m << (64 * k) for k, m in enumerate(mask)) for mask in sampled_masks(count, 4, 52)]
+    differ = [sum(1 << int(b) for b in rng.choice(256, 52, replace=False)) for _ in range(1000)]
+    assert sum(any(not d & key for key in keys) for d in differ) >= 975
+
+
+@pytest.mark.parametrize("others", [100, 2_000])
+def test_near_copies_at_the_threshold_are_found(spark, others):
+    from tessera.llm.simhash import representatives
+
+    rng = random.Random(12)
+    vocab = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
+    clean = [[rng.choice(vocab) for _ in range(304)] for _ in range(others)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(clean)]
+    for i, w in enumerate(clean[:100]):
+        near = list(w)
+        near[40:70] = [rng.choice(vocab) for _ in range(30)]  # 266 of 300 shingles stay: a similarity of 0.8 of all in either
+        rows.append((10_000 + i, " ".join(near)))
+    left = {r["doc_id"] for r in representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(others)) <= left and len(left) - others <= 3
+
+
 def test_line_dedup(spark):
     from tessera.llm.line_dedup import drop_lines, line_dedup, within_one
 
