@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.evalstats import jaccard
+from tessera.session import materialize
 
 
 def pairwise_jaccard(sets: DataFrame, group: str, member: str, both_empty: float = 0.0) -> DataFrame:
@@ -69,20 +69,26 @@ def fact_hits(facts: DataFrame, answers: DataFrame, key: str) -> DataFrame:
 def greedy_match(pairs: DataFrame, group: str, threshold: float = 0.75) -> DataFrame:
     """group, a, b, score: pairs (group, a, b, score) taken by falling score, then a and b, each side once per group.
 
-    Only pairs at the threshold or above are sent; a group is one comparison of two small lists and one task's work.
+    Only pairs at the threshold or above are read. Each round takes the pairs that are the best of both their sides, which
+    are those that one pass in order would take, and drops what these use. Rounds are written to the shared folder; there
+    are as many as the longest run of pairs that wait for one another, so equal scores throughout make many.
     """
-
-    def take(part: pd.DataFrame) -> pd.DataFrame:
-        left, right, rows = set(), set(), []
-        for r in part.sort_values(["score", "a", "b"], ascending=[False, True, True]).itertuples(index=False):
-            if r.a not in left and r.b not in right:
-                left.add(r.a)
-                right.add(r.b)
-                rows.append(r)
-        return pd.DataFrame(rows, columns=part.columns)
-
-    rows = pairs.filter(F.col("score") >= threshold).select(group, "a", "b", "score")
-    return rows.groupBy(group).applyInPandas(take, rows.schema)
+    cols = [group, "a", "b", "score"]
+    rest = materialize(pairs.filter(F.col("score") >= threshold).select(*cols), "pairs")
+    taken = rest.limit(0)
+
+    def best(side: str, other: str) -> DataFrame:
+        first = F.min(F.struct((-F.col("score")).alias("s"), other))
+        return rest.groupBy(group, side).agg(first.alias("m")).select(group, side, F.col(f"m.{other}").alias(other), (-F.col("m.s")).alias("score")).select(*cols)
+
+    while not rest.isEmpty():
+        mutual = materialize(best("a", "b").intersect(best("b", "a")), "matched")
+        taken = taken.union(mutual)
+        for side in "ab":
+            used = mutual.select(F.col(group).alias("_group"), F.col(side).alias("_used"))
+            rest = rest.join(used, F.col(group).eqNullSafe(F.col("_group")) & F.col(side).eqNullSafe(F.col("_used")), "left_anti")
+        rest = materialize(rest, "pairs")
+    return taken
 
 
 def tau_sweep(scored: DataFrame, taus: list[float]) -> DataFrame:

@@ -146,3 +146,20 @@ def test_temporal_lookup(spark):
         by[r["query_id"]].add((r["node_id"], r["mode"]))
     assert by == {1: {("th1", "exact")}, 2: {("th2", "fuzzy")}, 3: {(None, "rejected")}, 4: {("th1", "fallback"), ("th2", "fallback")}}
     assert [(r["fact_id"], r["time_consistent"]) for r in facts.filter("query_id = 1").orderBy("place").collect()] == [("f1", True), ("f2", False)]
+
+
+def test_greedy_match_in_rounds(spark):
+    import random
+
+    from tessera.operators.experiments import greedy_match
+
+    rng = random.Random(9)
+    rows = [(g, f"a{rng.randrange(9)}", f"b{rng.randrange(9)}", rng.randrange(10) / 10) for g in (0, 1, None) for _ in range(40)]
+    want, used = [], set()
+    for g, a, b, s in sorted(rows, key=lambda r: (-r[3], r[1], r[2])):
+        if s >= 0.3 and not {(g, a), (g, b)} & used:
+            used |= {(g, a), (g, b)}
+            want.append((g, a, b, s))
+    got = greedy_match(spark.createDataFrame(rows, "g int, a string, b string, score double"), "g", 0.3)
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
+    assert "InPandas" not in got._jdf.queryExecution().toString()  # no group is one task's work
