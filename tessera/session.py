@@ -7,11 +7,15 @@ import shutil
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _scratch: dict[str, weakref.ref] = {}
+_local: dict[str, str] = {}
+#: Spark's switch for removing a query's shuffle files as soon as the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
@@ -34,31 +38,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local folder, on a single machine only (tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
+    if known:
+        return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if "at" not in _local:
         folder = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        known = f"file://{folder}"
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
+        _local["at"] = f"file://{folder}"
+    return _local["at"]
+
+
+@contextmanager
+def _cleanup(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, shuffle files go when their query ends; the session's own choice holds again afterwards."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, keeps Parquet pruning.
 
-    The files are removed when the application ends.
+    The shuffles that made it are removed at once, the files when the application ends or at discard().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    with _cleanup(spark):
+        df.write.parquet(path)
     _scratch[path] = weakref.ref(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch_path = path
+    return back
 
 
-def broadcast_below(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """df with a broadcast hint if a count shows that it has at most `rows` (narrow) rows; as it is beyond that."""
-    return F.broadcast(df) if df.count() <= rows else df
+def discard(*written: DataFrame) -> None:
+    """Remove tables of materialize() that nothing needs any more."""
+    release([df._scratch_path for df in written])
 
 
 def release(paths: list[str] | None = None) -> None:
