@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import has_answer_instruction
+
 # Patterns of question forms.
 TEMPORAL = r"(?i)^\s*(when|how long|how many (days?|weeks?|months?|years?|hours?|minutes?|times?)\b|what time|what date|how much time|since when|as of when|when did)\b"
 YEAR = r"\b(1[89]\d{2}|20\d{2})\b"
@@ -15,16 +17,40 @@ DATE_WORD = (
 NEGATION = r"(?i)\b(not|never|no|none|without|cannot|can't|don't|doesn't|didn't)\b"
 HEAD = r"(?i)^\s*(what|which|who|whom|whose|when|where|why|how|is|are|was|were|do|does|did|can|could|should|would|will)\b"
 WORD = r"[A-Za-z][A-Za-z'\-]*"
-ANSWER = r"(?i)answer with|choose the|select the|respond with|output only"
 
-NAMES = (
-    "has_options n_options n_options_raw has_answer_instruction stripped_ratio query_chars retrieval_chars n_tokens avg_token_len has_digit n_digits "
-    "has_year has_date_word has_quote proper_ratio has_negation is_temporal is_when is_how is_what is_which is_who is_where is_why is_yesno is_precision_shape"
-).split()
+# The features in the order of stored vectors.
+NAMES = [
+    "has_options",
+    "n_options",
+    "n_options_raw",
+    "has_answer_instruction",
+    "stripped_ratio",
+    "query_chars",
+    "retrieval_chars",
+    "n_tokens",
+    "avg_token_len",
+    "has_digit",
+    "n_digits",
+    "has_year",
+    "has_date_word",
+    "has_quote",
+    "proper_ratio",
+    "has_negation",
+    "is_temporal",
+    "is_when",
+    "is_how",
+    "is_what",
+    "is_which",
+    "is_who",
+    "is_where",
+    "is_why",
+    "is_yesno",
+    "is_precision_shape",
+]
 
 
 def features(query: Column, options: Column, retrieval: Column | None = None) -> dict[str, Column]:
-    """Each feature as a double column. retrieval is the question without its option block, the question itself by default."""
+    """Each feature as a double column. retrieval is the text to search for (documents.with_retrieval_text), the question itself by default."""
     q = F.coalesce(query, F.lit(""))
     r = q if retrieval is None else F.coalesce(retrieval, F.lit(""))
     n_options = F.coalesce(F.size(options), F.lit(0))
@@ -33,7 +59,7 @@ def features(query: Column, options: Column, retrieval: Column | None = None) ->
     n = F.size(words)
     head = F.lower(F.regexp_extract(r, HEAD, 1))
     digits = F.regexp_count(r, F.lit(r"\p{Nd}"))
-    instruction = q.rlike(ANSWER)
+    instruction = has_answer_instruction(q)
     chars = F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w))
     capital = F.size(F.filter(words, lambda w: w.rlike("^[A-Z]")))
     values = {

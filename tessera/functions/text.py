@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that carry no information.
-STOP = "的 了 是 在 和 与 就 都 也 很 我们 你们 他们 这个 那个 什么 怎么 可以 一个 不是 没有 就是".split()
+STOP = [
+    "的", "了", "是", "在", "和", "与", "就", "都", "也", "很", "我们", "你们", "他们", "这个", "那个", "什么", "怎么", "可以", "一个", "不是", "没有", "就是",
+]
 
 # Words that name a period, longest forms first.
 EXPLICIT_PERIODS = (
@@ -15,13 +17,13 @@ EXPLICIT_PERIODS = (
 )
 # Vague time words and the anchors that satisfy them.
 FUZZY_PERIODS = [
-    ("前几天 前两天 前些天 头几天", "前天 大前天 前几天 前两天 前些天"),
-    ("这两天 这几天", "这两天 这几天 昨天 今天 前天"),
-    ("那会儿 那时候 那天 当天 当时", "那天 当天 当时 那天晚上 上周 这周"),
-    ("后来 之后 随后", "后来 之后 随后 第二天 次日"),
+    (["前几天", "前两天", "前些天", "头几天"], ["前天", "大前天", "前几天", "前两天", "前些天"]),
+    (["这两天", "这几天"], ["这两天", "这几天", "昨天", "今天", "前天"]),
+    (["那会儿", "那时候", "那天", "当天", "当时"], ["那天", "当天", "当时", "那天晚上", "上周", "这周"]),
+    (["后来", "之后", "随后"], ["后来", "之后", "随后", "第二天", "次日"]),
 ]
 # School stages by family.
-ERAS = ["高中 高一 高二 高三", "大学 大一 大二 大三 大四", "大专"]
+ERAS = [["高中", "高一", "高二", "高三"], ["大学", "大一", "大二", "大三", "大四"], ["大专"]]
 
 
 def strings(values: list[str]) -> Column:
@@ -48,24 +50,24 @@ def explicit_periods(text: Column) -> Column:
 def fuzzy_anchors(text: Column) -> Column:
     """Anchors that satisfy the vague time words of a text, of all rules that it hits."""
     t = F.coalesce(text, F.lit(""))
-    hit = [F.when(F.exists(strings(words.split()), lambda w: F.contains(t, w)), strings(anchors.split())).otherwise(strings([])) for words, anchors in FUZZY_PERIODS]
+    hit = [F.when(F.exists(strings(words), lambda w: F.contains(t, w)), strings(anchors)).otherwise(strings([])) for words, anchors in FUZZY_PERIODS]
     return F.array_distinct(F.flatten(F.array(*hit)))
 
 
 def fuzzy_words(text: Column) -> Column:
     """The first word that a text has of each rule."""
     t = F.coalesce(text, F.lit(""))
-    return F.array_compact(F.array(*[F.get(F.filter(strings(words.split()), lambda w: F.contains(t, w)), 0) for words, _ in FUZZY_PERIODS]))
+    return F.array_compact(F.array(*[F.get(F.filter(strings(words), lambda w: F.contains(t, w)), 0) for words, _ in FUZZY_PERIODS]))
 
 
 def era_words(text: Column) -> Column:
-    return F.filter(strings(" ".join(ERAS).split()), lambda w: F.contains(F.coalesce(text, F.lit("")), w))
+    return F.filter(strings([w for family in ERAS for w in family]), lambda w: F.contains(F.coalesce(text, F.lit("")), w))
 
 
 def era_anchors(text: Column) -> Column:
     """All stages of the families that a text names."""
     t = F.coalesce(text, F.lit(""))
-    hit = [F.when(F.exists(strings(f.split()), lambda w: F.contains(t, w)), strings(f.split())).otherwise(strings([])) for f in ERAS]
+    hit = [F.when(F.exists(strings(f), lambda w: F.contains(t, w)), strings(f)).otherwise(strings([])) for f in ERAS]
     return F.flatten(F.array(*hit))
 
 
@@ -93,12 +95,65 @@ def language(text: Column) -> Column:
     return F.when((cjk > 0) & (cjk / (cjk + latin) >= 0.10), "Chinese").otherwise("English")
 
 
+# Patterns of identifiers and what stands in for them, in the order of their use.
+IDENTIFIERS = [
+    (r"(?U)[\w.+-]+@[\w-]+\.[\w.]+", "***@***"),
+    (r"(?U)(?<!\d)1[3-9]\d{9}(?!\d)", "1**********"),
+    (r"(?U)@\d{4,}", "@***"),
+    (r"(?U)(?<!\d)\d{8,}(?!\d)", "***"),
+]
+
+# Forms of an instruction to give one answer.
+ANSWER_INSTRUCTION = (
+    r"(?i)enclosed in parentheses|only the correct answer|only one correct|single correct|choose the correct|e\.?\s?g\.,?\s*\(X\)"
+    r"|只(?:需|要)?回答(?:唯一)?(?:正确)?(?:的)?(?:选项|答案)|仅(?:需|要)?回答(?:唯一)?(?:正确)?(?:的)?(?:选项|答案)"
+    r"|选择(?:正确|最合适|最佳)的?(?:选项|答案)|正确答案是"
+)
+# Marks of feedback that a caller writes back, and the fields in it.
+FEEDBACK_MARKS = ["streaming online qa feedback", "streaming-online-feedback"]
+FEEDBACK_FIELDS = {
+    "qa_id": r'"qa_id"\s*:\s*"([^"]*)"',
+    "method": r'"method"\s*:\s*"([^"]*)"',
+    "score": r'"score"\s*:\s*(-?[0-9.]+)',
+    "question": r'"question"\s*:\s*"((?:[^"\\]|\\.)*)"',
+    "predicted": r'"predicted_answer"\s*:\s*"((?:[^"\\]|\\.)*)"',
+}
+# Words of a question about the whole rather than one fact.
+GLOBAL_HINTS = ["总结", "概括", "汇总", "压缩", "回顾", "总的", "整体", "总体", "一路", "这些日子", "这段时间", "都经历", "变化", "综合", "一直以来"]
+
+
 def redact(text: Column) -> Column:
-    """E-mail addresses, mobile numbers, @names and long digit runs, in that order."""
-    out = F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]")
-    out = F.regexp_replace(out, r"(?<!\d)1[3-9]\d{9}(?!\d)", "[phone]")
-    out = F.regexp_replace(out, r"@[A-Za-z0-9_]{2,}", "@[id]")
-    return F.regexp_replace(out, r"\d{8,}", "[number]")
+    """E-mail addresses, mobile numbers, @ with four digits or more, and runs of eight digits or more, in that order; a null text is empty."""
+    out = F.coalesce(text, F.lit(""))
+    for pattern, mask in IDENTIFIERS:
+        out = F.regexp_replace(out, pattern, mask)
+    return out
+
+
+def has_answer_instruction(question: Column) -> Column:
+    """Whether a question asks for one exact answer; such questions are answered narrowly (precision queries)."""
+    return F.coalesce(question, F.lit("")).rlike(ANSWER_INSTRUCTION)
+
+
+def is_feedback(text: Column) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.contains(low, F.lit(FEEDBACK_MARKS[0])) | F.contains(low, F.lit(FEEDBACK_MARKS[1]))
+
+
+def feedback_fields(text: Column, longest: int = 120) -> dict[str, Column]:
+    """The five fields of a feedback message, null where one is missing; question and prediction with single spaces, cut."""
+    out = {}
+    for name, pattern in FEEDBACK_FIELDS.items():
+        given = F.coalesce(text, F.lit(""))
+        value = F.regexp_extract(given, pattern, 1)
+        if name in ("question", "predicted"):
+            value = F.left(F.trim(F.regexp_replace(value, r"\s+", " ")), F.lit(longest))
+        out[name] = F.when(given.rlike(pattern), value)
+    return out
+
+
+def asks_for_the_whole(question: Column) -> Column:
+    return F.exists(strings(GLOBAL_HINTS), lambda w: F.contains(F.coalesce(question, F.lit("")), w))
 
 
 def evidence_key(text: Column) -> Column:

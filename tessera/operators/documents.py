@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import has_answer_instruction
+
 _END = re.compile(r"[。！？!?；;\n]|\.(?=\s|$)")
 
 
@@ -55,18 +57,31 @@ def neighbours(hits: DataFrame, index: DataFrame, radius: int = 1) -> DataFrame:
     return first.withColumn("place", F.row_number().over(order)).select("query_id", "doc_id", F.col("at").alias("idx"), "place", "score")
 
 
+#: Fixed value: the mark of an option, after white space or a bracket, with white space after it.
+OPTION = re.compile(r"(?:^|[\s（(])([A-H])[.、．)）]\s")
+OPTIONS = 3
+
+
 def strip_options(question: str | None) -> str:
-    """The question without a trailing block of options: the last line start `A` from which three or more letters follow in turn."""
+    """The question, trimmed, without its block of options: cut at the last `A` that is followed by B, C and so on in this order,
+    OPTIONS of them at least with the A; other marks may stand between."""
     text = question or ""
-    marks = list(re.finditer(r"(?m)^\s*\(?([A-Z])[.):、]\s*", text))
-    for k in range(len(marks) - 1, -1, -1):
-        if marks[k].group(1) == "A":
-            run = 1
-            while k + run < len(marks) and ord(marks[k + run].group(1)) == ord("A") + run:
-                run += 1
-            if run >= 3:
-                return text[: marks[k].start()].rstrip()
-    return text
+    marks, cut = [(m.start(1), m.group(1)) for m in OPTION.finditer(text)], None
+    for k, (start, label) in enumerate(marks):
+        if label == "A":
+            last = "A"
+            for _, following in marks[k + 1 :]:
+                last = following if ord(following) == ord(last) + 1 else last
+            cut = start if ord(last) - ord("A") + 1 >= OPTIONS else cut
+    return text[:cut].strip()
+
+
+def with_retrieval_text(df: DataFrame, question: str, name: str = "retrieval") -> DataFrame:
+    """df with the text to search for: the question itself, or, if it asks for one exact answer, without its options, unless that
+    leaves nothing."""
+    stripped = apply_text(df, question, name, strip_options, "string")
+    own = F.col(question)
+    return stripped.withColumn(name, F.when(has_answer_instruction(own) & (F.col(name) != ""), F.col(name)).otherwise(own))
 
 
 def salvage(broken: str | None) -> list[str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,13 +11,19 @@ from pyspark.sql import functions as F
 from tessera.functions.vectors import cosine
 from tessera.operators.graph import expand, weighted_adjacency
 from tessera.operators.vectors import knn
-from tessera.schema import FRAME_RELATIONS, FRAME_TYPES, RELATION_FLOOR, TYPE_FLOOR
+from tessera.schema import FRAME_CUES, FRAME_RELATIONS, FRAME_TYPES, RELATION_FLOOR, TYPE_FLOOR
 from tessera.session import materialize
 
 
 @dataclass(frozen=True)
 class Params:
-    """Defaults of the retrieval; k_sigma switches to the relative threshold mu + k * sigma."""
+    """Defaults of the retrieval; k_sigma switches to the relative threshold mu + k * sigma.
+
+    blind closes the purpose channel: purpose scores are 0, nothing is filtered, and jump weights alone rank and steer.
+    anchor is the part of the query's own cosine in a frame's topic score. seed_floor is a cosine that the seeds of both
+    channels need, but not those that top them up. first_peak stops at the first marked fall. A frame that has no
+    preferences (neutral, or a name that is not known) leaves the types alone.
+    """
 
     seed_k: int = 5
     max_hops: int = 5
@@ -34,6 +41,10 @@ class Params:
     max_nodes: int | None = None
     blind: bool = False
     frame: str | None = None
+    frame_weights: tuple[float, float, float] = (0.55, 0.35, 0.10)
+    anchor: float = 0.0
+    seed_floor: float | None = None
+    first_peak: bool = False
 
 
 def type_affinity(frame: str, node_type: Column) -> Column:
@@ -54,6 +65,21 @@ def relation_affinity(frame: str, rel_type: Column) -> Column:
     return RELATION_FLOOR + (1 - RELATION_FLOOR) * F.coalesce(table[rel_type], F.lit(0.0))
 
 
+def compile_frame(purposes: Column) -> Column:
+    """The frame that an array of purpose texts asks for: that whose cue words occur most often, the first declared on ties;
+    `neutral` where none occurs."""
+    text = F.array_join(F.transform(F.coalesce(purposes, F.array().cast("array<string>")), lambda p: F.coalesce(p, F.lit(""))), " ")
+    hits = [F.struct(F.regexp_count(text, F.lit(cues)).alias("n"), F.lit(-k).alias("order"), F.lit(name).alias("name")) for k, (name, cues) in enumerate(FRAME_CUES.items())]
+    best = F.greatest(*hits)
+    return F.when(best["n"] > 0, best["name"]).otherwise(F.lit("neutral"))
+
+
+def frame_named(name: Column) -> Column:
+    """A preset's name in any case; `neutral` for any other."""
+    low = F.lower(name)
+    return F.when(low.isin(*FRAME_CUES), low).otherwise(F.lit("neutral"))
+
+
 def frame_score(topic: Column, frame: str, node_type: Column, rel_type: Column | None, weights: tuple[float, float, float] = (0.55, 0.35, 0.10)) -> Column:
     """Topic times the weighted mean of 1, type and relation affinity; seeds have no relation."""
     e, t, r = weights
@@ -71,18 +97,23 @@ def seeds(queries: DataFrame, nodes: DataFrame, vectors: DataFrame, p: Params) -
     live = nodes.filter(~F.col("deprecated") & ~F.col("forgotten")).select(F.col("node_id").alias("id"))
     text = queries.select("query_id", F.col("text_vec").alias("embedding"))
     top = knn(text, vectors, p.seed_k if p.blind else 2 * p.seed_k)
-    channels = top.select("query_id", "id", F.lit(2).alias("channel"), "place")
+    high = lambda df: df if p.seed_floor is None else df.filter(F.round("score", 9) >= p.seed_floor)
+    channels = (high(top) if p.blind else top).select("query_id", "id", F.lit(2).alias("channel"), "place")
     if not p.blind:
         half = max(1, p.seed_k // 2)
         slots = max(1, p.seed_k - half)
         purpose = knn(queries.select("query_id", F.col("purpose_vec").alias("embedding")), vectors, slots if p.frame is None else 4 * slots)
+        purpose = high(purpose)
         if p.frame is not None:  # a wider pool, ranked by the frame
             kinds = nodes.select(F.col("node_id").alias("id"), "node_type")
-            gated = F.round(frame_score(F.round("score", 9), p.frame, F.col("node_type"), None), 9)
-            ranked = purpose.join(kinds, "id").withColumn("gated", gated)
+            pool, topic = purpose.join(kinds, "id"), F.round("score", 9)
+            if p.anchor:
+                pool = pool.join(vectors.select("id", "embedding"), "id").join(queries.select("query_id", "text_vec"), "query_id")
+                topic = F.round((1 - p.anchor) * topic + p.anchor * F.round(cosine(F.col("embedding"), F.col("text_vec")), 9), 9)
+            ranked = pool.withColumn("gated", F.round(frame_score(topic, p.frame, F.col("node_type"), None, p.frame_weights), 9))
             ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("gated"), "ord")))
             purpose = ranked.filter(F.col("place") <= slots)
-        channels = channels.union(top.filter(F.col("place") <= half).select("query_id", "id", F.lit(0), "place")).union(purpose.select("query_id", "id", F.lit(1), "place"))
+        channels = channels.union(high(top.filter(F.col("place") <= half)).select("query_id", "id", F.lit(0), "place")).union(purpose.select("query_id", "id", F.lit(1), "place"))
     first = channels.join(live, "id", "left_semi").groupBy("query_id", "id").agg(F.min(F.struct("channel", "place")).alias("at"))
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy("at"))
     return first.withColumn("pos", pos).filter(F.col("pos") <= p.seed_k).select("query_id", F.col("id").alias("node_id"), "pos")
@@ -92,7 +123,8 @@ def peak_step(state: DataFrame, means: DataFrame, hop: int, p: Params) -> DataFr
     """Peak state of each query after a hop's mean: peak, prev, declining, count, found.
 
     The peak moves to any mean at or above it. A rise above min_delta clears the decline; the first fall below -min_delta marks
-    it without counting; each later mean that doesn't rise counts, and `patience` of them stop the query.
+    it without counting; each later mean that doesn't rise counts, and `patience` of them stop the query. With first_peak the
+    first such fall stops it.
     """
     j = state.join(means, "query_id", "left")
     delta = F.col("mu") - F.col("prev")
@@ -107,7 +139,7 @@ def peak_step(state: DataFrame, means: DataFrame, hop: int, p: Params) -> DataFr
         F.when(seen, F.col("mu")).otherwise(F.col("prev")).alias("prev"),
         declining.alias("declining"),
         count.alias("count"),
-        (F.col("found") | F.coalesce(count >= p.patience, F.lit(False))).alias("found"),
+        (F.col("found") | F.coalesce(fall if p.first_peak else count >= p.patience, F.lit(False))).alias("found"),
     )
 
 
@@ -122,52 +154,70 @@ def threshold(hop: int, p: Params) -> Column:
 
 
 def retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataFrame, p: Params = Params(), rows: list[tuple] | None = None) -> tuple[DataFrame, DataFrame]:
-    """hops (query_id, hop, node_id, parent, rel_type, is_reverse, weight, ps, combined) and means (query_id, hop, mu).
+    """hops (query_id, hop, node_id, parent, rel_type, is_reverse, weight, ps, combined) and means (query_id, hop, mu)."""
+    hops, means, _ = retrieve_all(queries, nodes, edges, vectors, p, rows)
+    return hops, means
+
 
-    Hop 0 are the seeds. Each hop is one distributed step for all queries, written to the shared folder; candidates enter the
-    visited set before inactive or low-scoring ones go. The driver only learns whether any query has a frontier left.
+def retrieve_all(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataFrame, p: Params = Params(), rows: list[tuple] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """retrieve() with passes (query_id, hop, n_in, n_out, thr): how many candidates of each hop the purpose filter met and let pass.
+
+    Hop 0 are the seeds. Each hop is one distributed step for all queries; what it met, scored and kept is written once, to the
+    shared folder. Candidates enter the visited set before inactive or low-scoring ones go. Nodes with their vectors are written
+    narrow before the first hop. The driver only learns whether any query has a frontier left.
     """
+    nodes = materialize(nodes.select("node_id", "ord", "node_type", (~F.col("deprecated") & ~F.col("forgotten")).alias("active")), "nodes")
+    nodes = nodes.select("*", F.lit(False).alias("deprecated"), (~F.col("active")).alias("forgotten"))
     steps = materialize(weighted_adjacency(edges, nodes, rows), "steps")
-    purpose = queries.select("query_id", "purpose_vec")
+    asked = queries.select("query_id", "purpose_vec", "text_vec")
 
     def scored(df: DataFrame) -> DataFrame:
-        near = df.join(vectors.select(F.col("id").alias("node_id"), "embedding"), "node_id", "left").join(purpose, "query_id")
+        """df with the columns ps and node_type."""
+        if p.blind:
+            return df.withColumn("ps", F.lit(0.0))
+        near = df.join(vectors.select(F.col("id").alias("node_id"), "embedding"), "node_id", "left").join(asked, "query_id")
         topic = F.round(cosine(F.col("embedding"), F.col("purpose_vec")), 9)
-        if p.frame is None:
-            return near.withColumn("ps", topic).drop("embedding", "purpose_vec")
-        gated = frame_score(topic, p.frame, F.col("node_type"), F.col("rel_type") if "rel_type" in df.columns else None)
-        return near.join(nodes.select("node_id", "node_type"), "node_id").withColumn("ps", F.round(gated, 9)).drop("embedding", "purpose_vec", "node_type")
-
-    live = nodes.filter(~F.col("deprecated") & ~F.col("forgotten")).select("node_id", F.col("ord"))
-    start = scored(seeds(queries, nodes, vectors, p))
+        if p.frame is not None:
+            if p.anchor:
+                topic = F.round((1 - p.anchor) * topic + p.anchor * F.round(cosine(F.col("embedding"), F.col("text_vec")), 9), 9)
+            topic = F.round(frame_score(topic, p.frame, F.col("node_type"), F.col("rel_type") if "rel_type" in df.columns else None, p.frame_weights), 9)
+        return near.withColumn("ps", topic).drop("embedding", "purpose_vec", "text_vec")
+
+    live = nodes.filter("active").select("node_id", "ord", "node_type")
+    start = scored(seeds(queries, nodes, vectors, p).join(live.select("node_id", "node_type"), "node_id"))
     none = lambda t: F.lit(None).cast(t)
+    own = F.lit(0.0) if p.blind else F.col("ps") * p.purpose_coef
     hop0 = materialize(
-        start.select("query_id", F.lit(0).alias("hop"), "node_id", none("string").alias("parent"), none("string").alias("rel_type"), none("boolean").alias("is_reverse"), none("double").alias("weight"), "ps", (F.col("ps") * p.purpose_coef).alias("combined"), "pos"),
+        start.select("query_id", F.lit(0).alias("hop"), "node_id", none("string").alias("parent"), none("string").alias("rel_type"), none("boolean").alias("is_reverse"), none("double").alias("weight"), "ps", own.alias("combined"), "pos"),
         "hop0",
     )
-    hops, means = [hop0], [hop0.groupBy("query_id", "hop").agg(F.avg("ps").alias("mu"))]
+    hops, means, passes = [hop0], [hop0.groupBy("query_id", "hop").agg(F.avg("ps").alias("mu"))], []
     visited = hop0.select("query_id", "node_id")
     frontier = hop0.select("query_id", "node_id", "pos")
     state = queries.select("query_id", none("double").alias("peak"), none("double").alias("prev"), F.lit(False).alias("declining"), F.lit(0).alias("count"), F.lit(False).alias("found"))
     for hop in range(1, p.max_hops + 1):
-        met = materialize(expand(frontier, steps).join(visited, ["query_id", "node_id"], "left_anti"), f"met{hop}")
-        visited = visited.union(met.select("query_id", "node_id"))
-        ranked = scored(met.join(live, "node_id")).withColumn("thr", threshold(hop, p)).filter("ps >= thr")
-        combined = F.col("weight") * p.decay**hop * p.jump_coef + F.col("ps") * p.purpose_coef
-        pos = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("combined", 9)), "ord"))
-        kept = materialize(ranked.withColumn("combined", combined).withColumn("pos", pos).select("query_id", F.lit(hop).alias("hop"), "node_id", "parent", "rel_type", "is_reverse", "weight", "ps", "combined", "pos"), f"hop{hop}")
+        met = expand(frontier, steps).join(visited, ["query_id", "node_id"], "left_anti").join(live, "node_id", "left")
+        active = F.col("ord").isNotNull()  # the others are visited from now on, and no more
+        found = scored(met).withColumn("ps", F.when(active, F.col("ps"))).withColumn("thr", threshold(hop, p)).withColumn("ok", F.col("ps") >= F.col("thr"))
+        combined = F.col("weight") * p.decay**hop * p.jump_coef + (F.lit(0.0) if p.blind else F.col("ps") * p.purpose_coef)
+        pos = F.row_number().over(Window.partitionBy("query_id", "ok").orderBy(F.desc(F.round("combined", 9)), "ord"))
+        columns = ["query_id", "node_id", "parent", "rel_type", "is_reverse", "weight", "ps", "combined", "pos", "thr", "ok"]
+        every = found.withColumn("combined", combined).withColumn("pos", pos).select(*columns)
+        every = materialize(every, f"hop{hop}")
+        visited = visited.union(every.select("query_id", "node_id"))
+        kept = every.filter("ok").select("query_id", F.lit(hop).alias("hop"), *columns[1:9])
         mean = kept.groupBy("query_id").agg(F.avg("weight" if p.blind else "ps").alias("mu"))
         state = materialize(peak_step(state, mean, hop, p), f"state{hop}")
         hops.append(kept)
         means.append(mean.select("query_id", F.lit(hop).alias("hop"), "mu"))
+        counted = every.filter("ok IS NOT NULL").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_in"), F.count_if("ok").alias("n_out"), F.max("thr").alias("thr"))
+        passes.append(counted.select("query_id", F.lit(hop).alias("hop"), "n_in", "n_out", "thr"))
         going = state.filter("NOT found").select("query_id")
         frontier = kept.filter(F.col("pos") <= (p.expand_k or p.seed_k)).join(going, "query_id", "left_semi").select("query_id", "node_id", "pos")
         if frontier.isEmpty():
             break
-    whole, mu = hops[0], means[0]
-    for h, m in zip(hops[1:], means[1:], strict=True):
-        whole, mu = whole.unionByName(h), mu.unionByName(m)
-    return whole, mu
+    together = lambda parts: reduce(DataFrame.unionByName, parts)
+    return together(hops), together(means), together(passes)
 
 
 def band(hops: DataFrame, means: DataFrame, p: Params = Params()) -> DataFrame:
@@ -185,6 +235,29 @@ def band(hops: DataFrame, means: DataFrame, p: Params = Params()) -> DataFrame:
     return best
 
 
+def band_stats(means: DataFrame, p: Params = Params()) -> DataFrame:
+    """query_id, peak, delta (the tolerance), rounds (hops after the seeds), in_band, ratio (of rounds in the band, three places)."""
+    later = means.filter("hop > 0")
+    peak = later.groupBy("query_id").agg(F.max("mu").alias("peak"), F.min("mu").alias("low"), F.count(F.lit(1)).alias("rounds"))
+    slack = p.tolerance_ratio * (F.col("peak") - F.col("low")) if p.tolerance_ratio > 0 else F.lit(p.tolerance)
+    peak = peak.withColumn("delta", F.greatest(slack, F.lit(0.0)))
+    inside = later.join(peak, "query_id").filter(F.round(F.col("mu") - F.col("peak") + F.col("delta"), 9) >= 0).groupBy("query_id").agg(F.count(F.lit(1)).alias("in_band"))
+    return peak.join(inside, "query_id").select("query_id", "peak", "delta", "rounds", "in_band", F.round(F.col("in_band") / F.col("rounds"), 3).alias("ratio"))
+
+
+def candidate_pool(hops: DataFrame) -> DataFrame:
+    """query_id, node_id, tier, score, place: every node that a query met; seeds first, then by the best combined score."""
+    best = hops.groupBy("query_id", "node_id").agg(F.min(F.when(F.col("hop") == 0, 1).otherwise(2)).alias("tier"), F.max("combined").alias("score"))
+    order = Window.partitionBy("query_id").orderBy("tier", F.desc(F.round("score", 9)), "node_id")
+    return best.withColumn("place", F.row_number().over(order))
+
+
+def visiting_order(hops: DataFrame) -> DataFrame:
+    """query_id, step, hop, node_id, parent, rel_type: the whole trace, in the order in which nodes were reached."""
+    order = Window.partitionBy("query_id").orderBy("hop", "pos", "node_id")
+    return hops.withColumn("step", F.row_number().over(order)).select("query_id", "step", "hop", "node_id", "parent", "rel_type")
+
+
 def result(hops: DataFrame, means: DataFrame, nodes: DataFrame, p: Params = Params()) -> DataFrame:
     """query_id, node_id, hop, score, rank of the active nodes with text in the band, best first."""
     live = nodes.filter(~F.col("deprecated") & ~F.col("forgotten") & (F.coalesce(F.length("content"), F.lit(0)) > 0)).select("node_id", "ord")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QA_MARKS = ("was my answer correct", "qa feedback")
 
 
 def batch_shape(messages: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -9,7 +9,7 @@ from tessera.operators import par as P
 from tessera.operators import vectors as V
 from tessera.plans.graph_queries import ADJ_SQL, JUMP_SQL
 from tessera.sources import canonical as C
-from tessera.schema import FRAME_RELATIONS, FRAME_TYPES, jump_rows
+from tessera.schema import FRAME_CUES, FRAME_RELATIONS, FRAME_TYPES, jump_rows
 from tessera.sources.canonical import BASE_SQL
 
 QUERIES: dict = {}
@@ -86,22 +86,27 @@ def vector_log_replay(spark: SparkSession, sf: str) -> DataFrame:
     return V.replay(log).select("id", "value")
 
 
-def par_sql(hops: int = 5, k: int = 5, thr: float = 0.30, patience: int = 2, delta: float = 0.015, tol: float = 0.10, k_sigma: float | None = None, blind: bool = False, frame: str | None = None, uniform: bool = False) -> str:
+def par_sql(hops: int = 5, k: int = 5, thr: float = 0.30, patience: int = 2, delta: float = 0.015, tol: float = 0.10, k_sigma: float | None = None, blind: bool = False, frame: str | None = None, uniform: bool = False, anchor: float = 0.0, floor: float | None = None, first_peak: bool = False, ratio: float = 0.0, thr_decay: float = 0.0) -> str:
     """The unrolled twin of P.retrieve: CTEs seeds, hop0.., mean0.., and `hops`, `means`, `banded`."""
     half = max(1, k // 2)
     slots = max(1, k - half)
-    near = lambda vec: f"(SELECT query_id, node_id, ord, row_number() OVER (PARTITION BY query_id ORDER BY round({COS.format(a='q.' + vec, b='n.v')}, 9) DESC, ord) AS place FROM asked q, nodes n)"
-    channels = f"SELECT query_id, node_id, 2 AS channel, place FROM tk WHERE place <= {k if blind else 2 * k}"
+    near = lambda vec: f"(SELECT query_id, node_id, ord, row_number() OVER (PARTITION BY query_id ORDER BY round({COS.format(a='q.' + vec, b='n.v')}, 9) DESC, ord) AS place, round({COS.format(a='q.' + vec, b='n.v')}, 9) AS cos FROM asked q, nodes n)"
+    high = f" AND cos >= {floor}" if floor is not None else ""
+    channels = f"SELECT query_id, node_id, 2 AS channel, place FROM tk WHERE place <= {k if blind else 2 * k}{high if blind else ''}"
     if not blind:
-        channels += f" UNION ALL SELECT query_id, node_id, 0, place FROM tk WHERE place <= {half} UNION ALL SELECT query_id, node_id, 1, place FROM pk WHERE place <= {slots}"
+        channels += f" UNION ALL SELECT query_id, node_id, 0, place FROM tk WHERE place <= {half}{high} UNION ALL SELECT query_id, node_id, 1, place FROM pk WHERE place <= {slots}{'' if frame else high}"
     topic = f"round({COS.format(a='n.v', b='q.pv')}, 9)"
+    if anchor:
+        topic = f"round({1 - anchor!r}::DOUBLE * {topic} + {anchor!r}::DOUBLE * round({COS.format(a='n.v', b='q.tv')}, 9), 9)"
+    if blind:  # the purpose channel is closed: no purpose score exists, and the jump part alone is combined
+        topic = "0.0::DOUBLE"
     seed_score = score = topic
     if frame:
         case = lambda col, prefs: f"CASE {col} " + " ".join(f"WHEN '{x}' THEN {v / max(prefs.values())!r}::DOUBLE" for x, v in prefs.items()) + " ELSE 0::DOUBLE END"
         by_type, by_rel = f"(0.25::DOUBLE + 0.75::DOUBLE * {case('n.node_type', FRAME_TYPES[frame])})", f"(0.15::DOUBLE + 0.85::DOUBLE * {case('m.rel_type', FRAME_RELATIONS[frame])})"
         seed_score = f"round({topic} * (0.55::DOUBLE + 0.35::DOUBLE * {by_type}) / (0.55::DOUBLE + 0.35::DOUBLE), 9)"
         score = f"round({topic} * (0.55::DOUBLE + 0.35::DOUBLE * {by_type} + 0.10::DOUBLE * {by_rel}) / (0.55::DOUBLE + 0.35::DOUBLE + 0.10::DOUBLE), 9)"
-        wide = f"(SELECT * FROM {near('pv')} WHERE place <= {4 * slots})"
+        wide = f"(SELECT * FROM {near('pv')} WHERE place <= {4 * slots}{high})"
         framed = f"(SELECT query_id, w.node_id, w.ord, row_number() OVER (PARTITION BY query_id ORDER BY {seed_score} DESC, w.ord) AS place FROM {wide} w JOIN asked q USING (query_id) JOIN nodes n ON n.node_id = w.node_id)"
     out = [
         BASE_SQL, ADJ_SQL, JUMP_SQL, ASKED_SQL, f"tk AS {near('tv')}", f"pk AS {framed if frame else near('pv')}",
@@ -116,7 +121,7 @@ def par_sql(hops: int = 5, k: int = 5, thr: float = 0.30, patience: int = 2, del
     for h in range(1, hops + 1):
         g = h - 1
         front = f"(SELECT query_id, node_id, pos FROM hop{g} WHERE pos <= {k} AND query_id IN (SELECT query_id FROM st{g} WHERE NOT found))"
-        limit = "0.0" if blind else (f"avg(ps) OVER (PARTITION BY query_id) + {k_sigma} * stddev_pop(ps) OVER (PARTITION BY query_id)" if k_sigma is not None else f"{thr}")
+        limit = "0.0" if blind else (f"avg(ps) OVER (PARTITION BY query_id) + {k_sigma} * stddev_pop(ps) OVER (PARTITION BY query_id)" if k_sigma is not None else f"{thr * thr_decay**h!r}" if thr_decay else f"{thr}")
         out += [
             f"met{h} AS MATERIALIZED (SELECT m.query_id, m.nbr AS node_id, weight, parent, rel_type, is_reverse FROM (SELECT f.query_id, s.nbr, s.weight, s.node_id AS parent, s.rel_type, s.is_reverse, row_number() OVER (PARTITION BY f.query_id, s.nbr ORDER BY s.weight DESC, f.pos, s.is_reverse, s.edge_ord) AS rn FROM {front} f JOIN steps s ON s.node_id = f.node_id) m WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM vis{g} v WHERE v.query_id = m.query_id AND v.node_id = m.nbr))",
             f"vis{h} AS (SELECT * FROM vis{g} UNION ALL SELECT query_id, node_id FROM met{h})",
@@ -124,15 +129,15 @@ def par_sql(hops: int = 5, k: int = 5, thr: float = 0.30, patience: int = 2, del
             f"ft{h} AS (SELECT *, {limit} AS thr FROM sc{h})",
             f"hop{h} AS MATERIALIZED (SELECT query_id, {h} AS hop, node_id, parent, rel_type, is_reverse, weight, ps, weight * {0.85**h!r} * 0.5 + ps * 0.5 AS combined, row_number() OVER (PARTITION BY query_id ORDER BY round(weight * {0.85**h!r} * 0.5 + ps * 0.5, 9) DESC, ord) AS pos FROM ft{h} WHERE ps >= thr)",
             f"mean{h} AS (SELECT query_id, {h} AS hop, avg({'weight' if blind else 'ps'}) AS mu FROM hop{h} GROUP BY query_id)",
-            f"""st{h} AS MATERIALIZED (SELECT *, (f0 OR cnt >= {patience}) AS found FROM (SELECT s.query_id, CASE WHEN mu IS NULL THEN peak ELSE greatest(coalesce(peak, mu), mu) END AS peak, coalesce(mu, prev) AS prev,
+            f"""st{h} AS MATERIALIZED (SELECT * EXCLUDE (fell), (f0 OR {'fell' if first_peak else f'cnt >= {patience}'}) AS found FROM (SELECT s.query_id, coalesce(mu - prev < -{delta}, false) AS fell, CASE WHEN mu IS NULL THEN peak ELSE greatest(coalesce(peak, mu), mu) END AS peak, coalesce(mu, prev) AS prev,
               CASE WHEN mu IS NULL OR prev IS NULL THEN declining WHEN mu - prev > {delta} THEN false WHEN declining OR mu - prev < -{delta} THEN true ELSE false END AS declining,
               CASE WHEN mu IS NULL OR prev IS NULL THEN cnt WHEN mu - prev > {delta} THEN 0 WHEN declining THEN cnt + 1 ELSE cnt END AS cnt, found AS f0 FROM st{g} s LEFT JOIN mean{h} USING (query_id)))""",
         ]
     every = lambda name: " UNION ALL ".join(f"SELECT * FROM {name}{h}" for h in range(hops + 1))
     out += [
         f"hops AS MATERIALIZED ({every('hop')})", f"means AS MATERIALIZED ({every('mean')})",
-        "pk2 AS (SELECT query_id, max(mu) AS peak FROM means WHERE hop > 0 GROUP BY query_id)",
-        f"inband AS (SELECT query_id, hop FROM means JOIN pk2 USING (query_id) WHERE hop > 0 AND round(mu - peak + {tol}, 9) >= 0 UNION ALL SELECT query_id, hop FROM means WHERE hop = 0)",
+        "pk2 AS (SELECT query_id, max(mu) AS peak, min(mu) AS low, count(*) AS rounds FROM means WHERE hop > 0 GROUP BY query_id)",
+        f"inband AS (SELECT query_id, hop FROM means JOIN pk2 USING (query_id) WHERE hop > 0 AND round(mu - peak + {f'{ratio!r} * (peak - low)' if ratio else tol}, 9) >= 0 UNION ALL SELECT query_id, hop FROM means WHERE hop = 0)",
         "banded AS MATERIALIZED (SELECT query_id, node_id, max(combined) AS score, min(hop) AS hop FROM hops JOIN inband USING (query_id, hop) GROUP BY query_id, node_id)",
     ]
     return ", ".join(out)
@@ -181,6 +186,90 @@ def par_blind(spark: SparkSession, sf: str) -> DataFrame:
     return P.result(hops, means, nodes).select("query_id", "node_id", "hop", r6("score"), "rank")
 
 
+def _hops(spark: SparkSession, sf: str, p: P.Params) -> DataFrame:
+    (hops, _), _ = _run(spark, sf, p)
+    return hops.select("query_id", "hop", "node_id", "parent", "rel_type", "is_reverse", "weight", r6("ps"), r6("combined"))
+
+
+@query(par_sql(blind=True) + HOPS)
+def par_blind_hops(spark: SparkSession, sf: str) -> DataFrame:
+    return _hops(spark, sf, P.Params(blind=True))
+
+
+@query(par_sql(thr=0.1, floor=0.3) + HOPS)
+def par_seed_floor(spark: SparkSession, sf: str) -> DataFrame:
+    """Seeds of both channels need a cosine of 0.3; the top-up does not."""
+    return _hops(spark, sf, P.Params(threshold=0.1, seed_floor=0.3))
+
+
+@query(par_sql(thr=0.1, first_peak=True) + HOPS)
+def par_first_peak(spark: SparkSession, sf: str) -> DataFrame:
+    return _hops(spark, sf, P.Params(threshold=0.1, first_peak=True))
+
+
+@query(par_sql(thr=0.2, thr_decay=0.8) + HOPS)
+def par_threshold_decay(spark: SparkSession, sf: str) -> DataFrame:
+    return _hops(spark, sf, P.Params(threshold=0.2, threshold_decay=0.8))
+
+
+@query(par_sql(thr=0.05, frame="recommend", anchor=0.25) + HOPS)
+def par_frame_anchor(spark: SparkSession, sf: str) -> DataFrame:
+    return _hops(spark, sf, P.Params(threshold=0.05, frame="recommend", anchor=0.25))
+
+
+@query(par_sql(thr=0.1, ratio=0.5) + "SELECT query_id, node_id, round(score, 6) AS score, hop FROM banded")
+def par_tolerance_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    (hops, means), _ = _run(spark, sf, LOOSE)
+    return P.band(hops, means, P.Params(threshold=0.1, tolerance_ratio=0.5)).select("query_id", "node_id", r6("score"), "hop")
+
+
+@query(par_sql(thr=0.1) + "SELECT query_id, round(peak, 6) AS peak, 0.1::DOUBLE AS delta, rounds, in_band, round(in_band / rounds, 3) AS ratio FROM pk2 JOIN (SELECT query_id, count(*) AS in_band FROM inband WHERE hop > 0 GROUP BY query_id) USING (query_id)")
+def par_band_stats(spark: SparkSession, sf: str) -> DataFrame:
+    (_, means), _ = _run(spark, sf, LOOSE)
+    return P.band_stats(means, LOOSE).withColumn("peak", F.round("peak", 6))
+
+
+_PASSED = " UNION ALL ".join(f"SELECT query_id, {h} AS hop, count(*) AS n_in, count(*) FILTER (ps >= thr) AS n_out, 0.1::DOUBLE AS thr FROM ft{h} GROUP BY query_id" for h in range(1, 6))
+
+
+@query(par_sql(thr=0.1) + _PASSED)
+def par_pass_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates that met and passed the purpose filter, by hop."""
+    return P.retrieve_all(asked(spark, sf), C.nodes(spark, sf), C.edges(spark, sf), C.vectors(spark, sf), LOOSE)[2]
+
+
+@query(par_sql(thr=0.1) + """, pool AS (SELECT query_id, node_id, min(CASE WHEN hop = 0 THEN 1 ELSE 2 END) AS tier, max(combined) AS score FROM hops GROUP BY query_id, node_id)
+  SELECT query_id, node_id, tier, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY tier, round(score, 9) DESC, node_id)::INT AS place FROM pool""")
+def par_candidate_pool(spark: SparkSession, sf: str) -> DataFrame:
+    (hops, _), _ = _run(spark, sf, LOOSE)
+    return P.candidate_pool(hops).withColumn("score", F.round("score", 6))
+
+
+@query(par_sql(thr=0.1) + "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY hop, pos, node_id)::INT AS step, hop, node_id, parent, rel_type FROM hops")
+def par_visiting_order(spark: SparkSession, sf: str) -> DataFrame:
+    (hops, _), _ = _run(spark, sf, LOOSE)
+    return P.visiting_order(hops)
+
+
+@query(par_sql(thr=0.1) + "SELECT query_id, count(DISTINCT node_id) AS candidates FROM hops GROUP BY query_id")
+def par_total_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct candidates over all hops of each query."""
+    (hops, _), _ = _run(spark, sf, LOOSE)
+    return hops.groupBy("query_id").agg(F.count_distinct("node_id").alias("candidates"))
+
+
+_CUE_TEXT = "concat_ws(' ', coalesce(text, ''), CASE doc_id % 5 WHEN 0 THEN '安排步骤，推荐方向' WHEN 1 THEN '推荐选项 建议 安慰' WHEN 2 THEN '寻求安慰' ELSE '' END)"
+
+
+@query(f"WITH t AS (SELECT doc_id, {_CUE_TEXT} AS t FROM documents), n AS (SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(t, '{cues}')) AS {name}" for name, cues in FRAME_CUES.items()) + ") FROM t) SELECT doc_id, CASE WHEN greatest(vent, plan, recommend) = 0 THEN 'neutral' WHEN vent >= plan AND vent >= recommend THEN 'vent' WHEN plan >= recommend THEN 'plan' ELSE 'recommend' END AS frame FROM n".replace(") FROM t)", " FROM t)"))
+def frame_compile(spark: SparkSession, sf: str) -> DataFrame:
+    """The frame of each document's text, with cue phrases added to three fifths of them."""
+    from tessera.session import table
+
+    added = F.element_at(F.array(F.lit("安排步骤，推荐方向"), F.lit("推荐选项 建议 安慰"), F.lit("寻求安慰"), F.lit(""), F.lit("")), (F.col("doc_id") % 5 + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", P.compile_frame(F.array(F.col("text"), added)).alias("frame"))
+
+
 @query(par_sql(thr=0.05, frame="plan") + HOPS)
 def par_framed(spark: SparkSession, sf: str) -> DataFrame:
     """Retrieval under the plan frame: topic scores gated by type and relation."""

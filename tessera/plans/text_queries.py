@@ -62,17 +62,76 @@ def truncate_for_return(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", T.truncate(F.col("text"), 1200).alias("short"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '[\\x{4e00}-\\x{9fff}]') THEN 'Chinese' ELSE 'English' END AS language FROM documents")
-def language_guess(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).select("doc_id", T.language(F.col("text")).alias("language"))
+_LANGUAGE = r"""
+WITH given AS (SELECT doc_id, substr(text, 1, 40) || repeat('好', (doc_id % 7)::INT) AS t FROM documents),
+n AS (SELECT doc_id, len(regexp_extract_all(t, '[\x{4e00}-\x{9fff}]')) AS c, len(regexp_extract_all(t, '[A-Za-z]')) AS l FROM given)
+SELECT doc_id, CASE WHEN c > 0 AND c / (c + l) >= 0.10 THEN 'Chinese' ELSE 'English' END AS language FROM n
+"""
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'), '@[A-Za-z0-9_]{2,}', '@[id]', 'g'), '[0-9]{8,}', '[number]', 'g')) AS digest FROM documents""")
+@query(_LANGUAGE)
+def language_guess(spark: SparkSession, sf: str) -> DataFrame:
+    """Openings of the documents with none to six Chinese characters added, on both sides of the tenth that decides."""
+    t = F.concat(F.left("text", F.lit(40)), F.repeat(F.lit("好"), (F.col("doc_id") % 7).cast("int")))
+    return docs(spark, sf).select("doc_id", T.language(t).alias("language"))
+
+
+#: Look-around is not in this SQL: the digit runs of a text are taken apart, judged and put together again.
+_REDACTED = r"""
+WITH given AS (
+  SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' 13912345678, 23912345678 @12345' WHEN 1 THEN ' x.y+z@mail-a.org.cn @bob @1234567 12345678' ELSE '' END AS t
+  FROM documents),
+mail AS (SELECT doc_id, regexp_replace(t, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.]+', '***@***', 'g') AS t FROM given),
+mobile AS (SELECT doc_id, list_aggregate(list_transform(regexp_extract_all(t, '[0-9]+|[^0-9]+'),
+    lambda x: CASE WHEN regexp_full_match(x, '1[3-9][0-9]{9}') THEN '1**********' ELSE x END), 'string_agg', '') AS t FROM mail),
+tagged AS (SELECT doc_id, regexp_replace(t, '@[0-9]{4,}', '@***', 'g') AS t FROM mobile),
+digits AS (SELECT doc_id, list_aggregate(list_transform(regexp_extract_all(t, '[0-9]+|[^0-9]+'),
+    lambda x: CASE WHEN regexp_full_match(x, '[0-9]{8,}') THEN '***' ELSE x END), 'string_agg', '') AS t FROM tagged)
+SELECT doc_id, md5(coalesce(t, '')) AS digest FROM digits
+"""
+
+
+@query(_REDACTED)
 def redaction(spark: SparkSession, sf: str) -> DataFrame:
-    """The redaction without its mobile-number rule, whose look-around SQL engines without it can't express."""
-    t = F.regexp_replace("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]")
-    t = F.regexp_replace(F.regexp_replace(t, "@[A-Za-z0-9_]{2,}", "@[id]"), "[0-9]{8,}", "[number]")
-    return docs(spark, sf).select("doc_id", F.md5(t).alias("digest"))
+    """Every document, with identifiers of all kinds added to half of them."""
+    added = [" 13912345678, 23912345678 @12345", " x.y+z@mail-a.org.cn @bob @1234567 12345678", "", ""]
+    t = F.concat("text", F.element_at(F.array(*[F.lit(x) for x in added]), (F.col("doc_id") % 4 + 1).cast("int")))
+    return docs(spark, sf).select("doc_id", F.md5(T.redact(t)).alias("digest"))
+
+
+_FEEDBACK = r"""
+WITH given AS (
+  SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text
+    ELSE 'Streaming online QA Feedback: {"qa_id": "set1:q' || conv_id || '", "score": -' || turn || '.5, "question": "say  \"' || role || '\" twice", "method": "judge"}' END AS t
+  FROM conversations)
+SELECT conv_id, turn, contains(lower(t), 'streaming online qa feedback') OR contains(lower(t), 'streaming-online-feedback') AS feedback,
+  CASE WHEN contains(t, '"qa_id"') THEN regexp_extract(t, '"qa_id": "([^"]*)"', 1) END AS qa_id,
+  CASE WHEN contains(t, '"method"') THEN regexp_extract(t, '"method": "([^"]*)"', 1) END AS method,
+  CASE WHEN contains(t, '"score"') THEN regexp_extract(t, '"score": (-?[0-9.]+)', 1) END AS score,
+  CASE WHEN contains(t, '"question"') THEN replace(regexp_extract(t, '"question": "(.*)", "method"', 1), '  ', ' ') END AS question,
+  NULL::VARCHAR AS predicted
+FROM given
+"""
+
+
+@query(_FEEDBACK)
+def qa_feedback(spark: SparkSession, sf: str) -> DataFrame:
+    """Feedback messages told from others, with their fields; every other turn is written as one."""
+    parts = [F.lit('Streaming online QA Feedback: {"qa_id": "set1:q'), "conv_id", F.lit('", "score": -'), "turn", F.lit('.5, "question": "say  \\"'), "role", F.lit('\\" twice", "method": "judge"}')]
+    t = F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.concat(*parts))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.is_feedback(t).alias("feedback"), *[c.alias(k) for k, c in T.feedback_fields(t).items()])
+
+
+_WHOLE = " OR ".join(f"contains(t, '{w}')" for w in T.GLOBAL_HINTS)
+
+
+@query(f"""
+WITH g AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' 总结一下' WHEN 1 THEN ' 昨天' ELSE '' END AS t FROM documents)
+SELECT doc_id, {_WHOLE} AS global_view FROM g
+""")
+def global_view(spark: SparkSession, sf: str) -> DataFrame:
+    added = F.when(F.col("doc_id") % 3 == 0, " 总结一下").when(F.col("doc_id") % 3 == 1, " 昨天").otherwise("")
+    return docs(spark, sf).select("doc_id", T.asks_for_the_whole(F.concat("text", added)).alias("global_view"))
 
 
 @query()
@@ -254,20 +313,59 @@ def evidence_budget(spark: SparkSession, sf: str) -> DataFrame:
     return R.evidence(n, e, 20)
 
 
+_QUESTION = " A. one B. two C. three Choose the correct option."
+_HEADS = ["When did", "How long was", "What", "Which", "Whose", "Where is", "Why", "Could", "In 1987 on Monday \"he\" did not know:"]
+
+
 def _features_sql() -> str:
-    r = "text"
-    toks = f"regexp_extract_all({r}, '[A-Za-z][A-Za-z''\\-]*')"
-    return f"""WITH q AS (SELECT item_id, text, {toks} AS t FROM benchmark) SELECT item_id, round(ln(1 + length(text)), 6) AS query_chars, round(ln(1 + len(t)), 6) AS n_tokens,
-      round(coalesce(list_avg(list_transform(t, lambda x: length(x))), 0), 6) AS avg_token_len, regexp_matches(text, '[0-9]')::INT AS has_digit, regexp_matches(text, '\\b(1[89][0-9][0-9]|20[0-9][0-9])\\b')::INT AS has_year,
-      (contains(text, '"') OR contains(text, ''''))::INT AS has_quote, round(len(list_filter(t, lambda x: regexp_matches(x, '^[A-Z]'))) / greatest(len(t), 1), 6) AS proper_ratio FROM q"""
+    from tessera.functions import route_features as R
+
+    heads = ", ".join("'" + h + "'" for h in _HEADS)
+    flag = lambda condition: f"({condition})::INT::DOUBLE"
+    quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    found = lambda pattern: flag(f"regexp_matches(r, {quoted(pattern)})")
+    yes_no = ", ".join(f"'{w}'" for w in "is are was were do does did can could should would will".split())
+    sql = {
+        "has_options": flag("k % 2 = 0"),
+        "n_options": "ln(1 + (k % 2 = 0)::INT * 2)",
+        "n_options_raw": "((k % 2 = 0)::INT * 2)::DOUBLE",
+        "has_answer_instruction": flag("k % 3 = 0"),
+        "stripped_ratio": "1 - length(r) / length(q)",
+        "query_chars": "ln(1 + length(q))",
+        "retrieval_chars": "ln(1 + length(r))",
+        "n_tokens": "ln(1 + len(t))",
+        "avg_token_len": "coalesce(list_avg(list_transform(t, lambda x: length(x))), 0)",
+        "has_digit": found("[0-9]"),
+        "n_digits": "ln(1 + len(regexp_extract_all(r, '[0-9]')))",
+        "has_year": found(R.YEAR),
+        "has_date_word": found(R.DATE_WORD),
+        "has_quote": found("[\"']"),
+        "proper_ratio": "len(list_filter(t, lambda x: regexp_matches(x, '^[A-Z]'))) / greatest(len(t), 1)",
+        "has_negation": found(R.NEGATION),
+        "is_temporal": found(R.TEMPORAL),
+        **{f"is_{w}": flag(f"head = '{w}'") for w in ("when", "how", "what", "which", "where", "why")},
+        "is_who": flag("head IN ('who', 'whom', 'whose')"),
+        "is_yesno": flag(f"head IN ({yes_no})"),
+        "is_precision_shape": flag("k % 2 = 0 OR k % 3 = 0"),
+    }
+    columns = ", ".join(f"round({v}, 6) AS {n}" for n, v in sql.items())
+    return rf"""
+WITH asked AS (SELECT doc_id AS k, [{heads}][(doc_id % {len(_HEADS)} + 1)::INT] || ' ' || text AS plain FROM documents),
+q AS (SELECT k, CASE WHEN k % 3 = 0 THEN plain || '{_QUESTION}' ELSE plain END AS q,
+        CASE WHEN k % 3 = 0 THEN regexp_replace(plain, '^\s+|\s+$', '', 'g') ELSE plain END AS r FROM asked),
+p AS (SELECT *, regexp_extract_all(r, {quoted(R.WORD)}) AS t, lower(regexp_extract(r, '{R.HEAD}', 1)) AS head FROM q)
+SELECT k AS doc_id, {columns} FROM p
+"""
 
 
 @query(_features_sql())
 def route_features(spark: SparkSession, sf: str) -> DataFrame:
+    """All features of questions made of every document: a head, the text and, for a third of them, options with an instruction."""
     from tessera.functions.route_features import features
 
-    f = features(F.col("text"), F.array().cast("array<string>"))
-    pick = ["query_chars", "n_tokens", "avg_token_len", "has_digit", "has_year", "has_quote", "proper_ratio"]
-    whole = table(spark, sf, "benchmark").select("item_id", *[f[c].alias(c) for c in pick])
-    flags = ("has_digit", "has_year", "has_quote")
-    return whole.select("item_id", *[F.col(c).cast("int").alias(c) if c in flags else F.round(c, 6).alias(c) for c in pick])
+    k = F.col("doc_id")
+    head = F.element_at(F.array(*[F.lit(h) for h in _HEADS]), (k % len(_HEADS) + 1).cast("int"))
+    asked = docs(spark, sf).select("doc_id", F.concat(head, F.lit(" "), "text", F.when(k % 3 == 0, _QUESTION).otherwise("")).alias("q"))
+    options = F.when(k % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    found = features(F.col("q"), options, F.col("r"))
+    return D.with_retrieval_text(asked, "q", "r").select("doc_id", *[F.round(c, 6).alias(n) for n, c in found.items()])

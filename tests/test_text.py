@@ -33,7 +33,7 @@ def test_time_consistency(spark):
 
 
 def test_redaction_and_evidence(spark):
-    assert ask(spark, T.redact, "mail a.b@c.org tel 13912345678 @bob 123456789")[0] == "mail [email] tel [phone] @[id] [number]"
+    assert ask(spark, T.redact, "mail a.b@c.org tel 13912345678 @bob @12345 123456789 1234567", None) == ["mail ***@*** tel 1********** @bob @*** *** 1234567", ""]
     df = spark.createDataFrame([("he said, hi!", "He: he said hi there"), ("abc", "abc"), (None, "x")], "e string, c string")
     assert [r[0] for r in df.select(T.valid_evidence(F.col("e"), F.col("c"))).collect()] == [True, False, False]
 
@@ -72,6 +72,9 @@ def test_chunks_join_to_the_text():
 def test_options_and_salvage():
     assert strip_options("Which?\nA. one\nB. two\nC. three") == "Which?"
     assert strip_options("Plan A. is fine\nA. x\nB. y") == "Plan A. is fine\nA. x\nB. y"
+    assert strip_options("Who is right? A. one B. two C. three Choose the correct option.") == "Who is right?"
+    assert strip_options("Plan B. is (A) x (C) z (B) y (C) w") == "Plan B. is ("
+    assert strip_options(" A. one B. two D. four ") == "A. one B. two D. four"
     assert salvage('[{"a": "}"}, {"b": {"c": 1}}, {"d": ') == ['{"a": "}"}', '{"b": {"c": 1}}']
 
 
@@ -79,3 +82,13 @@ def test_rendering(spark):
     m = spark.createDataFrame([(1, 1, "assistant", "yes", None), (1, 0, "user", "hi", 86400000)], "conv_id int, turn int, role string, text string, ts long")
     assert conversation(m).first()["content"] == "[user@1970-01-02] hi\n[assistant] yes"
     assert batch_time(m).first()["ts"] == 86400000
+
+
+def test_retrieval_text(spark):
+    from tessera.operators.documents import with_retrieval_text
+
+    q = ["Who? A. one B. two C. three Only one correct.", "Compare A. alpha, B. beta, and C. gamma", "A. one B. two C. three only one correct", "谁？ A. 一 B. 二 C. 三 请只回答选项", None]
+    got = [r["retrieval"] for r in with_retrieval_text(spark.createDataFrame([(x,) for x in q], "q string"), "q").collect()]
+    assert got == ["Who?", q[1], q[2], "谁？", None]
+    assert ask(spark, T.has_answer_instruction, "give it enclosed in parentheses, e.g. (X)", "choose the option") == [True, False]
+    assert ask(spark, T.is_feedback, "STREAMING online QA feedback: x", "feedback") == [True, False]
