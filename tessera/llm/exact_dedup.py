@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE
+from tessera.llm.common import SPACE, parted
 from tessera.session import materialize
 
 PREFIX = 64
@@ -74,20 +74,28 @@ def exact_dedup(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
-    """The documents that stay, all columns. Texts move only for the join with the dropped ids.
+    """The documents that stay, all columns.
 
-    Dropped documents are named by (doc_id, digest). A document repeated with its own doc_id would be kept or dropped
-    as a whole, so where the kept ones hold such repeats (one narrow count tells), they are made distinct after it.
+    Lengths and prefix hashes come from one narrow scan; the full hash is taken only of texts whose length and prefix occur
+    again. Of equal texts the smallest doc_id stays, null last; of its repeated rows, one. Dropped documents are named by
+    (doc_id, digest); only rows whose doc_id may be among those (see parted) move, to be joined with them.
+    Null texts are empty texts; empty input, empty result; columns of any name pass through.
     """
-    verdict = materialize(exact_dedup(docs, prefix).select("doc_id", "kept", "keep_id", "text_sha256"), "verdict")
-    gone = verdict.filter(~F.col("kept") & ~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256").distinct()
-    repeats = verdict.filter(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    digest = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
-    stay = digest.join(
-        gone.select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")),
-        F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_sha") == F.col("_gone_sha")),
-        "left_anti",
-    )
-    if not repeats.isEmpty():
-        stay = stay.dropDuplicates(["doc_id", "_sha"])
-    return stay.select(*docs.columns)
+    text = normalised(F.col("text"))
+    heads = {"n": F.length(text), "head": F.xxhash64(F.substring(text, 1, prefix))}
+    first = materialize(docs.select("doc_id", *[c.alias(k) for k, c in heads.items()]), "heads")
+    again = lambda df, keys: materialize(df.groupBy(*keys).count().filter("count > 1").select(*keys), "again")
+    shared = again(first.join(again(first, ["n"]), "n", "left_semi"), ["n", "head"])
+    _, like = parted(docs.select("doc_id", "text", *[c.alias(k) for k, c in heads.items()]), shared, {k: F.col(k) for k in heads})
+    digests = materialize(like.select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest")), "digests")
+    found = digests.groupBy("digest", "doc_id").count().withColumn("order", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
+    stays = found.groupBy("digest").agg(F.min("order").alias("keep"), F.sum("count").alias("rows")).filter("rows > 1").select("digest", "keep")
+    verdict = found.join(materialize(stays, "stays"), "digest").select("doc_id", "digest", (F.col("order") == F.col("keep")).alias("stays"), "count")
+    named = materialize(verdict.filter("NOT stays OR count > 1").select(F.col("doc_id").alias("named"), F.col("digest").alias("named_digest"), "stays"), "named")
+    clean, touched = parted(docs, named.select("named"), {"named": F.col("doc_id")})
+    marked = touched.select(F.struct(*docs.columns).alias("document"), F.col("doc_id").alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    met = marked.join(named, F.col("id").eqNullSafe(F.col("named")) & (F.col("digest") == F.col("named_digest")), "left").filter("stays IS NULL OR stays")
+    if not named.filter("stays").isEmpty():  # some document that stays has repeated rows
+        own = F.when(F.col("stays").isNull(), F.monotonically_increasing_id())
+        met = met.withColumn("own", own).dropDuplicates(["id", "digest", "own"])
+    return clean.unionByName(met.select("document.*"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import uniform
+from tessera.llm.common import clear_names, uniform
 
 ORDERS = (3, 4)
 TOP = 3000
@@ -144,5 +144,5 @@ def identify(docs: DataFrame, filters: Filters, names: tuple[str, str] = ("lang_
     def decide(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([filters.decide(t) for t in text], columns=["lang_pred", "score"])
 
-    found = docs.drop(*names).withColumn("_decided", decide("text"))
-    return found.select("*", F.col("_decided.lang_pred").alias(names[0]), F.col("_decided.score").alias(names[1])).drop("_decided")
+    found = docs.select(F.struct(*clear_names(docs, list(names)).columns).alias("document"), decide("text").alias("decided"))
+    return found.select("document.*", F.col("decided.lang_pred").alias(names[0]), F.col("decided.score").alias(names[1]))

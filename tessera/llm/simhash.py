@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import parted
 from tessera.llm.components import components
 from tessera.session import materialize
 
@@ -60,16 +61,17 @@ def majority(hashes: np.ndarray, words: int = 1) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, width: int = 4, words: int = 1) -> DataFrame:
-    """doc_id and f0, f1, ... (64 bits each) of every document; a null text is empty and has fingerprint zero."""
+    """doc_id, text_hash and f0, f1, ... (64 bits each) of every document; a null text is empty and has fingerprint zero."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [majority(shingle_hashes(t.as_py(), width), words) for t in batch.column(1).cast(pa.binary())]
+            rows = [majority(shingle_hashes(t.as_py(), width), words) for t in batch.column(2).cast(pa.binary())]
             cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * words
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], [batch.schema.names[0], *[f"f{k}" for k in range(words)]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], [*batch.schema.names[:2], *[f"f{k}" for k in range(words)]])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(prints, f"doc_id {kind}, " + ", ".join(f"f{k} long" for k in range(words)))
+    read = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return read.mapInArrow(prints, f"doc_id {kind}, text_hash long, " + ", ".join(f"f{k} long" for k in range(words)))
 
 
 def lossless_masks(count: int, radius: int = 4) -> list[list[int]]:
@@ -226,7 +228,7 @@ def links(nodes: DataFrame, masks: list[list[int]], radius: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, words: int = 1) -> DataFrame:
-    """doc_id, f0.. (fingerprint), component_id (the smallest doc_id reachable) for every document.
+    """doc_id, text_hash, f0.. (fingerprint), component_id (the smallest doc_id reachable) for every document.
 
     Documents with equal fingerprints are one node, so copies are never compared. With 64 bits and a small radius the search
     is exact; otherwise bucket keys are sampled bits (see sampled_masks). A null doc_id is no candidate for component_id;
@@ -245,7 +247,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, words: int
     group = named.join(least, "root").select("node", "component_id")
     of = nodes.select("node", "rep").join(group, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
     of = materialize(of, "groups")  # so that both sides of the last join are plain shuffles, which Spark can split at hot fingerprints
-    return prints.join(of, "node").select("doc_id", *cols, "component_id")
+    return prints.join(of, "node").select("doc_id", "text_hash", *cols, "component_id")
 
 
 def representatives(docs: DataFrame, width: int = 5, words: int = 4, similarity: float = 0.8) -> DataFrame:
@@ -253,9 +255,14 @@ def representatives(docs: DataFrame, width: int = 5, words: int = 4, similarity:
 
     Similarity is the cosine of shingle counts that the fingerprint estimates: cos(pi * differing bits / bits). At
     0.8 with 256 bits that is 52 bits, 7 standard deviations below what unrelated texts have; one document of each
-    group, that with the smallest doc_id, stays. Rows repeated with one doc_id stay or go together.
+    group, that with the smallest doc_id, stays. Documents are named by doc_id and a hash of the text: rows that repeat both
+    stay or go together, and so do rows of one group that share the smallest doc_id. A row without doc_id goes if its
+    group has a row with one. Only rows that may go (see parted) move, to be joined with those that do. Empty input, empty result.
     """
     radius = math.floor(math.acos(similarity) / math.pi * 64 * words)
-    groups = near_duplicates(docs, width, radius, words)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_duplicates(docs, width, radius, words).filter("NOT doc_id <=> component_id").select("doc_id", "text_hash").distinct()
+    gone = materialize(gone.withColumnsRenamed({"doc_id": "gone", "text_hash": "gone_hash"}), "gone")
+    clean, touched = parted(docs, gone, {"gone": F.col("doc_id"), "gone_hash": F.xxhash64("text")})
+    marked = touched.select(F.struct(*docs.columns).alias("document"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    stay = marked.join(gone, F.col("id").eqNullSafe(F.col("gone")) & (F.col("hash") == F.col("gone_hash")), "left_anti")
+    return clean.unionByName(stay.select("document.*"))
