@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import free_name
 from tessera.llm.exact_dedup import distinct_documents
 from tessera.llm.langid import UNKNOWN, fit, identify
 from tessera.llm.mixing import mixed_documents
@@ -12,14 +13,16 @@ from tessera.llm.packing import pack
 from tessera.llm.simhash import representatives
 from tessera.session import materialize, table
 
-#: Least share of a document's n-grams that the filter of its language must hold; clean documents have 0.8 and more.
-LEAST_SCORE = 0.5
+#: Least share of a document's n-grams that the filter of its language must hold. Most texts of a learned language have 0.9, the
+#: shortest of them over 0.3; what is in none of the languages has less.
+LEAST_SCORE = 0.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those of no language learned from the labelled ones."""
-    found = identify(docs, fit(docs), ("_lang", "_score"))
-    return found.filter((F.col("_lang") != UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = free_name(docs, "lang_found"), free_name(docs, "lang_score")
+    found = identify(docs, fit(docs), (lang, score))
+    return found.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
