@@ -25,8 +25,10 @@ def hashed_words(texts: list[str], dims: int = 256) -> np.ndarray:
     return out
 
 
-def embedder(embed: Callable[[list[str]], np.ndarray] = hashed_words, count: int = 10, chars: int = 20_000, longest: int = 2_000) -> Callable[[Column], Column]:
-    """A column function: texts are cut to `longest` and embedded in calls of at most `count` texts and `chars` characters.
+def embedder(embed: Callable[[list[str]], np.ndarray] = hashed_words, count: int = 10, chars: int = 20_000, longest: int | None = None) -> Callable[[Column], Column]:
+    """A column function: whole texts are embedded in calls of at most `count` texts and `chars` characters (one text may have more).
+
+    longest cuts texts, for endpoints that have such a limit.
 
     A call that fails with ValueError is halved until it holds one text, which then fails for good. Null texts give null.
     """

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +23,35 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, quantiles: dict[str
     return placed.groupBy(*keys).agg(*[F.min(F.when(F.col("_hi") >= at(q), F.col("_x"))).alias(name) for name, q in quantiles.items()])
 
 
-def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """df with the average rank of value within keys, ties sharing their mean."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    size = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    return df.withColumn(name, F.rank().over(w) + (size - 1) / 2.0)
+def average_rank(df: DataFrame, keys: list[str], value: str, name: str, ranges: int = 256) -> DataFrame:
+    """df with the average rank of value within keys, ties sharing their mean; null values have no rank.
+
+    Only distinct values with their counts are ordered, in ranges cut at approximate quantiles, whose totals are added up; so a
+    key with all rows is spread over tasks, and a value that many rows share is one row.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)]).alias("_cuts"))
+    cut = counts.join(cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    totals = cut.groupBy(*keys, "_range").agg(F.sum("_c").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")
+    within = F.sum("_c").over(Window.partitionBy(*keys, "_range").orderBy(value)) - F.col("_c")
+    placed = cut.join(totals.withColumn("_before", before).drop("_n"), [*keys, "_range"]).withColumn(name, F.col("_before") + within + (F.col("_c") + 1) / 2.0)
+    return df.join(placed.select(*keys, value, name), [*keys, value], "left")
+
+
+def smallest(df: DataFrame, digest: str, n: int) -> DataFrame:
+    """The n rows with the smallest values of a hexadecimal digest column; equal digests are all in or all out.
+
+    The first four digits are counted: whole classes below the one that holds the n-th row are taken, and only that class is ordered.
+    """
+    head = F.substring(digest, 1, 4)
+    counts = df.groupBy(head.alias("head")).count()
+    upto = counts.withColumn("before", F.sum("count").over(Window.orderBy("head")) - F.col("count")).filter(F.col("before") < n)
+    last = upto.orderBy(F.desc("head")).first()
+    if last is None:
+        return df.limit(0)
+    edge = df.filter(head == last["head"]).withColumn("_at", F.rank().over(Window.orderBy(digest))).filter(F.col("_at") <= n - last["before"]).drop("_at")
+    return df.filter(head < last["head"]).unionByName(edge)
 
 
 def auc(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,18 +89,14 @@ def jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:
 
 
 def icc2k(ratings: DataFrame) -> DataFrame:
-    """ICC(2,k) and the F of the units, from (unit, judge, score), every unit scored by every judge."""
-    by = lambda c: Window.partitionBy(c)
-    m = ratings.select("*", F.avg("score").over(by("unit")).alias("u"), F.avg("score").over(by("judge")).alias("j"), F.avg("score").over(Window.partitionBy()).alias("g"))
-    sums = m.agg(
-        F.count_distinct("unit").alias("n"),
-        F.count_distinct("judge").alias("k"),
-        F.sum((F.col("u") - F.col("g")) ** 2).alias("su"),
-        F.sum((F.col("j") - F.col("g")) ** 2).alias("sj"),
-        F.sum((F.col("score") - F.col("u") - F.col("j") + F.col("g")) ** 2).alias("se"),
-    )
-    msr, msc, mse = F.col("su") / (F.col("n") - 1), F.col("sj") / (F.col("k") - 1), F.col("se") / ((F.col("n") - 1) * (F.col("k") - 1))
-    return sums.select(((msr - mse) / (msr + (msc - mse) / F.col("n"))).alias("icc2k"), (msr / mse).alias("f"))
+    """ICC(2,k) and the F of the units, from (unit, judge, score), every unit scored by every judge; from sums and group means."""
+    whole = ratings.agg(F.avg("score").alias("g"))
+    squares = lambda by, name: ratings.groupBy(by).agg(F.avg("score").alias("m"), F.count(F.lit(1)).alias("c")).join(F.broadcast(whole)).agg(F.count(F.lit(1)).alias(f"n{name}"), F.sum(F.col("c") * (F.col("m") - F.col("g")) ** 2).alias(f"s{name}"))
+    every = ratings.join(F.broadcast(whole)).agg(F.sum((F.col("score") - F.col("g")) ** 2).alias("st"))
+    sums = every.join(F.broadcast(squares("unit", "u"))).join(F.broadcast(squares("judge", "j")))
+    n, k = F.col("nu"), F.col("nj")
+    msr, msc, mse = F.col("su") / (n - 1), F.col("sj") / (k - 1), (F.col("st") - F.col("su") - F.col("sj")) / ((n - 1) * (k - 1))
+    return sums.select(((msr - mse) / (msr + (msc - mse) / n)).alias("icc2k"), (msr / mse).alias("f"))
 
 
 def krippendorff_ordinal(ratings: DataFrame) -> DataFrame:
@@ -98,8 +123,9 @@ def krippendorff_ordinal(ratings: DataFrame) -> DataFrame:
 def paired(pairs: DataFrame) -> DataFrame:
     """Paired statistics of (a, b): mean difference, wins, ties, losses, matched rank-biserial r, Cohen's dz."""
     d = pairs.select((F.col("a") - F.col("b")).alias("d"))
-    ranked = average_rank(d.filter("d <> 0").select(F.lit(0).alias("g"), "d", F.abs("d").alias("m")), ["g"], "m", "r")
-    rb = ranked.agg(((F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)) - F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0))) / F.sum("r")).alias("rank_biserial"))
+    sides = d.filter("d <> 0").select(F.lit(0).alias("g"), F.abs("d").alias("m"), F.signum("d").alias("side"))
+    ranked = average_rank(sides, ["g"], "m", "r")
+    rb = ranked.agg((F.sum(F.col("side") * F.col("r")) / F.sum("r")).alias("rank_biserial"))
     base = d.agg(
         F.avg("d").alias("mean_diff"), F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") == 0).alias("ties"), F.count_if(F.col("d") < 0).alias("losses"),
         (F.avg("d") / F.stddev_samp("d")).alias("dz"),
@@ -132,19 +158,38 @@ def total_variation(counts: DataFrame) -> DataFrame:
     return sides.groupBy("a", "b", "kind").agg(F.abs(F.sum("p")).alias("d")).groupBy("a", "b").agg((F.sum("d") / 2).alias("tvd"))
 
 
-def bootstrap(df: DataFrame, keys: list[str], id_: str, value: str, resamples: int = 10_000, seed: int = 7) -> DataFrame:
-    """Mean and its percentile interval (2.5, 97.5) from Poisson resamples of the rows.
+def resampled_means(df: DataFrame, keys: list[str], id_: str, value: str, resamples: int = 10_000, seed: int = 7) -> DataFrame:
+    """keys, b, m: the mean of each Poisson resample b. A row's count in a resample is Poisson(1) of a hash of (seed, resample, id), the
+    same on every run. Each task sums all resamples of its rows at once, so rows are never multiplied."""
+    table = df.select(*keys, F.xxhash64(F.lit(seed), id_).alias("_h"), F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    levels = np.cumsum([0.36787944117144233 / math.factorial(k) for k in range(8)])
 
-    A row's count in a resample is Poisson(1) of a hash of (seed, resample, id), so the result is the same on every run; sums are
-    taken map-side for each resample, and no sample is written out.
-    """
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("_b"), F.col(id_)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cdf, p, count = 0.0, 0.36787944117144233, F.lit(0)
-    for k in range(1, 8):
-        cdf += p
-        count = F.when(u >= cdf, k).otherwise(count)
-        p /= k
-    drawn = df.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_c", count)
-    means = drawn.groupBy(*keys, "_b").agg((F.sum(F.col("_c") * F.col(value)) / F.sum("_c")).alias("m"))
+    def draw(h: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            z = h.view(np.uint64)[:, None] + np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return np.searchsorted(levels, (z >> np.uint64(11)).astype(np.float64) / 2.0**53, side="right")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for key, part in batch.groupby(keys, dropna=False):
+                total = sums.setdefault(tuple(key), np.zeros((2, resamples)))
+                for at in range(0, len(part), 256):
+                    c = draw(part["_h"].to_numpy()[at : at + 256])
+                    total += np.stack([part["_x"].to_numpy()[at : at + 256] @ c, c.sum(0)])
+        for key, (s, n) in sums.items():
+            yield pd.DataFrame({**{k: [v] * resamples for k, v in zip(keys, key, strict=True)}, "b": np.arange(resamples), "s": s, "n": n})
+
+    kinds = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
+    summed = table.mapInPandas(run, f"{kinds}, b int, s double, n double").groupBy(*keys, "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return summed.select(*keys, "b", F.try_divide("s", "n").alias("m"))
+
+
+def bootstrap(df: DataFrame, keys: list[str], id_: str, value: str, resamples: int = 10_000, seed: int = 7) -> DataFrame:
+    """Mean and its percentile interval (2.5, 97.5) from Poisson resamples of the rows, the bootstrap that needs no count of rows
+    beforehand: each row is drawn Poisson(1) times instead of n rows being drawn with replacement."""
+    means = resampled_means(df, keys, id_, value, resamples, seed)
     ends = means.groupBy(*keys).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     return df.groupBy(*keys).agg(F.avg(value).alias("mean")).join(ends, keys)

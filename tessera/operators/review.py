@@ -49,6 +49,14 @@ def context_edges(groups: DataFrame, edges: DataFrame) -> DataFrame:
     return left.join(groups.select("group_id", F.col("node_id").alias("dst")), ["group_id", "dst"]).select("group_id", "src", "dst", "rel_type")
 
 
+def context_neighbours(groups: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
+    """group_id, node_id, place: nodes one step from a group's nodes and not of them, the first `most` by id."""
+    step = lambda a, b: edges.select(F.col(a).alias("node_id"), F.col(b).alias("next")).join(groups, "node_id").select("group_id", F.col("next").alias("node_id"))
+    around = step("src", "dst").union(step("dst", "src")).distinct().join(groups, ["group_id", "node_id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("group_id").orderBy("node_id"))
+    return around.withColumn("place", place).filter(F.col("place") <= most)
+
+
 def request_counters(log: DataFrame) -> DataFrame:
     """method, total, errors, with the grand total under a null method."""
     return log.rollup("method").agg(F.count(F.lit(1)).alias("total"), F.count_if("error").alias("errors"))

@@ -126,10 +126,10 @@ def quantile_curve(spark: SparkSession, sf: str) -> DataFrame:
     s = scores(spark, sf)
     wanted = {f"q{i}": q for i, q in enumerate((0.5, 0.75, 0.9, 0.95, 0.99))}
     taus = E.nearest_rank(s.filter("NOT positive").withColumn("g", F.lit(0)), ["g"], "score", wanted)
-    each = taus.select(F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(n).alias("tau")) for n, q in wanted.items()])).alias("t")).select("t.*")
-    over = (F.col("score") >= F.col("tau")).cast("int")
-    joined = s.join(F.broadcast(each))
-    return joined.groupBy("q", "tau").agg(F.round(F.avg(F.when(F.col("positive"), over)), 6).alias("keep_within"), F.round(F.avg(F.when(~F.col("positive"), over)), 6).alias("keep_across"))
+    over = lambda n: (F.col("score") >= F.col(n)).cast("int")
+    part = lambda n, own, name: F.round(F.avg(F.when(own, over(n))), 6).alias(name)
+    rows = [F.struct(F.lit(q).alias("q"), F.max(n).alias("tau"), part(n, F.col("positive"), "keep_within"), part(n, ~F.col("positive"), "keep_across")) for n, q in wanted.items()]
+    return s.join(F.broadcast(taus)).agg(F.array(*rows).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")  # taus is one row
 
 
 @query(SCORES + """, t AS (SELECT (range / 100.0)::DOUBLE AS tau FROM range(20, 91)) SELECT tau, round(avg((score >= tau)::INT) FILTER (positive) - avg((score >= tau)::INT) FILTER (NOT positive), 6) AS margin FROM t, scores GROUP BY tau""")
@@ -181,7 +181,7 @@ def edge_type_ablation(spark: SparkSession, sf: str) -> DataFrame:
     """Arms of the ablation; the random control takes as many edges as the directional arm, by a hash."""
     e = C.edges(spark, sf)
     one = e.filter(F.col("rel_type").isin(DIRECTIONAL))
-    control = e.orderBy(F.md5(F.concat_ws("|", "src", "dst")), "src", "dst").limit(one.count())
+    control = E.smallest(e.withColumn("h", F.md5(F.concat_ws("|", "src", "dst"))), "h", one.count())
     arms = {"base": e, "directional": one, "mutual": e.filter(F.col("rel_type").isin(MUTUAL)), "random": control}
     parts = [df.select(F.lit(a).alias("arm"), "rel_type") for a, df in arms.items()]
     whole = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
@@ -276,5 +276,5 @@ def abstention_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean and 95 % interval of each judge from 200 Poisson resamples; a hash gives each row its count in each resample."""
-    return E.bootstrap(ratings(spark, sf).select("judge", F.col("unit").alias("id"), F.col("raw").alias("x")), ["judge"], "id", "x", 200)
+    """Mean and 95 % interval of each judge from 10000 Poisson resamples; a hash gives each row its count in each resample."""
+    return E.bootstrap(ratings(spark, sf).select("judge", F.col("unit").alias("id"), F.col("raw").alias("x")), ["judge"], "id", "x")

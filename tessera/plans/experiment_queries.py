@@ -66,13 +66,19 @@ def structure_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("gold", "found", "covered", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-@query("""WITH f AS (SELECT conv_id, text AS fact FROM conversations WHERE turn = 1), a AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS answer FROM conversations WHERE turn <= 1 GROUP BY conv_id),
-  n AS (SELECT f.conv_id, regexp_replace(lower(fact), '[\\s\\p{P}]+', '', 'g') AS f, regexp_replace(lower(answer), '[\\s\\p{P}]+', '', 'g') AS a FROM f JOIN a USING (conv_id)) SELECT conv_id, count(*) AS facts, count(*) FILTER (contains(a, f) AND f <> '') AS hits FROM n GROUP BY conv_id""")
+@query(r"""
+WITH a AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) FILTER (role = 'assistant') AS answer FROM conversations GROUP BY conv_id),
+n AS (
+  SELECT c.conv_id, regexp_replace(lower(coalesce(text, '')), '[\s\p{P}]+', '', 'g') AS f, regexp_replace(lower(coalesce(answer, '')), '[\s\p{P}]+', '', 'g') AS a
+  FROM conversations c JOIN a USING (conv_id))
+SELECT conv_id, count(*) AS facts, count(*) FILTER (contains(a, f) AND f <> '') AS hits FROM n GROUP BY conv_id
+""")
 def fact_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn as a fact that the answer, all that the assistant said, may hold."""
     c = table(spark, sf, "conversations")
-    first = F.sort_array(F.collect_list(F.struct("turn", "text")))
-    answers = c.filter("turn <= 1").groupBy("conv_id").agg(F.array_join(F.transform(first, lambda r: r["text"]), " ").alias("answer"))
-    return X.fact_hits(c.filter("turn = 1").select("conv_id", F.col("text").alias("fact")), answers, "conv_id")
+    said = F.sort_array(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", "text"))))
+    answers = c.groupBy("conv_id").agg(F.array_join(F.transform(said, lambda r: r["text"]), " ").alias("answer"))
+    return X.fact_hits(c.select("conv_id", F.col("text").alias("fact")), answers, "conv_id")
 
 
 @query("""WITH s AS (SELECT user_id AS query_id, value / 100.0::DOUBLE AS score, event_type = 'purchase' AS gold FROM events), t AS (SELECT unnest([0.1, 0.3, 0.5, 0.7]::DOUBLE[]) AS tau),

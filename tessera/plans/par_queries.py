@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import graph as G
 from tessera.operators import par as P
 from tessera.operators import vectors as V
 from tessera.plans.graph_queries import ADJ_SQL, JUMP_SQL
 from tessera.sources import canonical as C
-from tessera.schema import FRAME_CUES, FRAME_RELATIONS, FRAME_TYPES, jump_rows
+from tessera.schema import DIRECTIONAL, FRAME_CUES, FRAME_RELATIONS, FRAME_TYPES, jump_rows
 from tessera.sources.canonical import BASE_SQL
+from tessera.session import materialize
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -320,6 +322,44 @@ def path_tree_edges(spark: SparkSession, sf: str) -> DataFrame:
     return P.tree_edges(P.core_groups(hops, P.band(hops, means, LOOSE)), hops)
 
 
+_AUGMENT = f""", fe AS (SELECT query_id, node_id, arg_min((parent, rel_type, is_reverse), hop) AS e FROM hops WHERE parent IS NOT NULL GROUP BY query_id, node_id),
+  g AS MATERIALIZED (SELECT DISTINCT query_id AS group_id, node_id FROM core),
+  c AS MATERIALIZED (SELECT query_id AS group_id, CASE WHEN e[3] THEN node_id ELSE e[1] END AS src, CASE WHEN e[3] THEN e[1] ELSE node_id END AS dst FROM fe WHERE EXISTS (SELECT 1 FROM g WHERE g.group_id = fe.query_id AND g.node_id = fe.node_id)),
+  o AS (
+    SELECT g.group_id, e.src, e.dst, e.rel_type, (rel_type NOT IN ({", ".join(f"'{r}'" for r in DIRECTIONAL)}))::INT AS late FROM edges e JOIN g ON g.node_id = e.src JOIN g h ON h.node_id = e.dst AND h.group_id = g.group_id
+    WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.group_id = g.group_id AND least(c.src, c.dst) = least(e.src, e.dst) AND greatest(c.src, c.dst) = greatest(e.src, e.dst))),
+  b AS (SELECT group_id, least(greatest(60, least(300, 2 * count(*))), 2 * count(*) - coalesce((SELECT count(*) FROM c WHERE c.group_id = g.group_id), 0)) AS budget FROM g GROUP BY group_id),
+  u AS (SELECT *, row_number() OVER (PARTITION BY group_id, least(src, dst), greatest(src, dst) ORDER BY late, src, dst) AS turn FROM o),
+  pl2 AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY late, src, dst) AS place FROM u WHERE turn = 1)"""
+
+
+def _path(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes of each query's paths (group_id, node_id), the edges that led to them, and the edges added among them."""
+    (hops, means), _ = _run(spark, sf, LOOSE)
+    groups = materialize(P.core_groups(hops, P.band(hops, means, LOOSE)), "groups")
+    nodes = groups.select(F.col("query_id").alias("group_id"), "node_id").distinct()
+    tree = materialize(P.tree_edges(groups, hops).withColumnRenamed("query_id", "group_id"), "tree")
+    return nodes, tree, G.augment(nodes, tree.select("group_id", "src", "dst"), C.edges(spark, sf))
+
+
+@query(par_sql(thr=0.1) + _CORE + _AUGMENT + " SELECT p.group_id, src, dst, rel_type, place::INT AS place FROM pl2 p JOIN b USING (group_id) WHERE place <= budget")
+def path_augmented_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges among the nodes of each query's retrieved paths that the paths did not take."""
+    return _path(spark, sf)[2]
+
+
+_WHOLE_PATH = """, whole AS (SELECT group_id, e[2] AS rel_type FROM fe JOIN g ON g.group_id = fe.query_id AND g.node_id = fe.node_id UNION ALL SELECT p.group_id, rel_type FROM pl2 p JOIN b USING (group_id) WHERE place <= budget)
+  SELECT group_id AS query_id, rel_type, count(*) AS n FROM whole GROUP BY group_id, rel_type"""
+
+
+@query(par_sql(thr=0.1) + _CORE + _AUGMENT + _WHOLE_PATH)
+def path_edge_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths put together from the edges that led to their nodes and those added, by relation."""
+    _, tree, added = _path(spark, sf)
+    whole = tree.select("group_id", "rel_type").unionByName(added.select("group_id", "rel_type"))
+    return whole.groupBy(F.col("group_id").alias("query_id"), "rel_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(par_sql(thr=0.1) + "SELECT query_id, hop, node_id, round(combined, 4) AS score, pos::INT AS pos FROM hops WHERE pos <= 8")
 def hop_digest(spark: SparkSession, sf: str) -> DataFrame:
     (hops, _), _ = _run(spark, sf, LOOSE)

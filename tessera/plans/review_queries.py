@@ -44,10 +44,32 @@ def find_duplicate(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("query_id").agg(F.max_by("id", F.struct("s", (-F.col("ord")).alias("o"))).alias("duplicate_of"), F.round(F.max("s"), 6).alias("score"))
 
 
-@query(BASE_SQL + ", s AS (SELECT scene AS group_id, node_id FROM members WHERE pos < 15) SELECT a.group_id, e.src, e.dst, e.rel_type FROM edges e JOIN s a ON a.node_id = e.src JOIN s b ON b.node_id = e.dst AND b.group_id = a.group_id")
+_NEAREST = f""", nearest AS MATERIALIZED (
+  SELECT * FROM (SELECT q.ord AS group_id, n.node_id, row_number() OVER (PARTITION BY q.ord ORDER BY round({COS}, 9) DESC, n.ord) AS place FROM nodes q, nodes n WHERE q.ord % 50 = 0)
+  WHERE place <= 15)"""
+
+
+def _nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The fifteen nearest nodes of every node whose number is divisible by 50."""
+    v = C.vectors(spark, sf)
+    return knn(v.filter("ord % 50 = 0").select(F.col("ord").alias("query_id"), "embedding"), v, 15).select(F.col("query_id").alias("group_id"), F.col("id").alias("node_id"))
+
+
+@query(BASE_SQL + _NEAREST + """
+SELECT a.group_id, e.src, e.dst, e.rel_type FROM edges e JOIN nearest a ON a.node_id = e.src JOIN nearest b ON b.node_id = e.dst AND b.group_id = a.group_id
+""")
 def context_edges(spark: SparkSession, sf: str) -> DataFrame:
-    groups = C.scene_members(spark, sf).filter("pos < 15").select(F.col("scene").alias("group_id"), "node_id")
-    return R.context_edges(groups, C.edges(spark, sf))
+    return R.context_edges(_nearest(spark, sf), C.edges(spark, sf))
+
+
+@query(BASE_SQL + _NEAREST + """
+, around AS (
+  SELECT group_id, dst AS node_id FROM edges e JOIN nearest k ON k.node_id = e.src UNION SELECT group_id, src FROM edges e JOIN nearest k ON k.node_id = e.dst),
+p AS (SELECT a.*, row_number() OVER (PARTITION BY group_id ORDER BY node_id) AS place FROM around a WHERE NOT EXISTS (SELECT 1 FROM nearest k WHERE k.group_id = a.group_id AND k.node_id = a.node_id))
+SELECT group_id, node_id, place::INT AS place FROM p WHERE place <= 20
+""")
+def context_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return R.context_neighbours(_nearest(spark, sf), C.edges(spark, sf))
 
 
 @query("SELECT event_type AS method, count(*) AS total, count(*) FILTER (value < 1) AS errors FROM events GROUP BY ROLLUP (event_type)")

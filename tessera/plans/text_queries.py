@@ -178,16 +178,17 @@ def period_flags(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.array_join(F.sort_array(T.explicit_periods(t)), "|").alias("periods"))
 
 
-@query("""WITH h AS (SELECT i.item_id AS query_id, conv_id AS doc_id, turn AS idx, row_number() OVER (PARTITION BY i.item_id ORDER BY conv_id, turn) AS place FROM conversations c JOIN benchmark i ON c.conv_id % 40 = i.item_id % 40 WHERE c.turn = 2),
+@query("""WITH h AS (SELECT i.item_id AS query_id, conv_id AS doc_id, turn AS idx, row_number() OVER (PARTITION BY i.item_id ORDER BY conv_id, turn) AS place FROM conversations c JOIN benchmark i ON c.conv_id % 40 = i.item_id % 40),
   a AS (SELECT h.query_id, h.doc_id, c.turn AS hit_at, h.place, c.turn - h.idx AS step FROM h JOIN conversations c ON c.conv_id = h.doc_id AND c.turn BETWEEN h.idx - 1 AND h.idx + 1),
   f AS (SELECT query_id, doc_id, hit_at, min((place, step)) AS f, max(CASE WHEN step = 0 THEN 1.0::DOUBLE / place END) AS score FROM a GROUP BY query_id, doc_id, hit_at)
   SELECT query_id, doc_id, hit_at AS idx, (row_number() OVER (PARTITION BY query_id ORDER BY f, doc_id, hit_at))::INT AS place, score FROM f""")
 def doc_neighbour_expand(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn is a hit of the items of its class; hits are ranked by conversation and turn."""
     from pyspark.sql import Window
 
     c = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"))
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("m"))
-    hits = c.filter("idx = 2").withColumn("m", F.col("doc_id") % 40).join(items, "m")
+    hits = c.withColumn("m", F.col("doc_id") % 40).join(items, "m")
     hits = hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id", "idx"))).withColumn("score", 1.0 / F.col("place"))
     return D.neighbours(hits, c, 1)
 
