@@ -11,12 +11,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.llm.common import Bloom
+from tessera.session import discard, materialize
 
 LEAST = 5
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-BLOOM_BITS = 1 << 27
 
 
 def signed_hash(words: list[bytes], *more: int) -> int:
@@ -87,41 +87,22 @@ def scan(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return numbered.mapInArrow(run, f"row long, doc_id {kind}, line int, hash long, n int, keys array<long>")
 
 
-def bloom(hashes: DataFrame) -> np.ndarray:
-    """A Bloom filter with two bits for each hash, built on Spark; whatever the table, it has BLOOM_BITS bits (16 MB)."""
-    bit = [F.col("hash"), F.shiftrightunsigned("hash", 32)]
-    at = hashes.select(F.explode(F.array(*[b.bitwiseAND(F.lit(BLOOM_BITS - 1)) for b in bit])).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 63 AS INT)))").alias("bits")).toPandas()
-    out = np.zeros(BLOOM_BITS // 64, dtype=np.uint64)
-    out[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
-    return out
-
-
-def may_hold(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    held = np.ones(len(hashes), dtype=bool)
-    for h in (hashes.view(np.uint64), hashes.view(np.uint64) >> np.uint64(32)):
-        at = (h & np.uint64(BLOOM_BITS - 1)).astype(np.int64)
-        held &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-    return held
-
-
 def contents(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """hash, first, content of the lines whose first occurrence (first.doc_id, first.line) is asked for.
 
-    A second scan hashes the lines again and passes on those that a Bloom filter of fixed size may hold; the join decides.
-    So the other lines' texts are not shuffled; a filter too full to help costs only what no filter would.
+    A second scan hashes the lines again and passes on those that a Bloom filter, sized by the number of lines asked for, may
+    hold; the join decides. So the other lines' texts are not shuffled, as long as the filter has room (see Bloom).
     """
-    kind, shared = dict(docs.dtypes)["doc_id"], docs.sparkSession.sparkContext.broadcast(bloom(firsts))
+    kind, asked = dict(docs.dtypes)["doc_id"], Bloom(firsts.select(F.col("hash").alias("key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 lines = text.as_py().split(b"\n") if text.is_valid else []
                 full = [(at, w) for at, w in enumerate(map(bytes.split, lines)) if w]
                 hashes = np.array([signed_hash(w) for _, w in full], dtype=np.int64)
-                for k in np.flatnonzero(may_hold(words, hashes)).tolist():
+                for k in np.flatnonzero(asked.holds(hashes)).tolist():
                     for column, value in zip(out, (doc, full[k][0], hashes[k], lines[full[k][0]]), strict=True):
                         column.append(value)
             kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.string()]
@@ -151,7 +132,7 @@ def earlier(chosen: DataFrame) -> DataFrame:
     the partner of the rest. A deletion that is a whole line joins the two, either of which may be the earlier. No
     group's pairs are formed: a deletion meets its group's minimum and at most one line.
     """
-    emitted = materialize(deletions(chosen), "deletions")
+    emitted = materialize(deletions(chosen), "deletions")  # read four times
     shorter_by_one = emitted.filter("at < n")
     best = F.min(F.struct("first", "hash"))
     groups = shorter_by_one.groupBy("less", "at", "n").agg(best.alias("best"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
@@ -176,7 +157,9 @@ def line_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped (ascending line numbers from 0) for every document.
 
     A line goes if an earlier line has the same words, or the same but for one word replaced, inserted or deleted, both
-    having `least` words or more (one edit in five is a similarity of 0.8). Earlier means by doc_id (null last), then by
+    having `least` words or more (one edit in five is a similarity of 0.8). Lines of fewer words go only if equal, and a line with two
+    edits stays, however long. Lines and deletions are told apart by 64-bit hashes; of a line's partners by hash the earliest is
+    verified, so a collision could keep a line, never drop one. Earlier means by doc_id (null last), then by
     line; earlier lines count whether they stay or not, so the result needs no order of work. Blank lines stay. Null
     texts have no lines. Rows repeated with one doc_id are documents of their own. Other columns are not read.
     """
@@ -188,16 +171,20 @@ def line_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     firsts = materialize(lines.filter("line IS NOT NULL").groupBy("hash").agg(F.min(position).alias("first")), "firsts")
     asked = materialize(firsts.join(near, "hash", "left_semi"), "asked")
     chosen = materialize(contents(docs, asked), "chosen")
+    discard(asked)
     gone = firsts.join(earlier(chosen), "hash", "left").select("hash", F.col("first.row").alias("first_row"), F.col("first.line").alias("first_line"), F.col("partner").isNotNull().alias("late"))
-    gone = materialize(gone, "gone")  # so that both sides of the next join are plain shuffles, which Spark can split at hot lines
-    judged = lines.select("row", "doc_id", "line", "hash", "n").join(gone, "hash", "left")
-    out = F.col("line").isNotNull() & (F.col("late") | (F.col("first_row") != F.col("row")) | (F.col("first_line") != F.col("line")))
+    gone = materialize(gone, "gone")
+    discard(firsts, chosen)
+    # gone is written so that both sides of the next join are plain shuffles, which Spark can split at hot lines
+    judged = lines.filter("line IS NOT NULL").select("row", "line", "hash").join(gone, "hash")
+    out = F.col("late") | (F.col("first_row") != F.col("row")) | (F.col("first_line") != F.col("line"))
+    dropped = judged.filter(out).select("row", F.lit(None).cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), F.col("line").alias("out"), F.lit(None).cast("int").alias("n"))
     return (
-        judged.withColumn("out", F.when(out, F.col("line")))
+        dropped.union(lines.filter("line IS NULL").select("row", "doc_id", "line", "n"))
         .groupBy("row")
         .agg(
             F.first("doc_id", ignorenulls=True).alias("doc_id"),
-            F.max(F.when(F.col("line").isNull(), F.col("n"))).cast("long").alias("n_lines"),
+            F.max("n").cast("long").alias("n_lines"),
             F.count("out").alias("n_dropped"),
             F.sort_array(F.collect_list("out")).alias("dropped"),
         )
