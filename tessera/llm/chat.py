@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import n_words
+from tessera.llm.common import free_name, n_words
 
 #: One part of a message. units: pixels of an image, milliseconds of audio, pages of a document; text of a text part.
 PART = T.StructType(
@@ -40,21 +40,44 @@ def text_parts(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("kind"), text.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("units")))
 
 
+def is_text(part: Column) -> Column:
+    """A part of null kind is a text, too."""
+    return F.coalesce(part["kind"], F.lit("text")) == "text"
+
+
 def expanded(part: Column) -> Column:
     """Tokens that a part stands for: words of a text; of an attachment, units by PER_TOKEN, at least one."""
     units = F.coalesce(part["units"], F.lit(0))
     most = F.when(part["kind"] == "image", F.ceil(units / PER_TOKEN["image"]))
     most = most.when(part["kind"] == "audio", F.ceil(units / PER_TOKEN["audio"])).otherwise(units * DOCUMENT_TOKENS)
-    return F.when(part["kind"] == "text", n_words(part["text"])).otherwise(F.greatest(most, F.lit(1))).cast("long")
+    return F.when(is_text(part), n_words(part["text"])).otherwise(F.greatest(most, F.lit(1))).cast("long")
+
+
+def before(counts: Column, first: Column) -> Column:
+    """For an array of counts, first plus the sum of those before each place, in one fold."""
+    start = F.struct(first.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda s, n: F.struct((s["at"] + n).cast("int").alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+    return F.aggregate(counts, start, step, lambda s: s["out"])
 
 
 def visit(parts: Column) -> Column:
-    """Flattened content: a text part is its escaped text; another part is the placeholder <|kind:k|> with k, its place
-    among the message's attachments. A part of null kind is a text; a null list is empty."""
+    """Flattened content, a string for each part: a text is escaped; another part is the placeholder <|kind:k|> with k, its place
+    among the message's attachments. A null list is empty.
+
+    No control string can arise from more parts than one: a text that follows a text begins with a backslash. In a kind a
+    backslash goes before each character that a placeholder or a turn is told by.
+    """
     given = F.coalesce(parts, F.array().cast(f"array<{PART_DDL}>"))
-    is_text = lambda p: F.coalesce(p["kind"], F.lit("text")) == "text"
-    place = lambda i: F.size(F.filter(F.slice(given, F.lit(1), i), lambda p: ~is_text(p)))
-    return F.transform(given, lambda p, i: F.when(is_text(p), escape(p["text"])).otherwise(F.concat(F.lit("<|"), p["kind"], F.lit(":"), place(i).cast("string"), F.lit("|>"))))
+    places = before(F.transform(given, lambda p: F.when(is_text(p), 0).otherwise(1)), F.lit(0))
+    kind = lambda p: F.regexp_replace(p["kind"], r"[\\|<>:#\n]", r"\\$0")
+
+    def flat(p: Column, i: Column) -> Column:
+        own = escape(p["text"])
+        seam = (i > 0) & is_text(F.get(given, i - 1)) & ~own.startswith("\\") & (own != "")
+        placeholder = F.concat(F.lit("<|"), kind(p), F.lit(":"), F.get(places, i).cast("string"), F.lit("|>"))
+        return F.when(is_text(p), F.concat(F.when(seam, "\\").otherwise(""), own)).otherwise(placeholder)
+
+    return F.transform(given, flat)
 
 
 def format_turns(messages: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -63,21 +86,26 @@ def format_turns(messages: DataFrame, trained: tuple[str, ...] = ("assistant",))
     formatted is the turn in the template; concatenated by turn the rows of a conversation are its training text. loss lists
     (start, length) ranges of code points of formatted: the text parts of trained roles, without the placeholders.
     attachments lists (place, kind, ref, tokens); tokens counts all parts expanded. Each row is formatted on its own,
-    so a conversation of any length is spread over tasks. Null roles are empty; unknown kinds count as documents.
+    so a conversation of any length is spread over tasks. Null roles are empty; unknown kinds count as documents. Other columns
+    pass; those of the four names are replaced. Empty input, empty result.
     """
     role = F.regexp_replace(escape(F.col("role")), "\n", "\\\\\n")
-    head = F.concat(F.lit(OPEN), role, F.lit("\n"))
-    flat = messages.withColumn("_flat", visit(F.col("parts"))).withColumn("_head", head)
-    others = F.filter("parts", lambda p: F.coalesce(p["kind"], F.lit("text")) != "text")
-    before = lambda i: F.length("_head") + F.length(F.array_join(F.slice("_flat", F.lit(1), i), ""))
-    ranges = F.transform("_flat", lambda s, i: F.struct(before(i).cast("int").alias("start"), F.length(s).alias("length"), (F.coalesce(F.col("parts")[i]["kind"], F.lit("text")) == "text").alias("own")))
-    kept = F.transform(F.filter(ranges, lambda r: r["own"] & (r["length"] > 0)), lambda r: F.struct(r["start"].alias("start"), r["length"].alias("length")))
-    return (
-        flat.withColumn("formatted", F.concat("_head", F.array_join("_flat", ""), F.lit(CLOSE)))
-        .withColumn("loss", F.when(F.coalesce(F.col("role").isin(*trained), F.lit(False)), kept).otherwise(F.array().cast("array<struct<start:int,length:int>>")))
-        .withColumn("attachments", F.transform(others, lambda p, i: F.struct(i.alias("place"), p["kind"].alias("kind"), p["ref"].alias("ref"), expanded(p).alias("tokens"))))
-        .withColumn("tokens", F.coalesce(F.aggregate(F.transform("parts", expanded), F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0)))
-        .drop("_flat", "_head")
+    head, flat = free_name(messages, "head"), free_name(messages, "flat")
+    kept = [F.col(c) for c in messages.columns if c.lower() not in ("formatted", "loss", "attachments", "tokens")]
+    laid = messages.withColumn(head, F.concat(F.lit(OPEN), role, F.lit("\n"))).withColumn(flat, visit(F.col("parts")))
+    starts = before(F.transform(flat, F.length), F.length(head))
+    ranges = F.transform(
+        F.arrays_zip(starts.alias("start"), F.transform(flat, F.length).alias("length"), F.transform("parts", is_text).alias("own")),
+        lambda r: F.struct(r["start"].alias("start"), r["length"].alias("length"), r["own"].alias("own")),
+    )
+    own = F.transform(F.filter(ranges, lambda r: r["own"] & (r["length"] > 0)), lambda r: F.struct(r["start"].alias("start"), r["length"].alias("length")))
+    others = F.filter("parts", lambda p: ~is_text(p))
+    return laid.select(
+        *kept,
+        F.concat(head, F.array_join(flat, ""), F.lit(CLOSE)).alias("formatted"),
+        F.when(F.coalesce(F.col("role").isin(*trained), F.lit(False)) & F.col("parts").isNotNull(), own).otherwise(F.array().cast("array<struct<start:int,length:int>>")).alias("loss"),
+        F.transform(others, lambda p, i: F.struct(i.alias("place"), p["kind"].alias("kind"), p["ref"].alias("ref"), expanded(p).alias("tokens"))).alias("attachments"),
+        F.coalesce(F.aggregate(F.transform("parts", expanded), F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0)).alias("tokens"),
     )
 
 
