@@ -191,10 +191,12 @@ def bigram_cover(text: Column, whole: Column) -> Column:
 
 
 def space_dirname(user_id: Column) -> Column:
-    """A folder name: letters, digits, _ and - as they are, other UTF-8 bytes percent-escaped."""
+    """A folder name: letters, digits, _ and - as they are, other UTF-8 bytes percent-escaped; so is the first byte of a reserved name."""
     bytes_ = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(user_id), F.lit(1))), lambda i: F.substring(F.hex(user_id.cast("binary")), (i - 1) * 2 + 1, F.lit(2)))
     plain = F.transform(bytes_, lambda h: F.when(F.decode(F.unhex(h), "ISO-8859-1").rlike("^[A-Za-z0-9_-]$"), F.decode(F.unhex(h), "ISO-8859-1")).otherwise(F.concat(F.lit("%"), h)))
-    return F.array_join(plain, "")
+    joined = F.array_join(plain, "")
+    reserved = F.upper(joined).rlike("^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$")
+    return F.when(reserved, F.concat(F.lit("%"), F.get(bytes_, 0), F.substring(joined, 2, 1 << 30))).otherwise(joined)
 
 
 def parse_probability(answer: Column) -> Column:

@@ -110,9 +110,12 @@ def backfill_estimate(groups: DataFrame, seconds_per_group: float = 4.5, gate_mi
 def usage(call: Column) -> dict[str, Column]:
     """Token counts of a JSON call record under any of its known names; the cached part never exceeds the input."""
     pick = lambda *names: F.coalesce(*[F.get_json_object(call, f"$.{n}").try_cast("long") for n in names], F.lit(0))
-    prompt = pick("usage.prompt_tokens", "usage.input_tokens", "prompt_eval_count")
-    cached = pick("usage.prompt_tokens_details.cached_tokens", "usage.cache_read_input_tokens", "usage.prompt_cache_hit_tokens")
-    return {"input": prompt, "output": pick("usage.completion_tokens", "usage.output_tokens", "eval_count"), "cached": F.least(cached, prompt)}
+    prompt, output = pick("usage.prompt_tokens", "usage.input_tokens"), pick("usage.completion_tokens", "usage.output_tokens")
+    cached = pick("usage.prompt_cache_hit_tokens", "usage.prompt_tokens_details.cached_tokens", "usage.input_tokens_details.cached_tokens")
+    cached = F.greatest(F.lit(0), F.least(cached, prompt))
+    total = F.coalesce(F.get_json_object(call, "$.usage.total_tokens").try_cast("long"), prompt + output)
+    missed = F.greatest(F.lit(0), F.coalesce(F.get_json_object(call, "$.usage.prompt_cache_miss_tokens").try_cast("long"), prompt - cached))
+    return {"input": prompt, "output": output, "total": total, "cached": cached, "missed": missed}
 
 
 def verdict(answer: Column) -> Column:
@@ -125,12 +128,29 @@ def should_maintain(conversation: Column, answer: Column, long: int = 900) -> Co
     return (F.length(conversation) > long) | F.coalesce(verdict(answer), F.lit(False))
 
 
+# A line's label in brackets, an account number in it or after it, and labels that are times.
+SPEAKER_LABEL = r"^\s*\[([^\[\]\n]{1,40})\]\s*"
+ACCOUNT = r"(?i)[（(]\s*QQ\s*[:：]?\s*(\d{5,12})[^）)]*[）)]"
+TIME_LABEL = r"\d{1,2}:\d{2}|^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}"
+
+
 def speakers(text: Column) -> dict[str, Column]:
-    """Speaker and id of lines `name(id): ...`; null unless all such lines agree."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\s*[^():：]+\([^)]*\)\s*[:：]"))
-    part = lambda k: F.array_distinct(F.transform(lines, lambda x: F.trim(F.regexp_extract(x, r"^\s*([^():：]+)\(([^)]*)\)", k))))
-    one = lambda a: F.when(F.size(a) == 1, F.get(a, 0))
-    return {"speaker": one(part(1)), "speaker_id": one(part(2))}
+    """Speaker and account number of a round whose lines are `[name] words`, each where all lines that have one agree; both null if a
+    line has no label, or a time for one."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), F.trim), lambda x: x != "")
+
+    def parsed(line: Column) -> Column:
+        label = F.trim(F.regexp_extract(line, SPEAKER_LABEL, 1))
+        rest = F.regexp_replace(line, SPEAKER_LABEL, "")
+        inner = F.regexp_extract(label, ACCOUNT, 1)
+        outer = F.regexp_extract(rest, ACCOUNT.replace("(?i)", "(?i)^"), 1)
+        name = F.trim(F.regexp_replace(label, ACCOUNT, ""))
+        return F.struct(F.when((name != "") & ~name.rlike(TIME_LABEL), name).alias("name"), F.when(inner != "", inner).otherwise(F.when(outer != "", outer)).alias("account"))
+
+    found = F.transform(lines, parsed)
+    plain = (F.size(found) > 0) & ~F.exists(found, lambda p: p["name"].isNull())
+    one = lambda field: F.array_distinct(F.filter(F.transform(found, lambda p: p[field]), lambda x: x.isNotNull()))
+    return {"speaker": F.when(plain & (F.size(one("name")) == 1), F.get(one("name"), 0)), "speaker_id": F.when(plain & (F.size(one("account")) == 1), F.get(one("account"), 0))}
 
 
 def parse_ops(answer: Column, ddl: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "par_result"
 #: Modules that define QUERIES (name -> fn(spark, sf_dir)) and ORACLE (name -> SQL).
-MODULES = ["graph_queries", "par_queries", "text_queries", "eval_queries", "review_queries", "experiment_queries"]
+MODULES = ["graph_queries", "par_queries", "text_queries", "eval_queries", "review_queries", "experiment_queries", "intake_queries"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
