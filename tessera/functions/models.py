@@ -62,6 +62,46 @@ def embedder(embed: Callable[[list[str]], np.ndarray] = hashed_words, count: int
     return run
 
 
+def completer(ask: Callable[[str], str], parse: Callable[[str], object], kind: str, default: object = None, tries: int = 2) -> Callable[[Column], Column]:
+    """A column function for a chat model: each prompt is asked, its answer parsed to the given type; an answer that does not parse
+    (ValueError) or is None is asked for again, and after `tries` of them the default stands. Null prompts give null."""
+
+    def one(prompt: str) -> object:
+        for _ in range(tries):
+            try:
+                found = parse(ask(prompt))
+            except ValueError:
+                found = None
+            if found is not None:
+                return found
+        return default
+
+    @F.pandas_udf(kind)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([None if p is None else one(p) for p in part], dtype=object)
+
+    return run
+
+
+def fitting(write: Callable[[list[str]], str], texts: list[str], chars: int = 2_000, shrink: float = 0.6, least: int = 6, rounds: int = 3) -> str:
+    """A model's text over a list of texts within a length: written once more if too long, then over a shrinking head of the list
+    (at least `least` of them, at most `rounds` times); what is still too long is cut at a sentence end, else hard."""
+    story = write(texts)
+    if len(story) > chars:
+        story = write(texts)
+    for _ in range(rounds):
+        keep = max(least, int(len(texts) * shrink))
+        if len(story) <= chars or keep >= len(texts):
+            break
+        texts = texts[:keep]
+        story = write(texts)
+    if len(story) <= chars:
+        return story
+    ends = [m.end() for m in re.finditer(r"[。！？；\n.!?;]", story[: chars - 1]) if m.end() >= chars - 200]
+    return story[: ends[-1] if ends else chars - 1].rstrip() + "…"
+
+
 def purpose_text(purposes: Column) -> Column:
     """What a purpose vector is the embedding of."""
     return F.concat_ws(" ", purposes)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.functions.text import redact
 from tessera.operators.graph import canonical_edges, load_edges, load_nodes
@@ -146,3 +147,97 @@ def read_batches(spark: SparkSession, path: str, batch_id: str | None = None, ne
 def expired(files: DataFrame, days: int, now: Column) -> DataFrame:
     """space, newest of file listings (space, modified) whose newest file is older than so many days."""
     return files.groupBy("space").agg(F.max("modified").alias("newest")).filter(F.col("newest") < now - F.make_interval(days=F.lit(days)))
+
+
+QUERY_DDL = "queries array<struct<text:string,expected:array<string>,unexpected:array<string>>>"
+
+
+def labelled_queries(spark: SparkSession, path: str) -> DataFrame:
+    """text, expected, unexpected of the queries in JSON graph documents; missing lists are empty, of a text the last one counts."""
+    none = F.array().cast("array<string>")
+    rows = spark.read.schema(QUERY_DDL).json(path, multiLine=True).select(F.posexplode("queries").alias("at", "q")).select("at", "q.*").filter("text IS NOT NULL")
+    last = rows.groupBy("text").agg(F.max_by(F.struct("expected", "unexpected"), "at").alias("r"))
+    return last.select("text", F.coalesce("r.expected", none).alias("expected"), F.coalesce("r.unexpected", none).alias("unexpected"))
+
+
+def graph_with_queries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, queries) of the same documents."""
+    return *graph_tables(graph_documents(spark, path)), labelled_queries(spark, path)
+
+
+def graph_library(documents: DataFrame) -> DataFrame:
+    """path, nodes: the graphs that can be read, with the number of their nodes."""
+    return documents.groupBy("path").agg(F.sum(F.size("nodes")).alias("nodes"))
+
+
+def import_graph(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """graph_tables() that takes all or nothing: ValueError if a node or an edge would be rejected."""
+    nodes, edges = graph_tables(documents, "reject", "reject")
+    for name, df in (("node", nodes), ("edge", edges)):
+        bad = df.filter("reject_reason IS NOT NULL").limit(1).collect()
+        if bad:
+            raise ValueError(f"{name} rejected: {bad[0].asDict()}")
+    return nodes.drop("reject_reason"), edges.drop("reject_reason")
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def load_vectors(spark: SparkSession, path: str, legacy: str | None = None) -> DataFrame:
+    """Current vectors: of the change log, else of an old single table (id, embedding, content), else none."""
+    if there(spark, path):
+        return read_vectors(spark, path)
+    if legacy and there(spark, legacy):
+        return spark.read.parquet(legacy).select("id", "embedding", "content")
+    return spark.createDataFrame([], "id string, embedding array<float>, content string")
+
+
+def adopt_vectors(spark: SparkSession, legacy: str, path: str) -> None:
+    """An old single table as the baseline of a new change log."""
+    append_vectors(spark.read.parquet(legacy).select("id", "embedding", "content").withColumn("deleted", F.lit(False)), path, 0)
+
+
+def append_messages(messages: DataFrame, path: str, seq: int) -> None:
+    """One line for a batch of messages (doc_id, msg_index, role, content, timestamp, rid, channel), added to a JSON-lines log."""
+    fields = ["doc_id", "msg_index", "role", "content", "timestamp", "rid", "channel"]
+    rows = messages.groupBy().agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("msgs"))  # a batch is one request
+    rows.select(F.lit(seq).cast("long").alias("seq"), "msgs").coalesce(1).write.mode("append").json(path)
+
+
+def compact_messages(spark: SparkSession, path: str, to: str) -> None:
+    """The replayed messages of a log as a snapshot table at `to`; the log is not touched."""
+    from tessera.operators.maintenance import replay_messages
+
+    replay_messages(read_messages(spark, path)).write.mode("overwrite").parquet(to)
+
+
+def current_batches(batches: DataFrame, now_ms: int, days: int = 30) -> DataFrame:
+    """Source batches (created_at, milliseconds) younger than so many days; what a purge keeps."""
+    return batches.filter(F.col("created_at") >= now_ms - days * 86_400_000)
+
+
+def write_checkpoint(tables: dict[str, DataFrame], path: str, meta: dict | None = None) -> None:
+    """Several tables and, last, a manifest with their names, schemas and row counts; without the manifest a checkpoint is none."""
+    import json
+
+    spark, listed = next(iter(tables.values())).sparkSession, []
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        listed.append((name, df.schema.json(), spark.read.schema(df.schema).parquet(f"{path}/{name}").count()))
+    rows = spark.createDataFrame(listed, "name string, kind string, rows long").withColumn("meta", F.lit(json.dumps(meta or {})))
+    rows.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def read_checkpoint(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
+    """(tables, meta) of a checkpoint; ValueError if a table has not the rows that the manifest says."""
+    import json
+
+    rows = spark.read.schema("name string, kind string, rows long, meta string").json(f"{path}/manifest").collect()
+    tables = {r["name"]: spark.read.schema(StructType.fromJson(json.loads(r["kind"]))).parquet(f"{path}/{r['name']}") for r in rows}
+    for r in rows:
+        if tables[r["name"]].count() != r["rows"]:
+            raise ValueError(f"{r['name']} is incomplete")
+    return tables, json.loads(rows[0]["meta"]) if rows else {}

@@ -99,6 +99,63 @@ def test_visited_blocks_inactive_nodes(spark):
     assert len(ids) == len(set(ids)) and means.count() == 2
 
 
+def small_graph(spark):
+    """Made by hand: from n0 causal edges lead to n1 and n2, a sequence edge to n3; n2 points away from the purpose."""
+    rows = [(f"n{i}", i, kind, "text", False, False) for i, kind in enumerate(["status", "status", "status", "emotion"])]
+    nodes = spark.createDataFrame(rows, "node_id string, ord long, node_type string, content string, deprecated boolean, forgotten boolean")
+    edges = spark.createDataFrame([("n0", "n1", "causal", 0, 1), ("n0", "n2", "causal", 0, 2), ("n0", "n3", "sequence", 0, 3)], "src string, dst string, rel_type string, src_ord long, dst_ord long")
+    vec = spark.createDataFrame([("n0", 0, [1.0, 0.0]), ("n1", 1, [0.6, 0.8]), ("n2", 2, [-1.0, 0.0]), ("n3", 3, [0.8, 0.6])], "id string, ord long, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0], [1.0, 0.0])], "query_id long, text_vec array<float>, purpose_vec array<float>")
+    return q, nodes, edges, vec
+
+
+def test_blind_retrieval_by_hand(spark):
+    hops, means = P.retrieve(*small_graph(spark), P.Params(seed_k=1, max_hops=1, blind=True))
+    got = {r["node_id"]: (r["hop"], r["ps"], round(r["combined"], 6), r["pos"]) for r in hops.collect()}
+    # nothing is filtered, n2 among the kept; combined is the jump part alone: 0.9 or 0.7, times 0.85, times 0.5
+    assert got == {"n0": (0, 0.0, 0.0, 1), "n1": (1, 0.0, 0.3825, 1), "n2": (1, 0.0, 0.3825, 2), "n3": (1, 0.0, 0.2975, 3)}
+    mu = {r["hop"]: round(r["mu"], 6) for r in means.collect()}
+    assert mu == {0: 0.0, 1: round((0.9 + 0.9 + 0.7) / 3, 6)}  # means are of jump weights
+    hops, _ = P.retrieve(*small_graph(spark), P.Params(seed_k=1, max_hops=1))
+    assert {r["node_id"] for r in hops.collect()} == {"n0", "n1", "n3"}
+
+
+def test_seed_floor_and_anchor_by_hand(spark):
+    q, nodes, edges, vec = small_graph(spark)
+    two = lambda p: [r["node_id"] for r in P.seeds(q, nodes.withColumn("ord", F.col("ord")), vec, p).orderBy("pos").collect()]
+    assert two(P.Params(seed_k=3)) == ["n0", "n3", "n1"]
+    assert two(P.Params(seed_k=4, seed_floor=0.7)) == ["n0", "n3", "n1", "n2"]  # the top-up knows no floor
+    assert two(P.Params(seed_k=3, blind=True, seed_floor=0.7)) == ["n0", "n3"]
+    other = q.withColumn("purpose_vec", F.array(F.lit(0.0), F.lit(1.0)).cast("array<float>"))
+    hops, _ = P.retrieve(other, nodes, edges, vec, P.Params(seed_k=1, max_hops=1, threshold=-1.0, frame="vent", anchor=0.5))
+    ps = {r["node_id"]: r["ps"] for r in hops.filter("hop = 1").collect()}
+    # n3: topic 0.5 * 0.6 + 0.5 * 0.8, times 0.55 + 0.35 * 1 + 0.10 * 0.15 (an emotion, met by a sequence)
+    assert abs(ps["n3"] - 0.7 * (0.55 + 0.35 + 0.015)) < 1e-6
+
+
+def test_first_peak(spark):
+    state = spark.createDataFrame([(1, None, None, False, 0, False)], "query_id long, peak double, prev double, declining boolean, count int, found boolean")
+
+    def stops(mus: list[float], p: P.Params) -> int | None:
+        s = state
+        for hop, mu in enumerate(mus):
+            s = spark.createDataFrame(P.peak_step(s, spark.createDataFrame([(1, mu)], "query_id long, mu double"), hop, p).collect(), state.schema)
+            if s.first()["found"]:
+                return hop
+        return None
+
+    mus = [0.40, 0.50, 0.42, 0.55, 0.43]
+    assert stops(mus, P.Params(first_peak=True)) == 2 and stops(mus, P.Params()) is None
+    assert stops([0.50, 0.49, 0.48], P.Params(first_peak=True)) is None  # within min_delta
+
+
+def test_frames_are_compiled(spark):
+    ask = lambda *p: spark.range(1).select(P.compile_frame(F.array(*[F.lit(x) for x in p]))).first()[0]
+    assert ask("想倾诉一下", "希望被理解") == "vent" and ask("规划下周的安排", "推荐") == "plan" and ask("推荐选择") == "recommend"
+    assert ask("安排", "推荐") == "plan" and ask("hello") == "neutral" and ask() == "neutral"
+    assert [r[0] for r in spark.createDataFrame([("Vent",), ("x",), (None,)], "n string").select(P.frame_named(F.col("n"))).collect()] == ["vent", "neutral", "neutral"]
+
+
 def test_frames(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(P.type_affinity("vent", F.lit("emotion"))) == 1.0 and one(P.type_affinity("neutral", F.lit("x"))) == 1.0

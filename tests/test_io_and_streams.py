@@ -56,7 +56,7 @@ def test_logs(spark, tmp_path):
     batches = spark.createDataFrame([("b1", 5, False, [(1, "bob", "id", "mail x@y.org")])], IO.BATCH_DDL)
     IO.write_batches(batches, str(tmp_path / "batches"))
     found = IO.read_batches(spark, str(tmp_path / "batches"), "b1").first()
-    assert found["redacted"] and found["rounds"][0]["text"] == "mail [email]" and found["rounds"][0]["speaker_id"] is None
+    assert found["redacted"] and found["rounds"][0]["text"] == "mail ***@***" and found["rounds"][0]["speaker_id"] is None
     files = spark.createDataFrame([("a", dt.datetime(2024, 1, 1)), ("a", dt.datetime(2024, 3, 1)), ("b", dt.datetime(2024, 1, 1))], "space string, modified timestamp")
     assert [r["space"] for r in IO.expired(files, 30, F.lit(dt.datetime(2024, 3, 2))).collect()] == ["b"]
 
@@ -130,3 +130,86 @@ def test_greedy_match(spark):
 
     pairs = spark.createDataFrame([("g", "a", "x", 0.9), ("g", "a", "y", 0.95), ("g", "b", "y", 0.9), ("g", "b", "x", 0.8), ("g", "c", "z", 0.7)], "g string, a string, b string, score double")
     assert {(r["a"], r["b"]) for r in greedy_match(pairs, "g").collect()} == {("a", "y"), ("b", "x")}
+
+
+def test_queries_library_and_strict_import(spark, tmp_path):
+    doc = {"nodes": [{"id": "a", "content": "x", "type": "thing"}], "edges": [], "queries": [{"text": "q", "expected": ["a"]}, {"text": "q", "unexpected": ["b"]}, {"text": "r"}]}
+    (tmp_path / "1.json").write_text(json.dumps(doc))
+    (tmp_path / "2.json").write_text(json.dumps({"nodes": [{"id": "b", "type": "alien"}], "edges": []}))
+    nodes, edges, asked = IO.graph_with_queries(spark, str(tmp_path / "1.json"))
+    assert nodes.count() == 1 and edges.count() == 0
+    assert {r["text"]: (r["expected"], r["unexpected"]) for r in asked.collect()} == {"q": ([], ["b"]), "r": ([], [])}
+    assert sorted(r["nodes"] for r in IO.graph_library(IO.graph_documents(spark, str(tmp_path / "*.json"))).collect()) == [1, 1]
+    assert IO.import_graph(IO.graph_documents(spark, str(tmp_path / "1.json")))[0].count() == 1
+    with pytest.raises(ValueError):
+        IO.import_graph(IO.graph_documents(spark, str(tmp_path / "2.json")))
+
+
+def test_stores(spark, tmp_path):
+    old, log = str(tmp_path / "old"), str(tmp_path / "log")
+    assert IO.load_vectors(spark, log, old).count() == 0
+    spark.createDataFrame([("a", [1.0], "x")], "id string, embedding array<float>, content string").write.parquet(old)
+    assert [r["id"] for r in IO.load_vectors(spark, log, old).collect()] == ["a"]
+    IO.adopt_vectors(spark, old, log)
+    assert [r["content"] for r in IO.load_vectors(spark, log).collect()] == ["x"]
+    m = spark.createDataFrame([("d", 1, "user", "b", 5, "r1", None), ("d", 0, "user", "a", 5, "r1", None)], "doc_id string, msg_index int, role string, content string, timestamp long, rid string, channel string")
+    IO.append_messages(m, str(tmp_path / "m"), 1)
+    IO.append_messages(m, str(tmp_path / "m"), 2)
+    IO.compact_messages(spark, str(tmp_path / "m"), str(tmp_path / "snap"))
+    assert sorted((r["msg_index"], r["content"]) for r in spark.read.parquet(str(tmp_path / "snap")).collect()) == [(0, "a"), (1, "b")]
+    day = 86_400_000
+    b = spark.createDataFrame([("x", 0), ("y", 31 * day)], "batch_id string, created_at long")
+    assert [r["batch_id"] for r in IO.current_batches(b, 40 * day).collect()] == ["y"]
+    IO.write_checkpoint({"m": m, "b": b}, str(tmp_path / "cp"), {"round": 3})
+    tables, meta = IO.read_checkpoint(spark, str(tmp_path / "cp"))
+    assert meta == {"round": 3} and tables["m"].count() == 2 and tables["b"].schema == b.schema
+    b.limit(1).write.mode("append").parquet(str(tmp_path / "cp/b"))
+    with pytest.raises(ValueError):
+        IO.read_checkpoint(spark, str(tmp_path / "cp"))
+
+
+def test_settings():
+    from tessera import params
+
+    p, weights = params.retrieval(params.read('{"retrieval": {"seed_k": 9, "seed_cos_min": 0.2}, "weights": {"thing": {"social": [0.5, 0.25]}}}'))
+    assert p.seed_k == 9 and p.seed_floor == 0.2 and p.max_nodes is None and len(weights) == 96 and ("thing", "social", True, 0.25) in weights
+    for bad in ("nonsense", "[]", '{"retrieval": {"seed_k": 0}}', '{"retrieval": {"seed_k": true}}', '{"other": {}}', '{"scoring": {"nope": 1}}', '{"weights": {"thing": {"social": [2, 0]}}}'):
+        assert params.read(bad) == params.defaults()
+
+
+def test_models(spark):
+    from tessera.functions.models import completer, fitting
+
+    df = spark.createDataFrame([("good",), ("bad",), (None,)], "p string")
+    judged = completer(lambda p: "7" if p == "good" else "x", int, "long", -1)
+    assert [r[0] for r in df.select(judged(F.col("p"))).collect()] == [7, -1, None]
+    calls = []
+
+    def write(texts: list[str]) -> str:
+        calls.append(len(texts))
+        return "One sentence. " * (4 * len(texts))
+
+    story = fitting(write, ["t"] * 20, chars=300)
+    assert calls == [20, 20, 12, 7, 6] and len(story) <= 300 and story.endswith(".…")
+
+
+def test_flush_skips_against_a_loop(spark):
+    import random
+
+    from tessera.operators.intake import auto_skips
+
+    rng = random.Random(4)
+    rows = [(c, r, rng.choice(["idle", "idle", "size", "end", "manual"]), rng.random() < 0.9) for c in range(3) for r in range(1, 60)]
+    want, n = {}, {}
+    for c, r, reason, empty in rows:
+        want[c, r] = reason not in ("end", "manual") and n.get(c, 0) >= 5
+        n[c] = n.get(c, 0) if want[c, r] else (n.get(c, 0) + 1 if empty else 0)
+    got = {(r["conv_id"], r["round"]): r["skipped"] for r in auto_skips(spark.createDataFrame(rows, "conv_id long, round long, reason string, empty boolean")).collect()}
+    assert got == want and any(want.values())
+
+
+def test_names_are_aligned():
+    from tessera.operators.intake import align_names
+
+    assert align_names(["4ri3l", "Ariel", "basline"], ["Ariel", "Baseline", "Other"]) == ["Ariel", "basline", None]
+    assert align_names(["gr4ph1t1"], ["Graphiti"]) == ["gr4ph1t1"] and align_names([], ["x"]) == [None]
