@@ -72,6 +72,13 @@ def roc(scores: DataFrame) -> DataFrame:
     )
 
 
+def best_threshold(curve: DataFrame, reach: float = 0.0501) -> DataFrame:
+    """best_tau, best_margin, plateau_drop of a curve (tau, margin): the largest margin, and what is lost within `reach` of it."""
+    best = curve.agg(F.max_by(F.struct("tau", "margin"), F.struct("margin", -F.col("tau"))).alias("b")).select(F.col("b.tau").alias("best_tau"), F.col("b.margin").alias("best_margin"))
+    near = curve.join(F.broadcast(best), F.abs(F.col("tau") - F.col("best_tau")) <= reach)
+    return near.groupBy("best_tau", "best_margin").agg(F.round(F.max("best_margin") - F.min("margin"), 6).alias("plateau_drop"))
+
+
 def partial_auc(curve: DataFrame, limit: float = 0.1) -> DataFrame:
     """Trapezoid area under (fpr, tpr) up to the limit, from the origin, the last step interpolated; also tpr at the limit."""
     order = Window.orderBy("fpr", "tpr")

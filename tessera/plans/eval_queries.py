@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import evalstats as E
@@ -121,14 +121,22 @@ def pauc_tpr(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(SCORES + """, t AS (SELECT unnest([0.5, 0.75, 0.9, 0.95, 0.99])::DOUBLE AS q), a AS (SELECT list_sort(list(score)) AS a, count(*) AS n FROM scores WHERE NOT positive), u AS (SELECT q, a[round_even(q * (n - 1), 0)::INT + 1] AS tau FROM t, a)
-  SELECT q, tau, round(avg((score >= tau)::INT) FILTER (positive), 6) AS keep_within, round(avg((score >= tau)::INT) FILTER (NOT positive), 6) AS keep_across FROM u, scores GROUP BY q, tau""")
+  SELECT q, tau, round(avg((score >= tau)::INT) FILTER (positive), 6) AS keep_within, round(avg((score >= tau)::INT) FILTER (NOT positive), 6) AS keep_across,
+    round(avg((score >= tau)::INT) FILTER (NOT positive) / nullif(avg((score >= tau)::INT) FILTER (positive) + avg((score >= tau)::INT) FILTER (NOT positive), 0), 6) AS mix,
+    round(1 - avg((score >= tau)::INT) FILTER (NOT positive), 6) AS blocked FROM u, scores GROUP BY q, tau""")
 def quantile_curve(spark: SparkSession, sf: str) -> DataFrame:
     s = scores(spark, sf)
     wanted = {f"q{i}": q for i, q in enumerate((0.5, 0.75, 0.9, 0.95, 0.99))}
     taus = E.nearest_rank(s.filter("NOT positive").withColumn("g", F.lit(0)), ["g"], "score", wanted)
     over = lambda n: (F.col("score") >= F.col(n)).cast("int")
-    part = lambda n, own, name: F.round(F.avg(F.when(own, over(n))), 6).alias(name)
-    rows = [F.struct(F.lit(q).alias("q"), F.max(n).alias("tau"), part(n, F.col("positive"), "keep_within"), part(n, ~F.col("positive"), "keep_across")) for n, q in wanted.items()]
+    kept = lambda n, own: F.avg(F.when(own, over(n)))
+
+    def row(n: str, q: float) -> Column:
+        within, across = kept(n, F.col("positive")), kept(n, ~F.col("positive"))
+        parts = {"keep_within": within, "keep_across": across, "mix": F.try_divide(across, within + across), "blocked": 1 - across}
+        return F.struct(F.lit(q).alias("q"), F.max(n).alias("tau"), *[F.round(c, 6).alias(k) for k, c in parts.items()])
+
+    rows = [row(n, q) for n, q in wanted.items()]
     return s.join(F.broadcast(taus)).agg(F.array(*rows).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")  # taus is one row
 
 
@@ -145,6 +153,15 @@ def tau_margin(spark: SparkSession, sf: str) -> DataFrame:
     return filled.select("b", F.round(share("p") - share("q"), 6).alias("margin")).filter("b >= 20").select((F.col("b") / 100.0).alias("tau"), "margin")
 
 
+@query(SCORES + """, t AS (SELECT (range / 100.0)::DOUBLE AS tau FROM range(20, 91)),
+  m AS (SELECT tau, round(avg((score >= tau)::INT) FILTER (positive) - avg((score >= tau)::INT) FILTER (NOT positive), 6) AS margin FROM t, scores GROUP BY tau),
+  b AS (SELECT tau AS best_tau, margin AS best_margin FROM m ORDER BY margin DESC, tau LIMIT 1)
+  SELECT best_tau, best_margin, round(best_margin - min(margin), 6) AS plateau_drop FROM b, m WHERE abs(tau - best_tau) <= 0.0501 GROUP BY best_tau, best_margin""")
+def tau_best(spark: SparkSession, sf: str) -> DataFrame:
+    """The threshold of the largest margin, the lowest on ties, and how far margins fall within 0.05 of it; over 71 thresholds."""
+    return E.best_threshold(tau_margin(spark, sf))
+
+
 @query(BASE_SQL + """, s AS (SELECT src, list(DISTINCT dst) AS a FROM edges GROUP BY src), m AS (SELECT x.node_id AS a, y.node_id AS b FROM members x JOIN members y ON x.scene = y.scene AND y.pos = x.pos + 1)
   SELECT m.a, m.b, round(CASE WHEN len(list_distinct(list_concat(coalesce(x.a, []), coalesce(y.a, [])))) = 0 THEN 0 ELSE len(list_intersect(coalesce(x.a, []), coalesce(y.a, []))) / len(list_distinct(list_concat(coalesce(x.a, []), coalesce(y.a, []))))::DOUBLE END, 6) AS jaccard FROM m LEFT JOIN s x ON x.src = m.a LEFT JOIN s y ON y.src = m.b""")
 def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
