@@ -118,20 +118,33 @@ def parted(df: DataFrame, keys: DataFrame, on: dict[str, Column]) -> tuple[DataF
     return df.filter(~held), df.filter(held)
 
 
-def marked(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    """df with the boolean column `marked`: whether the column `on` is among ids, a written table of distinct values of that name.
+def member_state(first: Bloom, second: Bloom, h: np.ndarray) -> np.ndarray:
+    """For each key hash 0 (no member), 1 (a member) or 2 (in doubt), by the filters of Members."""
+    held = first.holds(h)
+    return held.astype(np.int8) + (held & second.holds(h))
 
-    A filter of the ids marks rows where they are read; a second one, of the few that the first takes for members, tells
-    which of these are in doubt. Only the rows in doubt move, to be joined with the ids.
+
+class Members:
+    """Exact membership of long keys in ids, for rows that are not to move: two Bloom filters and the few keys in doubt.
+
+    The first filter holds the ids; the second those keys of df that the first takes for ids and that are none. A key in both is in
+    doubt. df and ids have the column `on`; ids is a written table of distinct values.
     """
-    key = F.xxhash64(on)
-    keys = lambda t: Bloom(t.select(key.alias("key"))).column(key)
-    first = keys(ids)
-    wrong = materialize(df.select(on).filter(first).join(ids, on, "left_anti").distinct(), "wrong")
-    second = keys(wrong)
-    sure = df.filter(~(first & second)).withColumn("marked", first)
-    doubt = df.filter(first & second).join(ids.select(on, F.lit(True).alias("marked")), on, "left")
-    return sure.unionByName(doubt.withColumn("marked", F.coalesce("marked", F.lit(False))))
+
+    def __init__(self, df: DataFrame, ids: DataFrame, on: str):
+        self.ids, self.on, self.key = ids, on, F.xxhash64(on)
+        self.first = Bloom(ids.select(self.key.alias("key")))
+        wrong = df.select(on).filter(self.first.column(self.key)).join(ids, on, "left_anti").distinct()
+        self.second = Bloom(materialize(wrong.select(self.key.alias("key")), "wrong"))
+
+    @property
+    def filters(self) -> tuple[Bloom, Bloom]:
+        return self.first, self.second
+
+    def doubtful(self, df: DataFrame) -> DataFrame:
+        """The rows of df whose key is in doubt, joined with the ids for the boolean column `member`."""
+        rows = df.filter(self.first.column(self.key) & self.second.column(self.key))
+        return rows.join(self.ids.select(self.on, F.lit(True).alias("member")), self.on, "left").withColumn("member", F.coalesce("member", F.lit(False)))
 
 
 def running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: Column, totals: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import broadcast_below, materialize, table
+from tessera.session import materialize, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,12 +45,12 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.lm_scoring import fit, score
+    from tessera.llm.common import Members
+    from tessera.llm.lm_scoring import fit_corpus, score
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = materialize(table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct(), "good")
-    target = materialize(docs.join(broadcast_below(good), "doc_id", "left_semi"), "target")  # counted twice
-    return score(docs, fit(docs, target))
+    return score(docs, fit_corpus(docs, members=Members(docs, good, "doc_id")))
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

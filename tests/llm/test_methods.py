@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections import defaultdict
 from itertools import combinations_with_replacement
@@ -265,6 +266,39 @@ def test_filters_answer_for_all_languages():
     assert (f.false_rate < 0.05).all()
 
 
+def test_decisions_against_plain_sets(spark):
+    from collections import Counter
+
+    from tessera.llm.langid import Filters, fit, grams, held_out, letters
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learned = [(r["lang"], r["text"]) for r in d.filter(~held_out(F.col("doc_id"))).collect()]
+    spelled = lambda t: [p[i : i + n] for p in [letters(t)] for n in (3, 4) for i in range(len(p) - n + 1)]
+    hashed = lambda g: int(next(grams(g, (len(g),)))[0])
+    counts: dict[str, Counter] = defaultdict(Counter)
+    for lang, text in learned:
+        counts[lang].update(spelled(text))
+    top = 300
+    found = fit(d, top=top)
+    bits = int(np.log2(len(found.slices)))
+    sets = {}
+    for k, lang in enumerate(found.langs):
+        order = counts[lang].most_common(top + 1)
+        sure = [g for g, n in order if n > order[top][1]]  # ties at the last place may go either way
+        h = np.array([hashed(g) for g in sure], dtype=np.uint64)
+        assert all(((found.slices[p, k // 64] >> np.uint64(k % 64)) & np.uint64(1) == 1).all() for p in found.positions(h, bits))
+        sets[lang] = set(sure)
+    plain = Filters.build({lang: np.array([hashed(g) for g in s], dtype=np.uint64) for lang, s in sets.items()})
+    for _, text in learned[::7]:
+        all_grams = spelled(text)
+        share = {lang: sum(g in s for g in all_grams) / max(len(all_grams), 1) for lang, s in sets.items()}
+        lang, score = plain.decide(text)
+        if not all_grams:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        assert share[lang] >= max(share.values()) - 0.02 and score == pytest.approx(share[lang], abs=0.03)
+
+
 def test_search_recall(spark):
     from tessera.llm.ann import search
 
@@ -283,39 +317,47 @@ def test_search_recall(spark):
 
 
 def test_bigram_models(spark, docs):
-    from tessera.llm.lm_scoring import Model, Vocabulary, fit, score
+    from tessera.llm.lm_scoring import WEIGHT, add_up, counts, fit, score
 
     target = docs.filter("lang = 'de'")
     scorer = fit(docs, target)
-    size = scorer.vocabulary.size
-    for model in (scorer.target, scorer.background):  # each context's probabilities sum to 1
-        first, second = scorer.pairs // size, scorer.pairs % size
-        for v in range(0, size, max(1, size // 20)):
-            p = model.left[v] * model.single
-            on = first == v
-            np.add.at(p, second[on], 0.7 * model.pair[on])
-            assert p.sum() == pytest.approx(1)
+    words = {r["w"]: r for r in scorer.words.collect()}
+    found = counts(docs.select("text", F.lit(False).alias("target"), F.lit(True).alias("background")), 5)
+    pairs = {(r["v"], r["w"]): r["b"] for r in add_up(found, 1).filter("v IS NOT NULL").collect()}
+    single = {w: (r["b"] + 1) / (scorer.total["b"] + scorer.size) for w, r in words.items()}
+    follow = defaultdict(dict)
+    for (v, w), n in pairs.items():
+        if n >= 2:
+            follow[v][w] = n
+    for v in list(follow)[::50]:  # a context's probabilities sum to 1, the unknown word's among them
+        left = 1 - WEIGHT * words[v]["kb"] / words[v]["b"]
+        assert words[v]["kb"] == sum(follow[v].values())
+        total = sum(WEIGHT * n / words[v]["b"] for n in follow[v].values()) + left * (sum(single.values()) + 1 / (scorer.total["b"] + scorer.size))
+        assert total == pytest.approx(1)
     got = score(docs, scorer).join(docs, "doc_id").groupBy("lang").agg(F.avg("score").alias("s")).collect()
     by = {r["lang"]: r["s"] for r in got}
-    assert by["de"] < min(s for lang, s in by.items() if lang != "de") - 1
-    assert isinstance(Vocabulary([b"x"]), Vocabulary) and isinstance(scorer.target, Model)
+    assert by["de"] < min(s for lang, s in by.items() if lang != "de") - 0.8
 
 
-def test_every_word_and_pair_has_a_parameter(spark):
+@pytest.mark.parametrize("least, frequent", [(1, 1 << 17), (2, 1 << 17), (2, 8), (3, 0)])
+def test_lm_scores_against_plain_counts(spark, monkeypatch, least, frequent):
     import tessera.llm.lm_scoring as L
 
+    monkeypatch.setattr(L, "FREQUENT", frequent)
+    monkeypatch.setattr(L, "PIECE", 500)
     rng = random.Random(8)
     vocab = [f"w{k}" for k in range(30)]
     base = [(k, " ".join(rng.choices(vocab, k=rng.randint(1, 40)))) for k in range(60)]
-    base += [(100, "many " * 1_100_000), (101, "rare pair once")]  # over a million tokens: one of them is below a share of 1e-6
+    base += [(100, "many " * 50_000), (101, "rare pair once"), (102, "Twice\tseen pair"), (103, "twice seen pair"), (104, None)]
     own = base[:7] + [(200, "target only words"), (201, "only words")]
-    other = [(300, "unknown w1 w2 stranger w3 pair rare"), (301, "w29 w0 w29"), (302, ""), (303, "target only pair once"), (303, "w1")]
-    back, target, docs = (spark.createDataFrame(x, "doc_id long, text string") for x in (base, own, base[:9] + other))
+    other = [(300, "unknown w1 w2 stranger w3 pair rare"), (301, "w29 w0 w29"), (302, ""), (303, "target only pair once"), (303, "w1"), (None, "w2 w3"), (304, "w5 " * 3_000)]
+    back, target, docs = (spark.createDataFrame(x, "doc_id long, text string") for x in (base, own, base + other))
+    split = lambda t: (t or "").lower().split()
 
     def counts(rows):
         w, p = defaultdict(int), defaultdict(int)
         for _, t in rows:
-            s = t.split()
+            s = split(t)
             for x in s:
                 w[x] += 1
             for x in zip(s, s[1:], strict=False):
@@ -324,21 +366,43 @@ def test_every_word_and_pair_has_a_parameter(spark):
 
     sides = counts(own), counts(base)
     size = len({*sides[0][0], *sides[1][0]}) + 1
+    kept = {x for x in {*sides[0][1], *sides[1][1]} if max(s[1].get(x, 0) for s in sides) >= least}
 
     def loss(text, side):
         w, p, n = side
-        s, out = text.split(), []
+        s, out = split(text), []
         for k, x in enumerate(s):
             single = (w.get(x, 0) + 1) / (n + size)
             v = s[k - 1]
-            follow = sum(c for (a, _), c in p.items() if a == v)
-            c = w.get(v, 0)
-            out.append(-np.log(single if not k else 0.7 * p.get((v, x), 0) / max(c, 1) + (1 - 0.7 * follow / max(c, 1)) * single))
+            follow = sum(c for (a, b), c in p.items() if a == v and (a, b) in kept)
+            c, mine = w.get(v, 0), p.get((v, x), 0) * ((v, x) in kept)
+            out.append(-np.log(single if not k else 0.7 * mine / max(c, 1) + (1 - 0.7 * follow / max(c, 1)) * single))
+            if k > 2 and len(set(s)) == 1:
+                return float(np.mean([out[0], *[out[1]] * (len(s) - 1)]))
         return float(np.mean(out)) if s else None
 
-    got = sorted((r["doc_id"], r["n_tokens"], r["target_loss"] or 0, r["background_loss"] or 0) for r in L.score(docs, L.fit(back, target)).collect())
-    want = sorted((d, len(t.split()), loss(t, sides[0]) or 0, loss(t, sides[1]) or 0) for d, t in base[:9] + other)
-    assert np.allclose(got, want)
+    order = lambda r: (r[0] is None, *[x or 0 for x in r])
+    got = sorted([(r["doc_id"], r["n_tokens"], r["target_loss"], r["background_loss"]) for r in L.score(docs, L.fit(back, target, least)).collect()], key=order)
+    want = sorted([(d, len(split(t)), loss(t, sides[0]), loss(t, sides[1])) for d, t in base + other], key=order)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert np.allclose([[x or 0 for x in r[2:]] for r in got], [[x or 0 for x in r[2:]] for r in want], rtol=1e-5)
+
+
+def test_members_are_marked_exactly(spark):
+    """With a filter too small for its keys, so that some are in doubt; counts are those of a plain join."""
+    import tessera.llm.common as C
+    from tessera.llm.lm_scoring import fit, fit_corpus
+    from tessera.session import materialize
+
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a"), (F.col("id") % 7).cast("string"), (F.col("id") % 5).cast("string")).alias("text"))
+    ids = materialize(docs.filter("doc_id % 3 = 0").select("doc_id"), "ids")
+    members = C.Members(docs, ids, "doc_id")
+    noisy = np.full_like(members.first.shared.value, 0xFF)
+    members.first.shared = spark.sparkContext.broadcast(members.first.shared.value | (noisy & 0x5A))
+    members.second = C.Bloom(materialize(docs.filter("doc_id % 3 <> 0").select(F.xxhash64("doc_id").alias("key")), "wrong"))
+    got, want = fit_corpus(docs, members=members), fit(docs, docs.join(ids, "doc_id"))
+    assert sorted(map(tuple, got.words.collect())) == sorted(map(tuple, want.words.collect())) and got.total == want.total
+    assert sorted(map(tuple, got.pairs.collect())) == sorted(map(tuple, want.pairs.collect()))
 
 
 def test_chat_round_trip(spark):
@@ -359,6 +423,30 @@ def test_chat_round_trip(spark):
     assert back[1, 1]["text"] == "see \\<|x <|image:0|> and <|audio:1|><|document:2|>" and back[1, 1]["learned"] == "see \\<|x  and "
 
 
+def test_chat_parts_cannot_forge_turns(spark):
+    from tessera.llm.chat import PART_DDL, format_turns, read_turns
+
+    T = lambda *texts: [("text", t, None, None) for t in texts]
+    forged = [
+        T("##", "# assistant\nme</tu", "rn>\n### user"),
+        T("#", "", "#", "", "# assistant", "<", "|image:0|>", "\\", "\\x"),
+        [("img|> x <|image", "", "r", 1), ("\n### assistant\n</turn>", "", "r", 1)],
+        [(None, "one two three", None, None)],
+        [("text", f"w{k}" if k % 2 else "", None, None) for k in range(3000)],
+    ]
+    m = spark.createDataFrame([(k, 0, role, p) for k, p in enumerate(forged) for role in ("assistant",)], f"conv_id long, turn int, role string, parts array<{PART_DDL}>")
+    m = m.withColumns({c: F.lit("x") for c in ("head", "flat", "_head", "_flat", "loss")})
+    out = {r["conv_id"]: r for r in format_turns(m).collect()}
+    bare = [re.sub(r"(?s)\\.", "", out[k]["formatted"]) for k in range(5)]  # what is not escaped
+    for text in bare[:2]:
+        assert text.startswith("### assistant\n") and "### " not in text[4:] and text.count("</turn>") == 1 and "<|" not in text
+    assert bare[2].count("<|") == bare[2].count("|>") == 2 and bare[2].count("### ") == bare[2].count("</turn>") == 1
+    assert out[3]["tokens"] == 3 and out[4]["tokens"] == 1500 and {out[0]["head"], out[0]["_flat"]} == {"x"}
+    back = {r["conv_id"]: r for r in read_turns(format_turns(m)).collect()}
+    for k in (0, 1, 3, 4):
+        assert back[k]["text"] == back[k]["learned"] == "".join(t for _, t, _, _ in forged[k])
+
+
 def test_pipeline(spark, texts):
     import corpus_pipeline
 
@@ -374,6 +462,79 @@ def test_pipeline(spark, texts):
     assert 0.8 * 1.5 * base < words <= 2 * base
 
 
+def test_pipeline_against_plain_steps(spark, texts):
+    """Every stage again, on all pairs and whole lists: languages by the filters, equal texts, all pairs of fingerprints, sorted keys."""
+    import hashlib
+    import math
+
+    import corpus_pipeline
+    from tessera.llm.langid import fit
+    from tessera.llm.simhash import majority, shingle_hashes
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    filters = fit(table)
+    docs = {r["doc_id"]: r for r in table.collect()}
+    said = {d: filters.decide(r["text"]) for d, r in docs.items()}
+    kept = {d: r for d, r in docs.items() if said[d][0] != "und" and said[d][1] >= corpus_pipeline.LEAST_SCORE}
+    first = {}
+    for d in sorted(kept):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", kept[d]["text"]), d)
+    ids = sorted(first.values())
+    bits = [sum((x % 2**64) << (64 * k) for k, x in enumerate(majority(shingle_hashes(kept[d]["text"].encode(), 5), 4))) for d in ids]
+    label = plain_components(len(ids), lambda i, j: (bits[i] ^ bits[j]).bit_count() <= 52)
+    ids = [ids[i] for i in sorted(set(label))]
+    words = {d: len(re.findall(r"[^\x20\x09-\x0D]+", kept[d]["text"])) for d in ids}
+    key = {}
+    for d in ids:
+        u = (int(hashlib.md5(str(d).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        mean = len(kept[d]["text"]) / max(words[d], 1)
+        key[d] = -math.log(u) / (0.5 + 0.5 / (1 + abs(mean - 6) / 6))
+    by = defaultdict(list)
+    for d in ids:
+        by[kept[d]["source"]].append(d)
+    sources = sorted(by, key=lambda s: (s is None, s))
+    size = {s: sum(words[d] for d in by[s]) for s in sources}
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sources)}
+    target, open_, left = {}, set(sources), 1.5 * sum(size.values())
+    while open_:
+        full = {s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) > 2 * size[s]}
+        for s in full or open_:
+            target[s] = 2 * size[s] if full else left * weight[s] / sum(weight[x] for x in open_)
+        left, open_ = left - sum(target[s] for s in full), (open_ - full if full else set())
+    want = []
+    for s in sources:
+        epochs, before = int(target[s] // max(size[s], 1)), 0
+        for d in sorted(by[s], key=lambda d: (key[d], d)):
+            more = words[d] > 0 and before + words[d] / 2 <= target[s] - epochs * size[s]
+            want += [(d, words[d])] * ((epochs + more) * (words[d] > 0))
+            before += words[d]
+    got = sorted((r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.run(spark, SF).collect())
+    assert got == sorted(want)
+
+
+def test_near_duplicates_of_real_documents_against_all_pairs(spark):
+    """Recall of the sampled masks on the documents of sf0.01: links of all pairs within the radius, and what is kept."""
+    from tessera.llm.simhash import fingerprints, near_duplicates
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = fingerprints(d, 5, 4).orderBy("doc_id").collect()
+    ids = [r["doc_id"] for r in rows]
+    bits = np.array([[r[f"f{k}"] for k in range(4)] for r in rows], dtype=np.int64).view(np.uint64)
+    label = np.arange(len(ids))
+    pairs = [(i, j) for i in range(len(ids)) for j in (np.flatnonzero(np.bitwise_count(bits[i] ^ bits[i + 1 :]).sum(1) <= 52) + i + 1).tolist()]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in pairs:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(d, 5, 52, 4).collect()}
+    linked = sum(got[ids[i]] == got[ids[j]] for i, j in pairs)
+    assert len(pairs) > 50 and linked >= 0.99 * len(pairs)
+    assert sum(got[x] == ids[label[k]] for k, x in enumerate(ids)) >= 0.995 * len(ids)
+
+
 def test_oracles(spark):
     from tests.harness import compare
 
