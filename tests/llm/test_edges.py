@@ -38,7 +38,7 @@ def empty(spark):
 
 @pytest.fixture
 def clash(docs):
-    names = "size source_size target taken copies shard slot keep_id kept score lang_pred n bucket batch row line hash before rank component_id epochs source_key digest"
+    names = "size source_size target taken copies shard slot keep_id kept score lang_pred n bucket batch row line hash before rank component_id epochs source_key digest _key _bucket _source_key _weight _gone _gone_sha _sha _decided _lang _score document key level copy id named sk weight hash gone _document"
     return docs.withColumns({c: F.lit("x") for c in names.split()})
 
 
@@ -140,8 +140,8 @@ def test_chat_of_odd_rows(spark):
 def test_search_of_odd_vectors(spark):
     from tessera.llm.ann import search
 
-    v = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [1.0]), (100, [1.0, 0.0])]
+    v = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [1.0]), (9, [2.0]), (100, [1.0, 0.0]), (200, [1.5])]
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("rank", F.lit(2))
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in search(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1), (0, 2, 100), (0, 3, 2), (100, 1, 0), (100, 2, 1), (100, 3, 2)]
+    assert got == [(0, 1, 1), (0, 2, 100), (0, 3, 2), (100, 1, 0), (100, 2, 1), (100, 3, 2), (200, 1, 8), (200, 2, 9)]
     assert search(df.filter("vec_id = 3"), F.col("vec_id") % 100 == 0).count() == 0
