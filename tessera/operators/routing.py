@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def batch_shape(messages: DataFrame, key: str = "conv_id") -> DataFrame:
     """key, shape: document for at most two texts of 10000 characters on average, noise without text, else conversation."""
     full = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
-from tessera.schema import DIRECTIONAL, MUTUAL, jump_rows
+from tessera.schema import MUTUAL, jump_rows
 from tessera.sources import canonical as C
 from tessera.sources.canonical import BASE_SQL
 

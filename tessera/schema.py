@@ -9,15 +9,6 @@ MUTUAL = ["scenario", "social", "attribute"]
 #: Relations that come first when edges are added to a path.
 DIRECTIONAL = ["causal", "sequence", "preference", "temporal", "taxonomic"]
 
-NODE_DDL = (
-    "space_id string, node_id string, content string, node_type string, deprecated boolean, forgotten boolean, "
-    "timestamp long, evidence string, source_ref string, metadata struct<channel:string,title:string,tags:array<string>,"
-    "created_at:long,observed_at:long,time_inferred:boolean,source_hint:string,fidelity:string>, ord long"
-)
-EDGE_DDL = "space_id string, src string, dst string, rel_type string, weight double, ord long"
-VECTOR_DDL = "space_id string, id string, embedding array<float>"
-MESSAGE_DDL = "space_id string, doc_id string, msg_index int, role string, content string, timestamp long, rid string, channel string"
-
 # Fixed values: (forward, reverse) weight of following a relation, in the order of RELATIONS, from a node of each type.
 JUMP = {
     "status": [(0.9, 1.0), (0.8, 0.8), (0.7, 0.0), (0.4, 0.0), (0.5, 0.5), (0.3, 0.3), (0.3, 0.0), (0.0, 0.0)],

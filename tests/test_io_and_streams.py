@@ -212,4 +212,4 @@ def test_names_are_aligned():
     from tessera.operators.intake import align_names
 
     assert align_names(["4ri3l", "Ariel", "basline"], ["Ariel", "Baseline", "Other"]) == ["Ariel", "basline", None]
-    assert align_names(["gr4ph1t1"], ["Graphiti"]) == ["gr4ph1t1"] and align_names([], ["x"]) == [None]
+    assert align_names(["5y5t3m 8"], ["System B"]) == ["5y5t3m 8"] and align_names([], ["x"]) == [None]
