@@ -226,6 +226,7 @@ def fit_corpus(corpus: DataFrame, least: int = LEAST, members: Members | None =
         dealt = counts(corpus, shards)
     else:
         doubt = members.doubtful(corpus).select("text", F.col("member").alias("target"), F.lit(True).alias("background"))
+        doubt = materialize(doubt, "doubt")  # by itself, so that no task needs two Python workers at once
         dealt = counts(corpus.select("text", members.key.alias("key")), shards, members).unionByName(counts(doubt, shards))
     found = materialize(add_up(dealt, least), "counts")
     kept = found.filter("v IS NOT NULL")
