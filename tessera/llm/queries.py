@@ -78,7 +78,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_sharding, op4_chat, op5_langid, op6_ann, op7_packing, op8_line_dedup, op9_simhash, op10_lm_scoring)}
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.fill_middle import fill_in_middle, restore
+
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = restore(F.col("output"), F.col("form"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_sharding, op4_chat, op5_langid, op6_ann, op7_packing, op8_line_dedup, op9_simhash, op10_lm_scoring, op12_fill_middle)}
 
 # The mix in one plain window per source; MD5 gives both engines the same u.
 _OP1 = r"""
@@ -120,5 +129,18 @@ SELECT conv_id, count(*) AS n_turns,
        sum(chars)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+# Lines as a list, cut by list slices.
+_OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+l AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines,
+             [('0x' || substr(h, 1, 8))::BIGINT, ('0x' || substr(h, 9, 8))::BIGINT, ('0x' || substr(h, 17, 8))::BIGINT, ('0x' || substr(h, 25, 8))::BIGINT] AS r FROM d),
+c AS (SELECT *, len(lines)::BIGINT AS n, least(r[1] % (len(lines) + 1), r[2] % (len(lines) + 1)) AS a, greatest(r[1] % (len(lines) + 1), r[2] % (len(lines) + 1)) AS b,
+             CASE WHEN text = '' OR text LIKE '%<P>%' OR text LIKE '%<S>%' OR text LIKE '%<M>%' OR r[3] % 100 >= 100 THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM l),
+p AS (SELECT *, array_to_string(lines[1:a], '') AS pre, array_to_string(lines[a + 1:b], '') AS mid, array_to_string(lines[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
 
-ORACLE = {"op4_chat": _OP4, "op1_mixing": _OP1, "op2_exact_dedup": _OP2}
+ORACLE = {"op12_fill_middle": _OP12, "op4_chat": _OP4, "op1_mixing": _OP1, "op2_exact_dedup": _OP2}
