@@ -87,7 +87,14 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_sharding, op4_chat, op5_langid, op6_ann, op7_packing, op8_line_dedup, op9_simhash, op10_lm_scoring, op12_fill_middle)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.hard_negatives import mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_sharding, op4_chat, op5_langid, op6_ann, op7_packing, op8_line_dedup, op9_simhash, op10_lm_scoring, op12_fill_middle, op13_hard_negatives)}
 
 # The mix in one plain window per source; MD5 gives both engines the same u.
 _OP1 = r"""
@@ -142,5 +149,20 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix
        sha256(text) AS restored_sha256
 FROM p
 """
+# All products.
+_OP13 = r"""
+WITH e AS (
+  SELECT row_number() OVER () AS id, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.id AS a, b.id AS b, a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.id <> b.id AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, other_id, b) <= 5),
+n AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.other_id, s.b) AS rank,
+         s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT * FROM n WHERE rank <= 3
+"""
 
-ORACLE = {"op12_fill_middle": _OP12, "op4_chat": _OP4, "op1_mixing": _OP1, "op2_exact_dedup": _OP2}
+ORACLE = {"op13_hard_negatives": _OP13, "op12_fill_middle": _OP12, "op4_chat": _OP4, "op1_mixing": _OP1, "op2_exact_dedup": _OP2}
