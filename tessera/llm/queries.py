@@ -78,6 +78,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.best_fit import pack_best_fit
+
+    return pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.fill_middle import fill_in_middle, restore
 
@@ -94,7 +102,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_sharding, op4_chat, op5_langid, op6_ann, op7_packing, op8_line_dedup, op9_simhash, op10_lm_scoring, op12_fill_middle, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_sharding, op4_chat, op5_langid, op6_ann, op7_packing, op8_line_dedup, op9_simhash, op10_lm_scoring, op11_best_fit, op12_fill_middle, op13_hard_negatives)}
 
 # The mix in one plain window per source; MD5 gives both engines the same u.
 _OP1 = r"""
