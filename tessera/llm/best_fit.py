@@ -8,6 +8,8 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import compress, repeat
+from operator import is_
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -18,9 +20,9 @@ from tessera.session import materialize
 
 CAPACITY = 2048
 #: Each round takes up the documents longer than this share of the capacity, longest first.
-SHARES = (2, 3, 4, 6, 8, 12, 16, 32)
-#: Documents of up to a capacity over MOST share one class in the count of sequences that must be opened.
-MOST = 64
+SHARES = (2, 3, 4, 6, 12)
+#: For each of these q, documents longer than capacity / (q + 1) need a sequence for q of them at least.
+SHARED = (1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 24, 32, 64)
 #: Words that a worker remembers, and their bytes; beyond either it starts anew.
 WORDS, WORD_BYTES = 1 << 19, 1 << 26
 #: Bytes of a text that are split into words at once.
@@ -65,36 +67,42 @@ class Words:
         yield from (b"".join([*done, _END]) for done in waiting)
 
     def settle(self, waiting: list[list]) -> None:
-        """Lists of words become their ids."""
-        self.learn({w for parts in waiting for words in parts if isinstance(words, list) for w in words})
-        for parts in waiting:
-            parts[:] = [b"".join(map(self.known.__getitem__, words)) if isinstance(words, list) else words for words in parts]
+        """Lists of words become their ids; only words that are met for the first time take more than a look."""
+        sections = [(parts, k) for parts in waiting for k, words in enumerate(parts) if isinstance(words, list)]
+        found = [list(map(self.known.get, parts[k])) for parts, k in sections]
+        gaps = [[*compress(range(len(ids)), map(is_, ids, repeat(None)))] for ids in found]
+        new = {parts[k][i] for (parts, k), missing in zip(sections, gaps, strict=True) for i in missing}
+        if len(self.known) + len(new) > WORDS or self.size > WORD_BYTES:
+            self.known, self.parts, self.size = {}, {}, 0
+        self.learn(new)
+        for (parts, k), ids, missing in zip(sections, found, gaps, strict=True):
+            for i in missing:
+                ids[i] = self.known[parts[k][i]]
+            parts[k] = b"".join(ids)
 
     def learn(self, words: set[bytes]) -> None:
-        """Enter words; what was known is forgotten when it is too much."""
-        if len(self.known) > WORDS or self.size > WORD_BYTES:
-            self.known, self.parts, self.size = {}, {}, 0
-        new = {w: self.split(w.decode()) for w in words if w not in self.known}
-        fresh = {p for parts in new.values() for p in parts if p not in self.parts}
-        self.parts.update(self.encoded([p for p in fresh if p.lower().isalpha()], [p for p in fresh if not p.lower().isalpha()]))
-        for word, parts in new.items():
-            self.known[word] = self.parts[parts[0]] if len(parts) == 1 else b"".join([self.parts[p] for p in parts])
-            self.size += len(word) + len(self.known[word])
+        """Enter words that are not known."""
+        known, made = self.known, self.parts
+        new = [(w, (w.lower().decode(),) if w.isalpha() else self.split(w.decode())) for w in words]
+        fresh = {p for _, parts in new for p in parts if p not in made}
+        letters = {p for p in fresh if p.lower().isalpha()}
+        made.update(self.encoded([*letters], [*(fresh - letters)]))
+        for word, parts in new:
+            known[word] = ids = made[parts[0]] if len(parts) == 1 else b"".join([made[p] for p in parts])
+            self.size += len(word) + len(ids)
 
     def encoded(self, letters: list[str], others: list[str]) -> Iterator[tuple[str, bytes]]:
         """Words of letters are one text to the tokenizer, since each of them ends with the token that ends a word."""
         ids = self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids
-        at, flat = 0, array("I", ids).tobytes()
-        stops = [k for k, i in enumerate(ids, 1) if i in self.ends]
-        for word, stop in zip(letters, stops, strict=True):
-            yield word, flat[4 * at : 4 * stop]
-            at = stop
+        flat, stops = array("I", ids).tobytes(), [4 * k for k, i in enumerate(ids, 1) if i in self.ends]
+        yield from zip(letters, [flat[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True)
         for word, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             yield word, array("I", found.ids).tobytes()
 
     @staticmethod
     def split(word: str) -> list[str]:
-        if "'" in word or "<|" in word:
+        """The parts of a word that isn't plain ASCII letters."""
+        if "'" in word or "<|" in word or word.isalpha():
             return [word]
         core = word.strip(_MARKS)
         if not core or not core[0].isalpha() or not core[-1].lower().isalpha():
@@ -137,9 +145,10 @@ def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Best fit within one range of rows (kind 0: gap, 1: document), from long to short, gaps first.
 
     Each document takes the smallest gap that holds it, and what is left of that is a gap again. Documents without a gap here are ranked
-    from the longest, gaps that are still as long as every row of the range from the smallest.
+    from the longest, gaps that are still as long as every row of the range from the smallest. The last row (kind 2) sums up: id and size
+    are how many documents are left and the longest of them, rank and sequence how many gaps and the smallest.
     """
-    part, heaps, sizes, least, left = TaskContext.get().partitionId(), {}, 0, 0, 0
+    part, heaps, sizes, least, left, longest = TaskContext.get().partitionId(), {}, 0, 0, 0, 0
     names = ["part", "kind", "id", "size", "sequence", "rank"]
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
@@ -161,7 +170,7 @@ def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not fit:
                 found.append(None)
                 ranks.append(left)
-                left += 1
+                left, longest = left + 1, longest or size
                 continue
             gap = size + (fit & -fit).bit_length() - 1
             sequence = heaps[gap].pop()
@@ -173,13 +182,14 @@ def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.append(sequence)
             ranks.append(None)
         yield rows(1, ids, lengths, found, ranks)
-    rank = 0
-    for size in sorted(heaps):
-        n = len(heaps[size])
-        if n:
-            whole = size >= least
-            yield rows(0, heaps[size], [size] * n, [None] * n, range(rank, rank + n) if whole else [None] * n)
-            rank += n if whole else 0
+    rank = smallest = 0
+    for size in sorted(s for s in heaps if heaps[s]):
+        n, whole = len(heaps[size]), size >= least
+        yield rows(0, heaps[size], [size] * n, [None] * n, range(rank, rank + n) if whole else [None] * n)
+        if whole:
+            rank, smallest = rank + n, smallest or size
+    if left or rank:
+        yield rows(2, [left], [longest], [smallest], [rank])
 
 
 def exchange(ranges: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -206,13 +216,9 @@ def exchange(ranges: list[tuple[int, int, int, int, int]]) -> list[tuple[int, in
 
 def must_open(docs: DataFrame, capacity: int) -> int:
     """Sequences that documents need at least if they fit into no gap: of those longer than capacity / (q + 1) only q share one."""
-    share = F.least(F.expr(f"{capacity} div size"), F.lit(MOST))
-    classes = sorted((r["share"], r["rows"], r["total"]) for r in docs.groupBy(share.alias("share")).agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("total")).collect())
-    rows, least = 0, -(-sum(t for _, _, t in classes) // capacity)
-    for q, n, _ in classes:
-        rows += n
-        least = max(least, -(-rows // q) if q < MOST else 0)
-    return least
+    longer = [F.count_if(F.col("size") * (q + 1) > capacity).alias(str(q)) for q in SHARED]
+    found = docs.agg(F.sum("size").alias("total"), *longer).first()
+    return max(-(-(found["total"] or 0) // capacity), *[-(-found[str(q)] // q) for q in SHARED])
 
 
 def best_fit(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -246,10 +252,7 @@ def best_fit(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         order = [F.desc("size"), F.asc("kind"), F.asc("id")]
         swept = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(sweep, "part int, kind int, id long, size int, sequence long, rank long"), "swept")
         rest, free = swept.filter("kind = 1 AND sequence IS NULL"), swept.filter("kind = 0")
-        ranked = swept.filter("rank IS NOT NULL").groupBy("part").agg(
-            F.count_if(F.col("kind") == 1), F.max(F.when(F.col("kind") == 1, F.col("size"))), F.count_if(F.col("kind") == 0), F.min(F.when(F.col("kind") == 0, F.col("size")))
-        )
-        deal = exchange([tuple(r) for r in ranked.collect()])
+        deal = exchange([tuple(r) for r in swept.filter("kind = 2").select("part", "id", "size", "rank", "sequence").collect()])
         asked = F.broadcast(spark.createDataFrame(deal, "part int, low long, high long, gap_part int, first long, each int"))
         dealt = rest.join(asked, (rest["part"] == asked["part"]) & (rest["rank"] >= asked["low"]) & (rest["rank"] < asked["high"]), "left")
         dealt = dealt.select(rest["id"], rest["size"], "gap_part", (F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("each"))).alias("gap_rank"))
@@ -257,7 +260,7 @@ def best_fit(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         met = dealt.filter("gap_part IS NOT NULL").join(target, ["gap_part", "gap_rank"]).select("id", "size", "sequence")
         met = materialize(met.unionByName(dealt.filter("gap_part IS NULL").select("id", "size", F.lit(None).cast("long").alias("sequence"))), "met")
         left, met = met.filter("sequence IS NULL").select("id", "size"), met.filter("sequence IS NOT NULL")
-        placed += [df.select(F.col("id").alias("key"), "size", "sequence") for df in (swept.filter("sequence IS NOT NULL"), met)]
+        placed += [df.select(F.col("id").alias("key"), "size", "sequence") for df in (swept.filter("kind = 1 AND sequence IS NOT NULL"), met)]
         taken = met.select(F.col("sequence").alias("id"), (-F.col("size")).alias("size"))
         gaps = materialize(free.select("id", "size").unionByName(taken).groupBy("id").agg(F.sum("size").cast("int").alias("size")).filter("size > 0"), "gaps")
         n_left, most = left.count(), gaps.agg(F.max("size")).first()[0] or 0
