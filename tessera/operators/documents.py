@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import has_answer_instruction
@@ -57,31 +57,36 @@ def neighbours(hits: DataFrame, index: DataFrame, radius: int = 1) -> DataFrame:
     return first.withColumn("place", F.row_number().over(order)).select("query_id", "doc_id", F.col("at").alias("idx"), "place", "score")
 
 
+#: White space of any script.
+BLANK = r"\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the mark of an option, after white space or a bracket, with white space after it.
-OPTION = re.compile(r"(?:^|[\s（(])([A-H])[.、．)）]\s")
-OPTIONS = 3
+OPTION = rf"(?:^|[{BLANK}（(])([A-H])[.、．)）][{BLANK}]"
+#: A block of options is the last A that a B and then a C follow; other labels may stand between.
+BLOCK = "^(.*)A.*B.*C"
 
 
-def strip_options(question: str | None) -> str:
-    """The question, trimmed, without its block of options: cut at the last `A` that is followed by B, C and so on in this order,
-    OPTIONS of them at least with the A; other marks may stand between."""
-    text = question or ""
-    marks, cut = [(m.start(1), m.group(1)) for m in OPTION.finditer(text)], None
-    for k, (start, label) in enumerate(marks):
-        if label == "A":
-            last = "A"
-            for _, following in marks[k + 1 :]:
-                last = following if ord(following) == ord(last) + 1 else last
-            cut = start if ord(last) - ord("A") + 1 >= OPTIONS else cut
-    return text[:cut].strip()
+def without_options(question: Column) -> Column:
+    """The question, trimmed, without its block of options: what stands before the label that begins the block.
+
+    The labels of all marks are one short string, in which a regular expression finds the block; the pieces of text between marks, and
+    the marks before it, are put together again.
+    """
+    text = F.coalesce(question, F.lit(""))
+    pieces, marks = F.split(text, OPTION, -1), F.regexp_extract_all(text, F.lit(OPTION), F.lit(0))
+    labels = F.array_join(F.regexp_extract_all(text, F.lit(OPTION), F.lit(1)), "")
+    first = F.length(F.regexp_extract(labels, BLOCK, 1))  # marks before the block
+    before = F.array_join(F.transform(F.slice(pieces, F.lit(1), first + 1), lambda p, k: F.concat(p, F.when(k < first, F.get(marks, k)).otherwise(""))), "")
+    opening = F.regexp_extract(F.get(marks, first), "^(.?)[A-H]", 1)
+    whole = F.when(labels.rlike(BLOCK), F.concat(before, opening)).otherwise(text)
+    return F.regexp_replace(whole, f"^[{BLANK}]+|[{BLANK}]+$", "")
 
 
 def with_retrieval_text(df: DataFrame, question: str, name: str = "retrieval") -> DataFrame:
     """df with the text to search for: the question itself, or, if it asks for one exact answer, without its options, unless that
     leaves nothing."""
-    stripped = apply_text(df, question, name, strip_options, "string")
     own = F.col(question)
-    return stripped.withColumn(name, F.when(has_answer_instruction(own) & (F.col(name) != ""), F.col(name)).otherwise(own))
+    stripped = without_options(own)
+    return df.withColumn(name, F.when(has_answer_instruction(own) & (stripped != ""), stripped).otherwise(own))
 
 
 def salvage(broken: str | None) -> list[str]:

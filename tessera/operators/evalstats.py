@@ -165,26 +165,97 @@ def total_variation(counts: DataFrame) -> DataFrame:
     return sides.groupBy("a", "b", "kind").agg(F.abs(F.sum("p")).alias("d")).groupBy("a", "b").agg((F.sum("d") / 2).alias("tvd"))
 
 
+#: Cumulated chances of 0 to 7 in a Poisson distribution of mean 1.
+_POISSON = np.cumsum([0.36787944117144233 / math.factorial(k) for k in range(8)])
+
+
+def draws(h: np.ndarray, resamples: int) -> np.ndarray:
+    """How often each of some hashed rows is in each resample: Poisson(1), the same for the same hash on every run."""
+    with np.errstate(over="ignore"):
+        z = h.view(np.uint64)[:, None] + np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.searchsorted(_POISSON, (z >> np.uint64(11)).astype(np.float64) / 2.0**53, side="right")
+
+
+class _Wins:
+    """Over rows in the order of their scores, for all resamples at once: positive and negative weight, and the weight of the pairs that a
+    positive wins, half of the ties; rows of one score may come in several pieces."""
+
+    def __init__(self, resamples: int):
+        self.positive, self.negative, self.won = (np.zeros(resamples) for _ in range(3))
+        self.score, self.p, self.q = None, np.zeros(resamples), np.zeros(resamples)
+
+    def close(self) -> None:
+        self.won += self.p * (self.negative + self.q / 2)
+        self.positive, self.negative = self.positive + self.p, self.negative + self.q
+        self.p, self.q = np.zeros_like(self.p), np.zeros_like(self.q)
+
+    def add(self, score: np.ndarray, positive: np.ndarray, weight: np.ndarray) -> None:
+        starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+        p, q = (np.add.reduceat(np.where(side[:, None], weight, 0), starts, axis=0).astype(np.float64) for side in (positive, ~positive))
+        if self.score != score[0]:
+            self.close()
+        self.p, self.q = self.p + p[0], self.q + q[0]
+        self.score = score[-1]
+        if len(starts) > 1:
+            self.close()
+            inner_p, inner_q = p[1:-1], q[1:-1]
+            below = self.negative + np.cumsum(inner_q, axis=0) - inner_q
+            self.won += (inner_p * (below + inner_q / 2)).sum(0)
+            self.positive, self.negative = self.positive + inner_p.sum(0), self.negative + inner_q.sum(0)
+            self.p, self.q = p[-1], q[-1]
+
+
+def resampled_auc(pairs: DataFrame, nodes: bool = True, resamples: int = 2_000, seed: int = 7) -> DataFrame:
+    """b, auc: of pairs (a, b, score, positive) in each Poisson resample, from one pass over the pairs sorted by ranges of the score.
+
+    With nodes, nodes are drawn and a pair counts as often as the product of its ends, so that pairs that share a node go together; else
+    pairs are drawn, each on its own. A task gives three sums for each resample of its range; those of the ranges are put together in
+    the order of the ranges. A resample without positives or negatives has no value. Equal scores are one task's, row by row.
+    """
+    h = [F.xxhash64(F.lit(seed), c) for c in ("a", "b")] if nodes else [F.xxhash64(F.lit(seed), "a", "b"), F.lit(None).cast("long")]
+    rows = pairs.filter("score IS NOT NULL AND positive IS NOT NULL").select(F.col("score").cast("double").alias("score"), "positive", h[0].alias("ha"), h[1].alias("hb"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wins = _Wins(resamples)
+        least = None
+        for batch in batches:
+            for at in range(0, len(batch), 128):
+                part = batch.iloc[at : at + 128]
+                weight = draws(part["ha"].to_numpy(dtype=np.int64), resamples)
+                if nodes:
+                    weight = weight * draws(part["hb"].to_numpy(dtype=np.int64), resamples)
+                least = part["score"].iloc[0] if least is None else least
+                wins.add(part["score"].to_numpy(), part["positive"].to_numpy(dtype=bool), weight)
+        if least is not None:
+            wins.close()
+            yield pd.DataFrame({"least": least, "b": np.arange(resamples), "p": wins.positive, "q": wins.negative, "w": wins.won})
+
+    parts = rows.repartitionByRange("score").sortWithinPartitions("score").mapInPandas(run, "least double, b int, p double, q double, w double")
+    before = F.coalesce(F.sum("q").over(Window.partitionBy("b").orderBy("least").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    whole = parts.withColumn("w", F.col("w") + F.col("p") * before).groupBy("b").agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    return whole.select("b", F.try_divide(F.col("w"), F.col("p") * F.col("q")).alias("auc"))
+
+
+def auc_interval(pairs: DataFrame, nodes: bool = True, resamples: int = 2_000, seed: int = 7) -> DataFrame:
+    """One row: auc of the pairs, low and high, the percentile interval (2.5, 97.5) of its resamples, by nodes or by pairs."""
+    ends = resampled_auc(pairs, nodes, resamples, seed).agg(F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"))
+    whole = pairs.filter("score IS NOT NULL AND positive IS NOT NULL").select(F.lit(0).alias("g"), "score", "positive")
+    return auc(whole, ["g"]).select("auc", "positives", "negatives").join(F.broadcast(ends))
+
+
 def resampled_means(df: DataFrame, keys: list[str], id_: str, value: str, resamples: int = 10_000, seed: int = 7) -> DataFrame:
     """keys, b, m: the mean of each Poisson resample b. A row's count in a resample is Poisson(1) of a hash of (seed, resample, id), the
     same on every run. Each task sums all resamples of its rows at once, so rows are never multiplied."""
     table = df.select(*keys, F.xxhash64(F.lit(seed), id_).alias("_h"), F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    levels = np.cumsum([0.36787944117144233 / math.factorial(k) for k in range(8)])
-
-    def draw(h: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            z = h.view(np.uint64)[:, None] + np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return np.searchsorted(levels, (z >> np.uint64(11)).astype(np.float64) / 2.0**53, side="right")
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
             for key, part in batch.groupby(keys, dropna=False):
                 total = sums.setdefault(tuple(key), np.zeros((2, resamples)))
                 for at in range(0, len(part), 256):
-                    c = draw(part["_h"].to_numpy()[at : at + 256])
+                    c = draws(part["_h"].to_numpy()[at : at + 256], resamples)
                     total += np.stack([part["_x"].to_numpy()[at : at + 256] @ c, c.sum(0)])
         for key, (s, n) in sums.items():
             yield pd.DataFrame({**{k: [v] * resamples for k, v in zip(keys, key, strict=True)}, "b": np.arange(resamples), "s": s, "n": n})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import truncate
 from tessera.functions.vectors import cosine
+from tessera.operators.documents import BLANK
 from tessera.operators.keyword import MOST, search
 from tessera.operators.maintenance import edge_reject_reason, next_ids, resolve_ids
+from tessera.session import materialize
 
 #: The largest number of answers that a request may ask for, and that one answer holds.
 CONTRACT_TOP_K, ANSWER_TOP_K = 100, 25
@@ -26,17 +29,80 @@ FLUSH_ROUNDS, EMPTY_FLUSHES = 10, 5
 REQUESTS = 8192
 
 
+# Fixed value: who may speak.
+ROLES = ["user", "assistant"]
+
+
+def _kind(value: Column) -> Column:
+    """The type of a JSON value as text; null where there is none."""
+    return F.schema_of_variant(value)
+
+
+def _field(value: Column, name: str) -> Column:
+    return F.try_variant_get(value, f"$.{name}", "variant")
+
+
+def _text_reason(value: Column, name: str) -> Column:
+    """True where a field is not a text with something in it."""
+    field = _field(value, name)
+    return ~F.coalesce((_kind(field) == "STRING") & ~F.try_variant_get(field, "$", "string").rlike(f"^[{BLANK}]*$"), F.lit(False))
+
+
+def _absent(value: Column) -> Column:
+    return value.isNull() | F.coalesce(F.is_variant_null(value), F.lit(False))
+
+
 def search_request(body: Column) -> dict[str, Column]:
-    """query, user_id, top_k (capped) and reject_reason of a JSON search request: texts must not be blank, top_k a positive whole
-    number and no boolean or text."""
-    query, user = F.get_json_object(body, "$.query"), F.get_json_object(body, "$.user_id")
-    given = F.regexp_extract(body, r'"top_k"\s*:\s*([1-9][0-9]*)\s*[,}]', 1)
+    """query, user_id, top_k (capped), options and reject_reason of a JSON search request, by the types of its fields: query and user_id are
+    texts and not blank, top_k is a positive whole number below 2^63, options are null or a list of texts. What is no JSON object, or has a name twice, is
+    rejected as `body`; rejected requests have no fields."""
+    v = F.try_parse_json(body)
+    top, options = _field(v, "top_k"), _field(v, "options")
+    number = F.when(_kind(top) == "BIGINT", F.try_variant_get(top, "$", "long"))
+    listed = F.try_variant_get(options, "$", "array<variant>")
     reason = (
-        F.when(F.trim(F.coalesce(query, F.lit(""))) == "", "query")
-        .when(F.trim(F.coalesce(user, F.lit(""))) == "", "user_id")
-        .when(given == "", "top_k")
+        F.when(~F.coalesce(_kind(v).startswith("OBJECT"), F.lit(False)), "body")
+        .when(_text_reason(v, "query"), "query")
+        .when(_text_reason(v, "user_id"), "user_id")
+        .when(~F.coalesce(number > 0, F.lit(False)), "top_k")
+        .when(~_absent(options) & ~F.coalesce(F.forall(listed, lambda o: F.coalesce(_kind(o) == "STRING", F.lit(False))), F.lit(False)), "options")
     )
-    return {"query": query, "user_id": user, "top_k": F.least(given.try_cast("long"), F.lit(CONTRACT_TOP_K)), "reject_reason": reason}
+    good = lambda c: F.when(reason.isNull(), c)
+    text = lambda name: good(F.try_variant_get(v, f"$.{name}", "string"))
+    return {"query": text("query"), "user_id": text("user_id"), "top_k": good(F.least(number, F.lit(CONTRACT_TOP_K))), "options": good(F.try_variant_get(options, "$", "array<string>")), "reject_reason": reason}
+
+
+def add_request(body: Column) -> dict[str, Column]:
+    """request_id, user_id, session_id, messages (role, content, timestamp) and reject_reason of a JSON add request: the ids are texts and not
+    blank, messages a list with something in it, of objects with a known role, a content that is not blank, and no timestamp or a whole number.
+    A reason in a message has its place. Rejected requests have no fields."""
+    v = F.try_parse_json(body)
+    listed = F.try_variant_get(_field(v, "messages"), "$", "array<variant>")
+
+    def wrong(m: Column) -> Column:
+        role, stamp = _field(m, "role"), _field(m, "timestamp")
+        known = F.coalesce((_kind(role) == "STRING") & F.try_variant_get(role, "$", "string").isin(ROLES), F.lit(False))
+        return (
+            F.when(~F.coalesce(_kind(m).startswith("OBJECT"), F.lit(False)), "message")
+            .when(~known, "role")
+            .when(_text_reason(m, "content"), "content")
+            .when(~_absent(stamp) & ~F.coalesce(_kind(stamp) == "BIGINT", F.lit(False)), "timestamp")
+        )
+
+    faults = F.filter(F.transform(listed, lambda m, k: F.struct(k.alias("k"), wrong(m).alias("why"))), lambda f: f["why"].isNotNull())
+    fault = F.get(faults, 0)
+    reason = (
+        F.when(~F.coalesce(_kind(v).startswith("OBJECT"), F.lit(False)), "body")
+        .when(_text_reason(v, "request_id"), "request_id")
+        .when(_text_reason(v, "user_id"), "user_id")
+        .when(_text_reason(v, "session_id"), "session_id")
+        .when(~F.coalesce(F.size(listed) > 0, F.lit(False)), "messages")
+        .when(fault.isNotNull(), F.concat(F.lit("messages["), fault["k"].cast("string"), F.lit("]."), fault["why"]))
+    )
+    good = lambda c: F.when(reason.isNull(), c)
+    text = lambda name: good(F.try_variant_get(v, f"$.{name}", "string"))
+    messages = F.try_variant_get(_field(v, "messages"), "$", "array<struct<role:string,content:string,timestamp:bigint>>")
+    return {"request_id": text("request_id"), "user_id": text("user_id"), "session_id": text("session_id"), "messages": good(messages), "reject_reason": reason}
 
 
 def graph_name_reason(name: Column) -> Column:
@@ -67,13 +133,14 @@ def fetch(wanted: DataFrame, vectors: DataFrame) -> DataFrame:
     return wanted.join(vectors.select("id", "embedding"), "id", "left").select("place", "id", "embedding", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dims"))
 
 
-def knowledge(queries: DataFrame, index: DataFrame, notes: DataFrame, top_k: int = 8, scores: DataFrame | None = None) -> DataFrame:
-    """query_id, id, score, place, text, truncated: notes (id, text, observed_at) by keywords, three times as many as asked for; with
-    scores (query_id, id, score) of a reranker in its order, without those that it does not name."""
+def knowledge(queries: DataFrame, index: DataFrame, notes: DataFrame, top_k: int = 8, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """query_id, id, score, place, text, truncated: notes (id, text, observed_at) by keywords, three times as many as asked for; a
+    reranker scores those hits alone (query_id, id, score) and gives the order, without those that it leaves out."""
     k = max(1, min(top_k, MOST))
     hits = search(queries, index, notes, min(MOST, 3 * k))
-    if scores is not None:
-        ranked = hits.join(scores.select("query_id", "id", F.col("score").alias("rerank")), ["query_id", "id"])
+    if rerank is not None:
+        hits = materialize(hits, "hits")
+        ranked = hits.join(rerank(hits).select("query_id", "id", F.col("score").alias("rerank")), ["query_id", "id"])
         order = Window.partitionBy("query_id").orderBy(F.desc("rerank"), "place")
         hits = ranked.withColumn("place", F.row_number().over(order))
     shown = hits.filter(F.col("place") <= k).join(notes.select("id", "text"), "id")
@@ -183,41 +250,51 @@ def story_fallback(nodes: DataFrame, most: int = 40, chars: int = 2000) -> DataF
     return whole.groupBy("query_id").agg(F.left(F.array_join(texts, " "), F.lit(chars)).alias("story"), F.count_if("whole").alias("used"))
 
 
-_SPELLED = str.maketrans("01345789", "oieastbg")
-
-
-def plain_name(name: str) -> str:
-    return re.sub(r"[^a-z0-9一-鿿]", "", name.lower().translate(_SPELLED))
-
+# The letters that digits stand for, and what else is no part of a plain name.
+SPELLED = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
+NO_NAME = "[^a-z0-9\u4e00-\u9fff]"
 
-def align_names(given: list[str], expected: list[str], least: float = 0.8) -> list[str | None]:
-    """For each expected name the given one that stands for it, used once: the same, else the same but for digits that stand for letters,
-    else the most alike, if alike enough."""
-    out: dict[str, str] = {n: n for n in expected if n in given}
 
-    def take(choose) -> None:
-        for name in expected:
-            if name not in out and (found := choose(name, [g for g in given if g not in out.values()])) is not None:
-                out[name] = found
+def plain_name(name: Column) -> Column:
+    """A name in lower case with letters for digits, without signs and blanks."""
+    return F.regexp_replace(F.translate(F.lower(name), "".join(SPELLED), "".join(SPELLED.values())), NO_NAME, "")
 
-    def alike(name: str, free: list[str]) -> str | None:
-        rated = [(difflib.SequenceMatcher(None, plain_name(name), plain_name(g)).ratio(), -k, g) for k, g in enumerate(free)]
-        return max(rated)[2] if rated and max(rated)[0] >= least else None
 
-    take(lambda name, free: next((g for g in free if plain_name(g) == plain_name(name)), None))
-    take(alike)
-    return [out.get(n) for n in expected]
+def aligned(given: DataFrame, keys: list[str], expected: list[str], least: float = 0.8) -> DataFrame:
+    """keys, place, name, given, level: the given names (keys, pos, given) that stand for the expected ones, each used once.
 
-
-def aligned(scores: DataFrame, expected: list[str]) -> DataFrame:
-    """scores (a map of names to numbers) with `aligned`, the numbers of the expected names in their order, null where none stands for it."""
-
-    @F.pandas_udf("array<string>")
-    def names(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda k: align_names(list(k) if k is not None else [], expected))
-
-    found = scores.withColumn("_names", names(F.map_keys("scores")))
-    return found.withColumn("aligned", F.transform("_names", lambda n: F.when(n.isNotNull(), F.element_at("scores", n)))).drop("_names")
+    Level 1 is the same name, 2 the same plain name, of which the first of either side meet, 3 alike by `least` at least: expected names in
+    their order take the most alike that is left, the first on ties. Likeness is Python's sequence ratio, taken only of what the first
+    two levels leave; a least above 1 leaves level 3 out. Levels 1 and 2 are joins with the expected names.
+    """
+    spark = given.sparkSession
+    wanted = spark.createDataFrame([(k, n) for k, n in enumerate(expected)], "place int, name string").withColumn("plain", plain_name(F.col("name")))
+    rows = given.select(*keys, "pos", "given", plain_name(F.col("given")).alias("plain"))
+    near = materialize(rows.join(F.broadcast(wanted.select("plain").distinct()), "plain", "left_semi") if least > 1 else rows, "given")
+    exact = near.join(F.broadcast(wanted.drop("plain")), F.col("given") == F.col("name")).groupBy(*keys, "place", "name").agg(F.min_by("given", "pos").alias("given"))
+    exact = materialize(exact, "exact")
+    spare = near.join(exact.select(*keys, "given"), [*keys, "given"], "left_anti")
+    open_ = given.select(*keys).distinct().join(F.broadcast(wanted)).join(exact.select(*keys, "place"), [*keys, "place"], "left_anti")
+    first = open_.groupBy(*keys, "plain").agg(F.min(F.struct("place", "name")).alias("e")).join(spare.groupBy(*keys, "plain").agg(F.min_by("given", "pos").alias("given")), [*keys, "plain"])
+    plain = first.select(*keys, "e.place", "e.name", "given", F.lit(2).alias("level"))
+    found = exact.select(*keys, "place", "name", "given", F.lit(1).alias("level")).unionByName(plain)
+    if least > 1:
+        return found
+
+    @F.pandas_udf("double")
+    def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+
+    plain = materialize(plain, "plain")
+    rest = open_.join(plain.select(*keys, "place"), [*keys, "place"], "left_anti").withColumnRenamed("plain", "ours")
+    pairs = rest.join(spare.join(plain.select(*keys, "given"), [*keys, "given"], "left_anti"), keys)
+    alike = pairs.withColumn("unlike", -likeness("ours", "plain")).filter(F.col("unlike") <= -least)
+    listed = alike.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "unlike", "pos", "name", "given"))).alias("all"))
+    none = F.array().cast("array<struct<place:int,unlike:double,pos:int,name:string,given:string>>")
+    free = lambda taken, c: ~F.exists(taken, lambda t: (t["place"] == c["place"]) | (t["given"] == c["given"]))
+    taken = F.aggregate("all", none, lambda taken, c: F.when(free(taken, c), F.concat(taken, F.array(c))).otherwise(taken))  # a name each at most
+    third = listed.select(*keys, F.explode(taken).alias("t")).select(*keys, "t.place", "t.name", "t.given", F.lit(3).alias("level"))
+    return found.unionByName(third)
 
 
 def label_shares(labels: DataFrame, column: str) -> DataFrame:

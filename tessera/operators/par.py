@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine
 from tessera.operators.graph import expand, weighted_adjacency
+from tessera.operators.paths import counters, multiplier, path_key
 from tessera.operators.vectors import knn
 from tessera.schema import FRAME_CUES, FRAME_RELATIONS, FRAME_TYPES, RELATION_FLOOR, TYPE_FLOOR
 from tessera.session import materialize
@@ -159,16 +160,37 @@ def retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: Da
     return hops, means
 
 
+def retrieve_tracked(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataFrame, p: Params, log: DataFrame, session: str, rows: list[tuple] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hops, means, activations) of retrieval under a log (path_key, session_id) of what earlier queries have activated.
+
+    Each step's weight is multiplied by what its path has gained in all sessions and lost in this one (operators.paths); paths that were
+    never activated are as they were. activations has query_id, hop, path_key and session_id: every step from the frontier of a hop to a
+    node that the hop reaches for the first time, also the steps that lost to a heavier one. Queries that run together do
+    not see each other; append activations to the log for the next ones.
+    """
+    hops, means, _, steps = _retrieve(queries, nodes, edges, vectors, p, rows, counters(log, F.lit(session)))
+    return hops, means, steps.withColumn("session_id", F.lit(session))
+
+
 def retrieve_all(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataFrame, p: Params = Params(), rows: list[tuple] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """retrieve() with passes (query_id, hop, n_in, n_out, thr): how many candidates of each hop the purpose filter met and let pass.
 
     Hop 0 are the seeds. Each hop is one distributed step for all queries; what it met, scored and kept is written once, to the
-    shared folder. Candidates enter the visited set before inactive or low-scoring ones go. Nodes with their vectors are written
-    narrow before the first hop. The driver only learns whether any query has a frontier left.
+    shared folder. Candidates enter the visited set before inactive or low-scoring ones go. Nodes are written narrow before the first
+    hop. The driver only learns whether any query has a frontier left.
     """
+    return _retrieve(queries, nodes, edges, vectors, p, rows, None)[:3]
+
+
+def _retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataFrame, p: Params, rows: list[tuple] | None, counts: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """hops, means and passes, and with counts (path_key, lifetime, session) the activations."""
     nodes = materialize(nodes.select("node_id", "ord", "node_type", (~F.col("deprecated") & ~F.col("forgotten")).alias("active")), "nodes")
     nodes = nodes.select("*", F.lit(False).alias("deprecated"), (~F.col("active")).alias("forgotten"))
-    steps = materialize(weighted_adjacency(edges, nodes, rows), "steps")
+    weighted = weighted_adjacency(edges, nodes, rows)
+    if counts is not None:
+        weighted = weighted.withColumn("path_key", path_key(F.col("node_id"), F.col("nbr"), F.col("rel_type"))).join(counts, "path_key", "left")
+        weighted = weighted.withColumn("weight", F.col("weight") * multiplier(F.col("lifetime"), F.col("session"))).drop("lifetime", "session")
+    steps = materialize(weighted, "steps")
     asked = queries.select("query_id", "purpose_vec", "text_vec")
 
     def scored(df: DataFrame) -> DataFrame:
@@ -192,6 +214,7 @@ def retrieve_all(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vectors
         "hop0",
     )
     hops, means, passes = [hop0], [hop0.groupBy("query_id", "hop").agg(F.avg("ps").alias("mu"))], []
+    activated: list[DataFrame] = []
     visited = hop0.select("query_id", "node_id")
     frontier = hop0.select("query_id", "node_id", "pos")
     state = queries.select("query_id", none("double").alias("peak"), none("double").alias("prev"), F.lit(False).alias("declining"), F.lit(0).alias("count"), F.lit(False).alias("found"))
@@ -205,6 +228,10 @@ def retrieve_all(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vectors
         every = found.withColumn("combined", combined).withColumn("pos", pos).select(*columns)
         every = materialize(every, f"hop{hop}")
         visited = visited.union(every.select("query_id", "node_id"))
+        if counts is not None:
+            reached = every.select("query_id", F.col("node_id").alias("nbr"))
+            used = frontier.select("query_id", "node_id").join(steps, "node_id").join(reached, ["query_id", "nbr"], "left_semi")
+            activated.append(used.select("query_id", F.lit(hop).alias("hop"), "path_key"))
         kept = every.filter("ok").select("query_id", F.lit(hop).alias("hop"), *columns[1:9])
         mean = kept.groupBy("query_id").agg(F.avg("weight" if p.blind else "ps").alias("mu"))
         state = materialize(peak_step(state, mean, hop, p), f"state{hop}")
@@ -217,7 +244,7 @@ def retrieve_all(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vectors
         if frontier.isEmpty():
             break
     together = lambda parts: reduce(DataFrame.unionByName, parts)
-    return together(hops), together(means), together(passes)
+    return together(hops), together(means), together(passes), together(activated) if counts is not None else None
 
 
 def band(hops: DataFrame, means: DataFrame, p: Params = Params()) -> DataFrame:

@@ -10,6 +10,11 @@ def path_key(src: Column, dst: Column, rel_type: Column) -> Column:
     return F.concat(src, F.lit("→"), dst, F.lit("@"), rel_type)
 
 
+def sequence_key(nodes: Column, relations: Column) -> Column:
+    """The key of a whole walk: arrays of its nodes and of the relations between them."""
+    return F.concat(F.lit("["), F.array_join(nodes, "→"), F.lit("]|["), F.array_join(relations, "→"), F.lit("]"))
+
+
 def lifetime_factor(n: Column) -> Column:
     """Grows by 0.05 an activation, 2 at most."""
     return F.least(F.lit(2.0), 1.0 + 0.05 * n)

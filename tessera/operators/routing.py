@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordered import scan
+
 
 def batch_shape(messages: DataFrame, key: str = "conv_id") -> DataFrame:
     """key, shape: document for at most two texts of 10000 characters on average, noise without text, else conversation."""
@@ -70,16 +72,15 @@ def evidence(nodes: DataFrame, edges: DataFrame, top_k: int) -> DataFrame:
 def pack_batches(messages: DataFrame, count: int = 6, chars: int = 1500) -> DataFrame:
     """conv_id, turn, batch: greedy batches of at most `count` messages and `chars` characters, in turn order.
 
-    A conversation is folded in order by one aggregate over its lengths alone, no texts; a message longer than the budget
-    is a batch of its own (split it before, see documents.chunks).
+    Greedy batches depend on the one before, so a conversation's lengths are read in order (see ordered.scan); texts stay where they are.
+    A message longer than the budget is a batch of its own (split it before, see documents.chunks).
     """
-    row = F.struct("turn", F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    start = F.struct(F.lit(0).alias("b"), F.lit(0).alias("k"), F.lit(0).alias("c"), F.array().cast("array<struct<turn:bigint,batch:int>>").alias("out"))
+    rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
 
-    def step(s: Column, m: Column) -> Column:
-        new = (s["k"] > 0) & ((s["k"] >= count) | (s["c"] + m["n"] > chars))
-        b = F.when(new, s["b"] + 1).otherwise(s["b"])
-        return F.struct(b.alias("b"), F.when(new, 1).otherwise(s["k"] + 1).alias("k"), F.when(new, m["n"]).otherwise(s["c"] + m["n"]).alias("c"), F.concat(s["out"], F.array(F.struct(m["turn"].cast("long").alias("turn"), b.alias("batch")))).alias("out"))
+    def step(state: tuple[int, int, int], row: tuple) -> tuple[tuple[int, int, int], int]:
+        batch, held, size = state
+        if held and (held >= count or size + row.n > chars):
+            batch, held, size = batch + 1, 0, 0
+        return (batch, held + 1, size + row.n), batch
 
-    folded = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("m")).select("conv_id", F.aggregate("m", start, step, lambda s: s["out"]).alias("out"))
-    return folded.select("conv_id", F.explode("out").alias("r")).select("conv_id", "r.turn", "r.batch")
+    return scan(rows, "conv_id", ["turn", "n"], lambda: (0, 0, 0), step, "batch", "int").select("conv_id", "turn", "batch")

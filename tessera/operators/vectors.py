@@ -82,6 +82,16 @@ def reconcile(desired: DataFrame, stored: DataFrame) -> DataFrame:
     return d.join(s, "id", "full_outer").select("id", change.alias("change")).filter("change IS NOT NULL")
 
 
+def accept_embedded(stored: DataFrame, removals: DataFrame, embedded: DataFrame) -> DataFrame:
+    """The rows of embedded (id, epoch, ...) that may be written: ids that have no vector by now, and were not removed after the epoch
+    in which their embedding began. stored: id. removals: id, epoch; the last removal of an id counts. Of several rows of an id the
+    one of the latest epoch is written."""
+    last = removals.groupBy("id").agg(F.max("epoch").alias("_removed"))
+    fresh = embedded.join(stored.select("id"), "id", "left_anti").join(last, "id", "left").filter(F.coalesce("_removed", F.lit(-1)) <= F.col("epoch")).drop("_removed")
+    rest = [c for c in embedded.columns if c != "id"]
+    return fresh.groupBy("id").agg(F.max_by(F.struct(*rest), "epoch").alias("r")).select("id", "r.*")
+
+
 def duplicate_pairs(nodes: DataFrame, vectors: DataFrame, threshold: float = 0.85, least: int = 4) -> DataFrame:
     """a, b, score: pairs of active nodes that aren't things and have `least` characters, at a cosine of the threshold or more.
 

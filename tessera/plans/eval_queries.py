@@ -104,7 +104,7 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
 
     v = C.vectors(spark, sf)
     e = C.edges(spark, sf).join(v.select(F.col("id").alias("src"), F.col("embedding").alias("a")), "src").join(v.select(F.col("id").alias("dst"), F.col("embedding").alias("b")), "dst")
-    return e.select(F.round(cosine(F.col("a"), F.col("b")), 6).alias("score"), (F.col("rel_type") != "sequence").alias("positive"))
+    return e.select(F.round(cosine(F.col("a"), F.col("b")), 6).alias("score"), (F.col("rel_type") != "sequence").alias("positive"), "src", "dst")
 
 
 @query(SCORES + ", p AS (SELECT score FROM scores WHERE positive), q AS (SELECT score FROM scores WHERE NOT positive) SELECT round(avg(CASE WHEN p.score > q.score THEN 1.0::DOUBLE WHEN p.score = q.score THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 6) AS auc, (SELECT count(*) FROM p) AS positives, (SELECT count(*) FROM q) AS negatives FROM p, q")
@@ -291,6 +291,14 @@ def abstention_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return sums.select(rows.alias("r")).select("r.*")
 
 
+@query()
+def auc_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """AUC of all edges with its intervals, resampled by nodes and by pairs."""
+    pairs = scores(spark, sf).select(F.col("src").alias("a"), F.col("dst").alias("b"), "score", "positive")
+    by = [E.auc_interval(pairs, nodes).select(F.lit(name).alias("resampled"), *[F.round(c, 6).alias(c) for c in ("auc", "low", "high")]) for name, nodes in (("nodes", True), ("pairs", False))]
+    return by[0].unionByName(by[1])
+
+
 @query()
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     """Mean and 95 % interval of each judge from 10000 Poisson resamples; a hash gives each row its count in each resample."""

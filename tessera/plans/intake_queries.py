@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -36,30 +36,92 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
 
 
-@query(r"""
-WITH b AS (
-  SELECT event_id, CASE event_id % 5
-    WHEN 0 THEN '{"query": "q ' || event_id || '", "user_id": "u", "top_k": ' || event_id || '}'
-    WHEN 1 THEN '{"query": "  ", "user_id": "u", "top_k": 5}'
-    WHEN 2 THEN '{"query": "q", "top_k": 5}'
-    WHEN 3 THEN '{"query": "q", "user_id": "u", "top_k": true}'
-    ELSE '{"top_k": "7", "query": "q", "user_id": "u"}' END AS body
-  FROM events),
-p AS (SELECT event_id, body ->> 'query' AS query, body ->> 'user_id' AS user_id, regexp_extract(body, '"top_k"\s*:\s*([1-9][0-9]*)\s*[,}]', 1) AS k FROM b)
-SELECT event_id, query, user_id, least(try_cast(k AS BIGINT), 100) AS top_k,
-  CASE WHEN trim(coalesce(query, '')) = '' THEN 'query' WHEN trim(coalesce(user_id, '')) = '' THEN 'user_id' WHEN k = '' THEN 'top_k' END AS reject_reason
-FROM p
+#: What a request has instead of a good field, by doc_id: texts that are numbers, fields in other objects, lists of the wrong things, half a body.
+_ODD_SEARCH = [
+    ("query", "5"), ("query", '" \u3000 "'), ("query", "null"), ("query", '["a"]'), ("user_id", "true"), ("user_id", '""'), ("top_k", "true"), ("top_k", '"7"'), ("top_k", "7.5"), ("top_k", "0"), ("top_k", "-3"),
+    ("top_k", '{"top_k": 5}'), ("options", '"abc"'), ("options", '["a", 1]'), ("options", "[null]"), ("options", "[]"), ("options", "null"), ("options", '["a", "b"]'), ("top_k", "250"), ("top_k", "null"),
+]
+_ODD_ADD = [
+    ("request_id", "5"), ("user_id", '"  "'), ("session_id", "null"), ("messages", "[]"), ("messages", '{"role": "user"}'), ("messages", '[{"role": "user", "content": "x"}, 5]'),
+    ("messages", '[{"role": "system", "content": "x"}]'), ("messages", '[{"role": "user", "content": "x"}, {"role": "assistant", "content": ""}]'), ("messages", '[{"role": "user", "content": 7}]'),
+    ("messages", '[{"role": "user", "content": "x", "timestamp": true}]'), ("messages", '[{"role": "user", "content": "x", "timestamp": 1.5}]'), ("messages", '[{"role": "user", "content": "x", "timestamp": null}]'),
+]
+
+
+def _json_text(text: Column) -> Column:
+    """A text as JSON: what stands between the brackets of a list of it."""
+    listed = F.to_json(F.array(text))
+    return F.when(text.isNull(), "null").otherwise(listed.substr(F.lit(2), F.length(listed) - 2))
+
+
+def _bodies(spark: SparkSession, sf: str, fields: dict, odd: list[tuple[str, str]]) -> DataFrame:
+    """doc_id, body: a request made of each document; of three, one has an odd field and one in nine is cut short."""
+    k, good = F.col("doc_id"), F.lit("")
+    which = (F.floor(k / 3) % len(odd)).cast("int")
+    name, value = (F.get(F.array(*[F.lit(o[i]) for o in odd]), which) for i in (0, 1))
+    parts = [F.concat(F.lit(f'"{n}": '), F.when((k % 3 == 0) & (name == n), value).otherwise(c)) for n, c in fields.items()]
+    extra = F.when((k % 3 == 0) & (name == "options"), F.concat(F.lit(', "options": '), value)).otherwise(good)
+    body = F.concat(F.lit("{"), F.concat_ws(", ", *parts), extra, F.when(k % 9 == 1, "").otherwise("}"))
+    return table(spark, sf, "documents").select("doc_id", body.alias("body"))
+
+
+def _bodies_sql(fields: dict[str, str], odd: list[tuple[str, str]]) -> str:
+    quoted = lambda values: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+    at = f"[((doc_id // 3) % {len(odd)} + 1)::INT]"
+    name, value = f"{quoted([o[0] for o in odd])}{at}", f"{quoted([o[1] for o in odd])}{at}"
+    parts = " || ', ' || ".join(f"""'"{n}": ' || CASE WHEN doc_id % 3 = 0 AND {name} = '{n}' THEN {value} ELSE {c} END""" for n, c in fields.items())
+    return f"""bodies AS (SELECT doc_id, '{{' || {parts} || CASE WHEN doc_id % 3 = 0 AND {name} = 'options' THEN ', "options": ' || {value} ELSE '' END || CASE WHEN doc_id % 9 = 1 THEN '' ELSE '}}' END AS body FROM documents),
+  v AS (SELECT doc_id, CASE WHEN json_valid(body) THEN body::JSON END AS v FROM bodies)"""
+
+
+_SEARCH_FIELDS = {"query": "coalesce(to_json(text)::VARCHAR, 'null')", "user_id": "to_json(coalesce(source, 'u'))::VARCHAR", "top_k": "(doc_id + 1)::VARCHAR"}
+_ADD_FIELDS = {
+    "request_id": "to_json('r' || doc_id)::VARCHAR", "user_id": "to_json(coalesce(source, 'u'))::VARCHAR", "session_id": "to_json(coalesce(lang, 's'))::VARCHAR",
+    "messages": """'[{"role": "user", "content": ' || coalesce(to_json(text)::VARCHAR, 'null') || ', "timestamp": ' || doc_id || '}, {"role": "assistant", "content": "yes"}]'""",
+}
+_NO_TEXT = r"coalesce(json_type(v, '$.{0}') <> 'VARCHAR' OR regexp_matches(v ->> '$.{0}', '^[\s\x{{3000}}]*$'), true)"
+_NO_MESSAGE = r"""CASE WHEN json_type(m) <> 'OBJECT' THEN 'message' WHEN NOT coalesce(json_type(m, '$.role') = 'VARCHAR' AND (m ->> '$.role') IN ('user', 'assistant'), false) THEN 'role'
+    WHEN coalesce(json_type(m, '$.content') <> 'VARCHAR' OR regexp_matches(m ->> '$.content', '^[\s\x{3000}]*$'), true) THEN 'content' WHEN coalesce(json_type(m, '$.timestamp') NOT IN ('NULL', 'BIGINT', 'UBIGINT'), false) THEN 'timestamp' END"""
+
+
+@query(f"""
+WITH {_bodies_sql(_SEARCH_FIELDS, _ODD_SEARCH)},
+o AS (SELECT *, CASE WHEN json_type(v, '$.options') = 'ARRAY' THEN coalesce(list_bool_and([coalesce(json_type(x) = 'VARCHAR', false) FOR x IN (v -> '$.options')::JSON[]]), true) ELSE coalesce(json_type(v, '$.options') = 'NULL', true) END AS listed FROM v),
+j AS (SELECT *, CASE WHEN v IS NULL OR json_type(v) <> 'OBJECT' THEN 'body' WHEN {_NO_TEXT.format('query')} THEN 'query' WHEN {_NO_TEXT.format('user_id')} THEN 'user_id'
+    WHEN NOT coalesce(json_type(v, '$.top_k') IN ('BIGINT', 'UBIGINT') AND try_cast(v ->> '$.top_k' AS HUGEINT) > 0, false) THEN 'top_k' WHEN NOT listed THEN 'options' END AS reject_reason FROM o)
+SELECT doc_id, CASE WHEN reject_reason IS NULL THEN md5(v ->> '$.query') END AS query_md5, CASE WHEN reject_reason IS NULL THEN v ->> '$.user_id' END AS user_id,
+  CASE WHEN reject_reason IS NULL THEN least(try_cast(v ->> '$.top_k' AS BIGINT), 100) END AS top_k, CASE WHEN reject_reason IS NULL THEN coalesce(json_array_length(v, '$.options'), 0)::BIGINT END AS n_options, reject_reason FROM j
 """)
 def search_requests(spark: SparkSession, sf: str) -> DataFrame:
-    e = F.col("event_id")
-    body = (
-        F.when(e % 5 == 0, F.concat(F.lit('{"query": "q '), e, F.lit('", "user_id": "u", "top_k": '), e, F.lit("}")))
-        .when(e % 5 == 1, '{"query": "  ", "user_id": "u", "top_k": 5}')
-        .when(e % 5 == 2, '{"query": "q", "top_k": 5}')
-        .when(e % 5 == 3, '{"query": "q", "user_id": "u", "top_k": true}')
-        .otherwise('{"top_k": "7", "query": "q", "user_id": "u"}')
-    )
-    return table(spark, sf, "events").select("event_id", *[c.alias(k) for k, c in I.search_request(body).items()])
+    """Every text as the query of a request, with odd fields of all kinds among them."""
+    text = _json_text(F.col("text"))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    fields = {"query": text, "user_id": quoted(F.coalesce("source", F.lit("u"))), "top_k": (F.col("doc_id") + 1).cast("string")}
+    found = I.search_request(F.col("body"))
+    rows = _bodies(spark, sf, fields, _ODD_SEARCH).select("doc_id", *[c.alias(n) for n, c in found.items()])
+    n = F.when(F.col("reject_reason").isNull(), F.coalesce(F.size("options"), F.lit(0)).cast("long"))
+    return rows.select("doc_id", F.md5("query").alias("query_md5"), "user_id", "top_k", n.alias("n_options"), "reject_reason")
+
+
+@query(f"""
+WITH {_bodies_sql(_ADD_FIELDS, _ODD_ADD)},
+m AS (SELECT doc_id, k - 1 AS k, {_NO_MESSAGE} AS why FROM (SELECT doc_id, generate_subscripts(l, 1) AS k, unnest(l) AS m FROM (SELECT doc_id, CASE WHEN json_type(v, '$.messages') = 'ARRAY' THEN (v -> '$.messages')::JSON[] END AS l FROM v))),
+f AS (SELECT doc_id, min(k) AS k, arg_min(why, k) AS why FROM m WHERE why IS NOT NULL GROUP BY doc_id),
+j AS (SELECT v.*, CASE WHEN v IS NULL OR json_type(v) <> 'OBJECT' THEN 'body' WHEN {_NO_TEXT.format('request_id')} THEN 'request_id' WHEN {_NO_TEXT.format('user_id')} THEN 'user_id' WHEN {_NO_TEXT.format('session_id')} THEN 'session_id'
+    WHEN coalesce(json_type(v, '$.messages') <> 'ARRAY' OR json_array_length(v, '$.messages') = 0, true) THEN 'messages' WHEN why IS NOT NULL THEN 'messages[' || k || '].' || why END AS reject_reason FROM v LEFT JOIN f USING (doc_id))
+SELECT doc_id, CASE WHEN reject_reason IS NULL THEN v ->> '$.request_id' END AS request_id, CASE WHEN reject_reason IS NULL THEN json_array_length(v, '$.messages')::BIGINT END AS n_messages,
+  CASE WHEN reject_reason IS NULL THEN md5(v ->> '$.messages[0].content') END AS first_md5, CASE WHEN reject_reason IS NULL THEN (v ->> '$.messages[0].timestamp')::BIGINT END AS first_ts, reject_reason FROM j
+""")
+def add_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text as the first message of a request to add, with odd ids and messages among them."""
+    text = _json_text(F.col("text"))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    messages = F.concat(F.lit('[{"role": "user", "content": '), text, F.lit(', "timestamp": '), F.col("doc_id").cast("string"), F.lit('}, {"role": "assistant", "content": "yes"}]'))
+    fields = {"request_id": quoted(F.concat(F.lit("r"), F.col("doc_id").cast("string"))), "user_id": quoted(F.coalesce("source", F.lit("u"))), "session_id": quoted(F.coalesce("lang", F.lit("s"))), "messages": messages}
+    rows = _bodies(spark, sf, fields, _ODD_ADD).select("doc_id", *[c.alias(n) for n, c in I.add_request(F.col("body")).items()])
+    first = F.get("messages", 0)
+    n = F.when(F.col("reject_reason").isNull(), F.size("messages").cast("long"))
+    return rows.select("doc_id", "request_id", n.alias("n_messages"), F.md5(first["content"]).alias("first_md5"), first["timestamp"].alias("first_ts"), "reject_reason")
 
 
 @query(r"""
@@ -139,8 +201,11 @@ def knowledge_tool(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("tags"), "text", F.col("n_chars").alias("observed_at"))
     notes = I.searchable(d.join(toxic, "id", "left").withColumn("deprecated", F.lit(False)))
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    ranked = notes.filter("id % 3 <> 0").select("id").join(q.select("query_id")).select("query_id", "id", ((F.col("id") * 7 + F.col("query_id")) % 11).alias("score"))
-    return I.knowledge(q, K.postings(notes), notes, 8, ranked).select("query_id", "id", "score", "place", "truncated")
+
+    def rerank(hits: DataFrame) -> DataFrame:
+        return hits.filter("id % 3 <> 0").select("query_id", "id", ((F.col("id") * 7 + F.col("query_id")) % 11).alias("score"))
+
+    return I.knowledge(q, K.postings(notes), notes, 8, rerank).select("query_id", "id", "score", "place", "truncated")
 
 
 _BATCH = BASE_SQL + ", " + JUMP_SQL + """
@@ -310,16 +375,30 @@ def label_shares(spark: SparkSession, sf: str) -> DataFrame:
     return I.label_shares(table(spark, sf, "documents").select(F.array("lang", "source").alias("l")), "l").withColumn("share", F.round("share", 6))
 
 
-@query("""
-SELECT event_id, event_id % 10::DOUBLE AS s1, CASE event_id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE END AS s2 FROM events
+@query(r"""
+WITH wanted AS (SELECT list_distinct(list(w ORDER BY item_id, k)) AS e FROM (
+    SELECT item_id, generate_subscripts(w, 1) AS k, unnest(w) AS w FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z]{5,}') AS w FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark WHERE regexp_matches(text, '[A-Za-z]{5,}'))))),
+e AS (SELECT unnest(e) AS name FROM wanted),
+g AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(CASE WHEN doc_id % 2 = 1 THEN translate(text, 'oiea', '0134') ELSE text END, '[A-Za-z0-9]+'))) AS given FROM documents),
+pl AS (SELECT *, regexp_replace(translate(lower(given), '01345789', 'oieastbg'), '[^a-z0-9]', '', 'g') AS p FROM g),
+pe AS (SELECT name, regexp_replace(translate(lower(name), '01345789', 'oieastbg'), '[^a-z0-9]', '', 'g') AS p FROM e),
+same AS (SELECT doc_id, name FROM g JOIN e ON given = name),
+rest AS (SELECT x.* FROM (SELECT doc_id, name, pe.p FROM documents CROSS JOIN pe) x ANTI JOIN same ON same.doc_id = x.doc_id AND same.name = x.name),
+spare AS (SELECT pl.* FROM pl ANTI JOIN same ON same.doc_id = pl.doc_id AND same.name = pl.given),
+like_ AS (SELECT r.doc_id, r.p, least(count(DISTINCT r.name), count(DISTINCT s.given)) AS n FROM rest r JOIN spare s ON r.doc_id = s.doc_id AND r.p = s.p GROUP BY ALL)
+SELECT d.doc_id, coalesce(a.n, 0)::BIGINT AS exact, coalesce(b.n, 0)::BIGINT AS plain FROM documents d
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM same GROUP BY doc_id) a USING (doc_id) LEFT JOIN (SELECT doc_id, sum(n) AS n FROM like_ GROUP BY doc_id) b USING (doc_id)
 """)
 def name_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores under names as models spell them, put under the expected names; the SQL states what each must give."""
-    e = F.col("event_id")
-    first = F.when(e % 2 == 0, "Ariel System").otherwise("4ri3l-5y5t3m")
-    second = F.when(e % 3 == 0, "Base line").when(e % 3 == 1, "baseline v").otherwise("other")
-    scores = F.map_from_arrays(F.array(first, second), F.array((e % 10).cast("double"), F.when(e % 3 == 0, 1.0).otherwise(2.0)))
-    return I.aligned(table(spark, sf, "events").select("event_id", scores.alias("scores")), ["Ariel System", "Baseline"]).select("event_id", F.get("aligned", 0).alias("s1"), F.get("aligned", 1).alias("s2"))
+    """The words of every text as given names, with digits for letters in every other text; the words of the first benchmark item are
+    expected. How many of them each text has as they are, and how many by their plain names."""
+    long = F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))
+    first = table(spark, sf, "benchmark").filter(F.size(long) > 0).orderBy("item_id").select(F.array_distinct(long).alias("e")).first()
+    given = F.array_distinct(F.regexp_extract_all(F.when(F.col("doc_id") % 2 == 1, F.translate("text", "oiea", "0134")).otherwise(F.col("text")), F.lit("[A-Za-z0-9]+"), F.lit(0)))
+    words = table(spark, sf, "documents").select("doc_id", F.posexplode(given).alias("pos", "given"))
+    found = I.aligned(words, ["doc_id"], first["e"] if first else [], least=2.0).groupBy("doc_id")
+    counts = found.agg(F.count_if(F.col("level") == 1).alias("exact"), F.count_if(F.col("level") == 2).alias("plain"))
+    return table(spark, sf, "documents").select("doc_id").join(counts, "doc_id", "left").na.fill(0, ["exact", "plain"])
 
 
 _SIGNAL = R.TIME_SIGNAL.replace("'", "''")
@@ -410,3 +489,41 @@ def space_folders(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("event_id") % 3
     u = F.when(k == 0, "con").when(k == 1, F.concat(F.lit("user_"), "user_id")).otherwise(F.concat(F.lit("a/b"), "user_id"))
     return table(spark, sf, "events").select("event_id", T.space_dirname(u).alias("folder"))
+
+
+#: Rounds of a conversation: the events of a user; twelve hours without one are idle.
+_ROUNDS_SQL = "r AS (SELECT user_id AS conv_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS round, ts, event_type || ' ' || coalesce(props, '') AS text FROM events)"
+_IDLE = 43_200
+
+
+def _talk(spark: SparkSession, sf: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    return table(spark, sf, "events").select(F.col("user_id").alias("conv_id"), place.alias("round"), "ts", F.concat("event_type", F.lit(" "), F.coalesce("props", F.lit(""))).alias("text"))
+
+
+@query(f"""WITH {_ROUNDS_SQL},
+m AS (SELECT *, CASE WHEN n IS NULL THEN 'end' WHEN n > {_IDLE * 1_000_000} THEN 'idle' END AS mark FROM (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY conv_id ORDER BY round)) - epoch_us(ts) AS n FROM r)),
+p AS (SELECT *, count(mark) OVER (PARTITION BY conv_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part FROM m),
+f AS (SELECT *, CASE WHEN part >= 3 AND row_number() OVER (PARTITION BY conv_id, part ORDER BY round) % 6 = 0 THEN 'size' ELSE mark END AS reason FROM p),
+k AS (SELECT *, count(reason) OVER (PARTITION BY conv_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 AS flush FROM f)
+SELECT conv_id, flush, max(reason) AS reason, count(*) AS n, min(round) AS first, max(round) AS last, md5(string_agg(md5(text), '' ORDER BY round)) AS texts FROM k GROUP BY conv_id, flush HAVING max(reason) IS NOT NULL""")
+def conversation_buffers(spark: SparkSession, sf: str) -> DataFrame:
+    """What each flush of each conversation takes: the batch twin of the stream."""
+    from tessera.streaming import buffers as B
+    from tessera.streaming.sessions import flush_reasons
+
+    r = _talk(spark, sf)
+    return B.buffers(r, flush_reasons(r, _IDLE))
+
+
+@query(f"""WITH RECURSIVE a AS (SELECT DISTINCT user_id AS key, epoch_us(ts) // 1000 AS seen FROM events), g AS (SELECT key, seen, lead(seen) OVER (PARTITION BY key ORDER BY seen) AS next FROM a),
+l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seen) AS k FROM g WHERE next IS NULL OR next - seen > {_IDLE * 1000}),
+s AS (SELECT key, k, next, seen + {_IDLE * 1000} AS start, 0::BIGINT AS before FROM l WHERE k = 1
+  UNION ALL SELECT l.key, l.k, l.next, greatest(l.seen + {_IDLE * 1000}, CASE WHEN last > 0 THEN last + 172800000 ELSE 0 END), last
+  FROM (SELECT *, CASE WHEN next IS NULL OR start < next THEN start ELSE before END AS last FROM s) s JOIN l ON l.key = s.key AND l.k = s.k + 1)
+SELECT key, start AS started, CASE WHEN next < start + 600000 THEN 'aborted' ELSE 'report' END AS outcome FROM s WHERE next IS NULL OR start < next""")
+def idle_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """Reviews of users without events for twelve hours, two days apart at least, ten minutes long."""
+    from tessera.streaming import buffers as B
+
+    return B.reviews(table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts")), _IDLE, 172_800, 600)

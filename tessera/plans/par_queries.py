@@ -80,6 +80,20 @@ def vector_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     return V.reconcile(desired, stored).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH st AS (SELECT DISTINCT user_id AS id FROM events WHERE user_id % 4 = 0), rm AS (SELECT user_id AS id, max(event_id) AS epoch FROM events WHERE event_type = 'error' GROUP BY user_id),
+  em AS (SELECT doc_id AS id, doc_id * 3 AS epoch, n_chars FROM documents UNION ALL SELECT user_id, event_id, -event_id FROM events WHERE event_type = 'view')
+  SELECT em.id, max(em.epoch) AS epoch, arg_max(n_chars, em.epoch) AS n_chars FROM em ANTI JOIN st ON st.id = em.id LEFT JOIN rm ON rm.id = em.id WHERE coalesce(rm.epoch, -1) <= em.epoch GROUP BY em.id""")
+def vector_epochs(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings that come back: ids stored meanwhile, removed before, removed after and never removed."""
+    from tessera.session import table
+
+    e = table(spark, sf, "events")
+    of = lambda kind: e.filter(F.col("event_type") == kind)
+    embedded = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") * 3).alias("epoch"), "n_chars")
+    embedded = embedded.unionByName(of("view").select(F.col("user_id").alias("id"), F.col("event_id").alias("epoch"), (-F.col("event_id")).alias("n_chars")))
+    return V.accept_embedded(e.filter("user_id % 4 = 0").select(F.col("user_id").alias("id")).distinct(), of("error").select(F.col("user_id").alias("id"), F.col("event_id").alias("epoch")), embedded)
+
+
 @query("WITH log AS (SELECT user_id AS id, event_id // 512 AS seq, event_id % 512 AS pos, event_type = 'logout' OR event_id % 11 = 0 AS deleted, value FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC, pos DESC) AS rn FROM log) SELECT id, value FROM k WHERE rn = 1 AND NOT deleted")
 def vector_log_replay(spark: SparkSession, sf: str) -> DataFrame:
     from tessera.session import table
@@ -88,7 +102,7 @@ def vector_log_replay(spark: SparkSession, sf: str) -> DataFrame:
     return V.replay(log).select("id", "value")
 
 
-def par_sql(hops: int = 5, k: int = 5, thr: float = 0.30, patience: int = 2, delta: float = 0.015, tol: float = 0.10, k_sigma: float | None = None, blind: bool = False, frame: str | None = None, uniform: bool = False, anchor: float = 0.0, floor: float | None = None, first_peak: bool = False, ratio: float = 0.0, thr_decay: float = 0.0) -> str:
+def par_sql(hops: int = 5, k: int = 5, thr: float = 0.30, patience: int = 2, delta: float = 0.015, tol: float = 0.10, k_sigma: float | None = None, blind: bool = False, frame: str | None = None, uniform: bool = False, anchor: float = 0.0, floor: float | None = None, first_peak: bool = False, ratio: float = 0.0, thr_decay: float = 0.0, log: str | None = None) -> str:
     """The unrolled twin of P.retrieve: CTEs seeds, hop0.., mean0.., and `hops`, `means`, `banded`."""
     half = max(1, k // 2)
     slots = max(1, k - half)
@@ -113,6 +127,7 @@ def par_sql(hops: int = 5, k: int = 5, thr: float = 0.30, patience: int = 2, del
     out = [
         BASE_SQL, ADJ_SQL, JUMP_SQL, ASKED_SQL, f"tk AS {near('tv')}", f"pk AS {framed if frame else near('pv')}",
         "steps AS MATERIALIZED (SELECT a.*, j.weight FROM adj a JOIN nodes n USING (node_id) JOIN jump j ON j.node_type = n.node_type AND j.rel_type = a.rel_type AND j.is_reverse = a.is_reverse WHERE weight > 0)" if not uniform else "steps AS MATERIALIZED (SELECT a.*, 1.0::DOUBLE AS weight FROM adj a)",
+        *([f"acts AS MATERIALIZED ({log})"] if log else []),
         f"ch AS ({channels})",
         f"sd AS MATERIALIZED (SELECT * FROM (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY min((channel, place))) AS pos FROM ch JOIN active USING (node_id) GROUP BY query_id, node_id) WHERE pos <= {k})",
         f"hop0 AS MATERIALIZED (SELECT sd.query_id, 0 AS hop, sd.node_id, NULL::VARCHAR AS parent, NULL::VARCHAR AS rel_type, NULL::BOOLEAN AS is_reverse, NULL::DOUBLE AS weight, {seed_score} AS ps, {seed_score} * 0.5 AS combined, pos FROM sd JOIN nodes n USING (node_id) JOIN asked q USING (query_id))",
@@ -135,6 +150,9 @@ def par_sql(hops: int = 5, k: int = 5, thr: float = 0.30, patience: int = 2, del
               CASE WHEN mu IS NULL OR prev IS NULL THEN declining WHEN mu - prev > {delta} THEN false WHEN declining OR mu - prev < -{delta} THEN true ELSE false END AS declining,
               CASE WHEN mu IS NULL OR prev IS NULL THEN cnt WHEN mu - prev > {delta} THEN 0 WHEN declining THEN cnt + 1 ELSE cnt END AS cnt, found AS f0 FROM st{g} s LEFT JOIN mean{h} USING (query_id)))""",
         ]
+        front = f"(SELECT query_id, node_id, pos FROM hop{g} WHERE pos <= {k} AND query_id IN (SELECT query_id FROM st{g} WHERE NOT found))"
+        out.append(f"act{h} AS (SELECT f.query_id, {h} AS hop, s.node_id || '→' || s.nbr || '@' || s.rel_type AS path_key FROM {front} f JOIN steps s ON s.node_id = f.node_id JOIN met{h} m ON m.query_id = f.query_id AND m.node_id = s.nbr)")
+    out.append("activated AS (" + " UNION ALL ".join(f"SELECT * FROM act{h}" for h in range(1, hops + 1)) + ")")
     every = lambda name: " UNION ALL ".join(f"SELECT * FROM {name}{h}" for h in range(hops + 1))
     out += [
         f"hops AS MATERIALIZED ({every('hop')})", f"means AS MATERIALIZED ({every('mean')})",
@@ -142,7 +160,15 @@ def par_sql(hops: int = 5, k: int = 5, thr: float = 0.30, patience: int = 2, del
         f"inband AS (SELECT query_id, hop FROM means JOIN pk2 USING (query_id) WHERE hop > 0 AND round(mu - peak + {f'{ratio!r} * (peak - low)' if ratio else tol}, 9) >= 0 UNION ALL SELECT query_id, hop FROM means WHERE hop = 0)",
         "banded AS MATERIALIZED (SELECT query_id, node_id, max(combined) AS score, min(hop) AS hop FROM hops JOIN inband USING (query_id, hop) GROUP BY query_id, node_id)",
     ]
-    return ", ".join(out)
+    sql = ", ".join(out)
+    if log:  # what the log says of each path; lifetime and session count alike when all was one session
+        grown = "SELECT k, least(2.0::DOUBLE, 1.0::DOUBLE + 0.05::DOUBLE * n) * greatest(0.3::DOUBLE, 1.0::DOUBLE - 0.15::DOUBLE * n) AS f FROM (SELECT path_key AS k, count(*) AS n FROM acts GROUP BY path_key)"
+        plain = "SELECT a.*, j.weight FROM adj a"
+        assert plain in sql
+        sql = sql.replace(plain, "SELECT a.*, j.weight * coalesce(g.f, 1.0::DOUBLE) AS weight FROM adj a LEFT JOIN (" + grown + ") g ON g.k = a.node_id || '→' || a.nbr || '@' || a.rel_type", 1).replace("WHERE weight > 0)", "WHERE j.weight > 0)", 1)
+        acts = f"acts AS MATERIALIZED ({log})"
+        sql = sql.replace(", " + acts, "", 1).replace("WITH nodes AS (", f"WITH {acts}, nodes AS (", 1)
+    return sql
 
 
 def _run(spark: SparkSession, sf: str, p: P.Params = P.Params()):
@@ -170,6 +196,28 @@ def par_hops(spark: SparkSession, sf: str) -> DataFrame:
     return hops.select("query_id", "hop", "node_id", "parent", "rel_type", "is_reverse", "weight", r6("ps"), r6("combined"))
 
 
+def _tracked(spark: SparkSession, sf: str) -> tuple:
+    """A first run without a log, and what it takes to run again under its activations."""
+    n, e, v, q = C.nodes(spark, sf), C.edges(spark, sf), C.vectors(spark, sf), asked(spark, sf)
+    none = spark.createDataFrame([], "path_key string, session_id string")
+    _, _, used = P.retrieve_tracked(q, n, e, v, LOOSE, none, "s1")
+    return q, n, e, v, used
+
+
+@query(par_sql(thr=0.1) + "SELECT query_id, hop, path_key FROM activated")
+def par_activations(spark: SparkSession, sf: str) -> DataFrame:
+    """Every path that a run activates."""
+    return _tracked(spark, sf)[-1].select("query_id", "hop", "path_key")
+
+
+@query(par_sql(thr=0.1, log=par_sql(thr=0.1) + "SELECT path_key FROM activated") + HOPS.replace("weight,", "round(weight, 6) AS weight,"))
+def par_second_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The same queries again in the same session: paths that many of them took are worn, others come first."""
+    q, n, e, v, used = _tracked(spark, sf)
+    hops, _, _ = P.retrieve_tracked(q, n, e, v, LOOSE, materialize(used, "log"), "s1")
+    return hops.select("query_id", "hop", "node_id", "parent", "rel_type", "is_reverse", r6("weight"), r6("ps"), r6("combined"))
+
+
 @query(par_sql(thr=0.1) + "SELECT query_id, hop, round(mu, 6) AS mu FROM means")
 def par_hop_means(spark: SparkSession, sf: str) -> DataFrame:
     (_, means), _ = _run(spark, sf, LOOSE)

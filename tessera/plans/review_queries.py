@@ -137,11 +137,27 @@ def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", embedder()(F.col("text")).alias("embedding"))
 
 
-@query()
+_OPTIONS = r"""
+WITH asked AS (
+  SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN chr(10) || 'A. ' || coalesce(lang, '') || ' B. ' || coalesce(source, '') || ' C. neither' WHEN 1 THEN ' (A) ' || coalesce(lang, '') || ' (B) none' ELSE '' END AS q FROM documents WHERE text IS NOT NULL),
+m AS (SELECT *, string_split_regex(q, '(?:^|[\s（(])[A-H][.、．)）]\s') AS p, regexp_extract_all(q, '(?:^|[\s（(])[A-H][.、．)）]\s') AS marks,
+        array_to_string(regexp_extract_all(q, '(?:^|[\s（(])([A-H])[.、．)）]\s', 1), '') AS labels FROM asked),
+k AS (SELECT *, length(regexp_extract(labels, '^(.*)A.*B.*C', 1)) AS k FROM m),
+c AS (SELECT *, CASE WHEN regexp_matches(labels, 'A.*B.*C') THEN length(array_to_string(p[1:k + 1], '')) + length(array_to_string(marks[1:k], '')) + strpos(marks[k + 1], 'A') - 1 ELSE length(q) END AS cut FROM k)
+SELECT doc_id, regexp_replace(substr(q, 1, cut), '^\s+|\s+$', '', 'g') AS question, length(labels) AS n_marks FROM c
+"""
+
+
+@query(_OPTIONS)
 def strip_option_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    from tessera.operators.documents import apply_text, strip_options
-
-    return apply_text(table(spark, sf, "benchmark"), "text", "question", strip_options, "string").select("item_id", "question")
+    """Every text as a question: a third has a block of options behind it, a third two options, which are no block."""
+    from tessera.operators.documents import OPTION, without_options
+
+    k, none = F.col("doc_id") % 3, F.lit("")
+    lang, source = F.coalesce("lang", none), F.coalesce("source", none)
+    block = F.when(k == 0, F.concat(F.lit("\nA. "), lang, F.lit(" B. "), source, F.lit(" C. neither"))).when(k == 1, F.concat(F.lit(" (A) "), lang, F.lit(" (B) none"))).otherwise("")
+    asked = table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.concat("text", block).alias("q"))
+    return asked.select("doc_id", without_options(F.col("q")).alias("question"), F.regexp_count("q", F.lit(OPTION)).cast("long").alias("n_marks"))
 
 
 @query(BASE_SQL + """, t AS (SELECT scene AS tau_scene, v FROM nodes), r AS (SELECT e.rel_type, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM edges e JOIN nodes a ON a.node_id = e.src JOIN nodes b ON b.node_id = e.dst), q AS (SELECT rel_type, list_sort(list(s)) AS a, count(*) AS n FROM r GROUP BY rel_type)

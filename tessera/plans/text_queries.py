@@ -27,33 +27,84 @@ def query(sql: str | None = None):
 
 
 STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP)
-TOKENS_SQL = f"list_filter(list_distinct(regexp_extract_all(lower(coalesce({{t}}, '')), '[a-z0-9_./:-]{{{{2,}}}}')), lambda x: x NOT IN ({STOP_SQL}))"
-tok = lambda t: TOKENS_SQL.replace("{t}", t).replace("{{2,}}", "{2,}")
+_ASCII_SQL = "regexp_extract_all(lower(coalesce({t}, '')), '[a-z0-9_./:-]{2,}')"
+#: Bigrams of Chinese runs; of a run of one character that itself.
+_CJK_SQL = r"flatten([[substr(r, i, 2) FOR i IN range(1, greatest(length(r), 2))] FOR r IN regexp_extract_all(coalesce({t}, ''), '[\x{4e00}-\x{9fff}]+')])"
+TOKENS_SQL = f"list_filter(list_distinct(list_concat({_ASCII_SQL}, {_CJK_SQL})), lambda x: x NOT IN ({STOP_SQL}))"
+tok = lambda t: TOKENS_SQL.replace("{t}", t)
 PERIODS = T.EXPLICIT_PERIODS
 docs = lambda s, sf: table(s, sf, "documents")
 
 
-@query(f"SELECT doc_id, len({tok('text')})::INT AS n_tokens, list_aggregate(list_sort({tok('text')}), 'string_agg', ' ') AS tokens FROM documents")
+#: What stands behind each text, so that the Chinese rules have something to do.
+_TAILS = ["", " 好", "，接口超时。错误码E42", " 我们 的 数据库 版本", "x错误y码 z"]
+_TAIL_SQL = "text || [" + ", ".join(f"'{t}'" for t in _TAILS) + f"][(doc_id % {len(_TAILS)} + 1)::INT]"
+_NOTES_SQL = f"notes AS (SELECT doc_id AS id, lang AS title, source AS tags, {_TAIL_SQL} AS text, n_chars AS seen FROM documents)"
+_ASKED_SQL = "asked AS (SELECT item_id AS query_id, text || CASE item_id % 3 WHEN 0 THEN ' 接口的错误码' WHEN 1 THEN ' 数据库 en' ELSE '' END AS text FROM benchmark)"
+
+
+def notes(spark: SparkSession, sf: str) -> DataFrame:
+    tail = F.get(F.array(*[F.lit(t) for t in _TAILS]), (F.col("doc_id") % len(_TAILS)).cast("int"))
+    return docs(spark, sf).select(F.col("doc_id").alias("id"), F.col("lang").alias("title"), F.col("source").alias("tags"), F.concat("text", tail).alias("text"), F.col("n_chars").alias("observed_at"))
+
+
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("item_id") % 3
+    tail = F.when(k == 0, " 接口的错误码").when(k == 1, " 数据库 en").otherwise("")
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", tail).alias("text"))
+
+
+def _stored(spark: SparkSession):
+    """An index in a folder of its own below the shared one."""
+    import uuid
+
+    from tessera.session import shared_dir
+    from tessera.sources.keyword_index import KeywordIndex
+
+    return KeywordIndex(spark, f"{shared_dir(spark)}/tessera-index-{uuid.uuid4().hex[:12]}")
+
+
+@query(f"WITH {_NOTES_SQL} SELECT id, len({tok('text')})::INT AS n_tokens, list_aggregate(list_sort({tok('text')}), 'string_agg', ' ') AS tokens FROM notes")
 def kw_tokenize(spark: SparkSession, sf: str) -> DataFrame:
     t = T.tokens(F.col("text"))
-    return docs(spark, sf).select("doc_id", F.size(t).alias("n_tokens"), F.array_join(F.sort_array(t), " ").alias("tokens"))
+    return notes(spark, sf).select("id", F.size(t).alias("n_tokens"), F.array_join(F.sort_array(t), " ").alias("tokens"))
+
 
+_FIELDS_SQL = f"p AS (SELECT id, unnest({tok('text')}) AS term, 1 AS w FROM now UNION ALL SELECT id, unnest({tok('tags')}), 2 FROM now UNION ALL SELECT id, unnest({tok('title')}), 3 FROM now)"
+_SEARCH_SQL = f"""{_FIELDS_SQL}, q AS (SELECT query_id, {tok('text')} AS terms FROM asked), e AS (SELECT query_id, len(terms) AS n, unnest(terms) AS term FROM q),
+  s AS (SELECT query_id, id, round(least(1.0::DOUBLE, sum(w) / (3.0::DOUBLE * n)), 4) AS score FROM e JOIN p USING (term) GROUP BY query_id, id, n),
+  r AS (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(seen, 0) DESC, id) AS place FROM s JOIN now USING (id))
+  SELECT query_id, id, score, place::INT AS place FROM r WHERE place <= 8"""
 
-@query(f"SELECT term, field, count(*) AS n FROM (SELECT unnest({tok('text')}) AS term, 'text' AS field FROM documents UNION ALL SELECT unnest({tok('source')}), 'tags' FROM documents UNION ALL SELECT unnest({tok('lang')}), 'title' FROM documents) GROUP BY term, field")
+
+@query(f"WITH {_NOTES_SQL}, now AS (SELECT * FROM notes), {_FIELDS_SQL} SELECT term, count(*) AS n FROM p GROUP BY term")
 def kw_postings(spark: SparkSession, sf: str) -> DataFrame:
-    d = docs(spark, sf).select(F.col("doc_id").alias("id"), F.col("lang").alias("title"), F.col("source").alias("tags"), "text")
-    return K.postings(d).groupBy("term", "field").agg(F.count(F.lit(1)).alias("n"))
+    """How many postings each term has in the stored index."""
+    index = _stored(spark)
+    index.add(notes(spark, sf))
+    return index.statistics()
 
 
-@query(f"""WITH p AS (SELECT doc_id AS id, unnest({tok('text')}) AS term, 1 AS w FROM documents UNION ALL SELECT doc_id, unnest({tok('source')}), 2 FROM documents),
-  q AS (SELECT item_id AS query_id, {tok('text')} AS terms FROM benchmark), e AS (SELECT query_id, len(terms) AS n, unnest(terms) AS term FROM q),
-  s AS (SELECT query_id, id, round(least(1.0::DOUBLE, sum(w) / (3.0::DOUBLE * n)), 4) AS score FROM e JOIN p USING (term) GROUP BY query_id, id, n),
-  r AS (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n_chars DESC, id) AS place FROM s JOIN documents d ON d.doc_id = s.id)
-  SELECT query_id, id, score, place::INT AS place FROM r WHERE place <= 8""")
+@query(f"WITH {_NOTES_SQL}, now AS (SELECT * FROM notes), {_ASKED_SQL}, {_SEARCH_SQL}")
 def kw_search(spark: SparkSession, sf: str) -> DataFrame:
-    d = docs(spark, sf).select(F.col("doc_id").alias("id"), F.col("source").alias("tags"), "text", F.col("n_chars").alias("observed_at"))
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return K.search(q, K.postings(d), d)
+    """All questions against the stored index, which is written first."""
+    index = _stored(spark)
+    index.add(notes(spark, sf))
+    return index.search(questions(spark, sf))
+
+
+_NOW_SQL = "now AS (SELECT id, title, tags, CASE WHEN id % 7 = 0 THEN 'replaced ' || text ELSE text END AS text, CASE WHEN id % 7 = 0 THEN seen + 1 ELSE seen END AS seen FROM notes WHERE id % 11 <> 0 OR id % 77 = 0)"
+
+
+@query(f"WITH {_NOTES_SQL}, {_NOW_SQL}, {_ASKED_SQL}, {_SEARCH_SQL}")
+def kw_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored index after changes: two thirds of the notes, then the others, some removed, some replaced (removed ones come back)."""
+    index, all_ = _stored(spark), notes(spark, sf)
+    index.add(all_.filter("id % 3 <> 0"))
+    index.add(all_.filter("id % 3 = 0"))
+    index.remove(all_.filter("id % 11 = 0").select("id"))
+    index.add(all_.filter("id % 7 = 0").select("id", "title", "tags", F.concat(F.lit("replaced "), "text").alias("text"), (F.col("observed_at") + 1).alias("observed_at")))
+    return index.search(questions(spark, sf))
 
 
 @query("""WITH c AS (SELECT doc_id, text, length(text) AS n, substr(text, 1, 1200) AS cut FROM documents), e AS (SELECT *, length(regexp_extract(cut, '(?s)^(.*[。！？；\n.!?;])', 1)) AS p FROM c)
@@ -193,7 +244,18 @@ def doc_neighbour_expand(spark: SparkSession, sf: str) -> DataFrame:
     return D.neighbours(hits, c, 1)
 
 
-@query()
+def _chunks_sql(given: str, budget: int) -> str:
+    """pieces(k, i, piece) of the CTE `given` (k, t), cut as documents.split_text does, one cut at a step."""
+    half = budget // 2
+    ends = rf"greatest(length(regexp_extract(h, '(?s)^(.*[。！？!?；;\n])', 1)), length(regexp_extract(h, '(?s)^(.*\.)(?:\s|$)', 1)))"
+    at = rf"CASE WHEN {ends} >= {half} THEN {ends} WHEN length(regexp_extract(h, '(?s)^(.*\s)', 1)) >= {half} THEN length(regexp_extract(h, '(?s)^(.*\s)', 1)) ELSE {budget} END"
+    return f"""cut(k, i, t, piece) AS (SELECT k, -1, t, NULL::VARCHAR FROM {given} WHERE t <> '' UNION ALL
+  SELECT k, i + 1, substr(t, n + 1), substr(t, 1, n) FROM (SELECT k, i, t, CASE WHEN length(t) <= {budget} THEN length(t) ELSE {at} END AS n FROM (SELECT *, substr(t, 1, {budget}) AS h FROM cut WHERE t <> ''))),
+  pieces AS (SELECT k, i, piece FROM cut WHERE i >= 0)"""
+
+
+@query(f"""WITH RECURSIVE given AS (SELECT doc_id AS k, coalesce(text, '') AS t FROM documents), {_chunks_sql('given', 1800)}
+  SELECT k AS doc_id, k || 'c' || lpad(i::VARCHAR, 4, '0') AS chunk_id, i::INT AS idx, (count(*) OVER (PARTITION BY k))::INT AS total, piece AS text FROM pieces""")
 def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
     m = docs(spark, sf).select("doc_id", F.lit(0).alias("msg_index"), F.col("text").alias("content"))
     return D.chunks(m)
@@ -370,3 +432,50 @@ def route_features(spark: SparkSession, sf: str) -> DataFrame:
     options = F.when(k % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
     found = features(F.col("q"), options, F.col("r"))
     return D.with_retrieval_text(asked, "q", "r").select("doc_id", *[F.round(c, 6).alias(n) for n, c in found.items()])
+
+
+#: Requests: every conversation, and every document as one of its own, feedback and blanks among them; a third of the spaces keep documents only.
+_ADDS_SQL = """msgs AS (SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 13 = 0 THEN 'qa_id: 7 previous search results were wrong ' || coalesce(text, '') ELSE text END AS text FROM conversations
+    UNION ALL SELECT -1 - doc_id, 0, 'user', CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE text END FROM documents),
+  fl AS (SELECT *, FEEDBACK AS fb FROM msgs), pl AS (SELECT *, NOT fb AND row_number() OVER (PARTITION BY conv_id, fb ORDER BY turn) > 5 AS over FROM fl),
+  sh AS (SELECT conv_id, CASE WHEN count(*) FILTER (length(trim(coalesce(text, ''))) > 0) = 0 THEN 'noise' WHEN conv_id % 3 = 0 OR (count(*) FILTER (length(trim(coalesce(text, ''))) > 0) <= 2
+    AND avg(length(text)) FILTER (length(trim(coalesce(text, ''))) > 0) >= 10000) THEN 'document' ELSE 'conversation' END AS shape FROM pl WHERE NOT fb AND NOT over GROUP BY conv_id),
+  ro AS (SELECT pl.*, CASE WHEN fb THEN 'feedback' WHEN shape <> 'conversation' THEN shape WHEN over THEN 'overflow' ELSE 'graph' END AS route FROM pl LEFT JOIN sh USING (conv_id))""".replace(
+    "FEEDBACK", " OR ".join(f"contains(lower(coalesce(text, '')), '{m}')" for m in T.FEEDBACK_MARKS)
+)
+
+
+def _adds(spark: SparkSession, sf: str) -> DataFrame:
+    """The routed messages of all requests, with a limit of five messages."""
+    from tessera.operators import adds as A
+
+    c = table(spark, sf, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    c = c.withColumn("text", F.when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(13)) == 0, F.concat(F.lit("qa_id: 7 previous search results were wrong "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    d = docs(spark, sf).select((-1 - F.col("doc_id")).alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.when(F.col("doc_id") % 17 == 0, " ").otherwise(F.col("text")).alias("text"))
+    messages = c.unionByName(d)
+    modes = messages.select("conv_id").distinct().filter("conv_id % 3 = 0").withColumn("mode", F.lit("documents"))
+    return A.route(messages, modes, 5)
+
+
+@query(f"""WITH RECURSIVE {_ADDS_SQL}, g AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(coalesce(text, ''))) AS r FROM ro WHERE route = 'graph'),
+  w AS (SELECT conv_id, turn, r, 0 AS batch, 1 AS k, n AS c FROM g WHERE r = 1 UNION ALL
+    SELECT g.conv_id, g.turn, g.r, CASE WHEN w.k >= 6 OR w.c + g.n > 1500 THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.k >= 6 OR w.c + g.n > 1500 THEN 1 ELSE w.k + 1 END, CASE WHEN w.k >= 6 OR w.c + g.n > 1500 THEN g.n ELSE w.c + g.n END
+    FROM w JOIN g ON g.conv_id = w.conv_id AND g.r = w.r + 1)
+  SELECT ro.conv_id, ro.turn, route, batch FROM ro LEFT JOIN w USING (conv_id, turn)""")
+def add_routes(spark: SparkSession, sf: str) -> DataFrame:
+    return _adds(spark, sf).select("conv_id", "turn", "route", "batch")
+
+
+@query(f"""WITH RECURSIVE {_ADDS_SQL}, given AS (SELECT (conv_id, turn) AS k, role || ': ' || regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM ro WHERE route IN ('graph', 'overflow') AND regexp_replace(coalesce(text, ''), '\s', '', 'g') <> ''),
+  {_chunks_sql('given', 500)}, pl2 AS (SELECT k[1] AS conv_id, row_number() OVER (PARTITION BY k[1] ORDER BY k[2], i) - 1 AS place, piece FROM pieces), top AS (SELECT max(vec_id) AS top FROM embeddings),
+  nn AS (SELECT *, 'n' || (top + row_number() OVER (ORDER BY conv_id, place)) AS node_id FROM pl2, top WHERE place < 20)
+  SELECT 'node' AS kind, node_id, conv_id, place, md5(piece) AS content_md5 FROM nn UNION ALL SELECT 'overflow', NULL, conv_id, place, md5(piece) FROM pl2 WHERE place >= 20""".replace("role || ': '", "coalesce(role, '') || ': '"))
+def raw_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests whose messages went to the graph, stored raw: 20 chunks of each as nodes that count on from the graph's, the rest as documents."""
+    from tessera.operators import adds as A
+    from tessera.sources import canonical as C
+
+    talk = _adds(spark, sf).filter("route IN ('graph', 'overflow')")
+    new, over = A.store_raw(talk, C.nodes(spark, sf), most=20)
+    both = new.select(F.lit("node").alias("kind"), "node_id", "conv_id", "place", "content").unionByName(over.select(F.lit("overflow").alias("kind"), F.lit(None).cast("string").alias("node_id"), "conv_id", "place", "content"))
+    return both.select("kind", "node_id", "conv_id", "place", F.md5("content").alias("content_md5"))

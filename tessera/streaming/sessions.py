@@ -27,7 +27,7 @@ def stream_requests(requests: DataFrame, ts: str = "ts", late: str = "1 hour") -
 
 def flush_reasons(rounds: DataFrame, idle_seconds: int = 90, batch: int = 6, entry: int = 3) -> DataFrame:
     """conv_id, round, reason for each flush of a conversation: idle where the next round comes after the idle time, end at the
-    last; from `entry` such flushes on, size after each `batch` further rounds. rounds: conv_id, round (from 1), ts.
+    last; from `entry` such flushes on, size after each `batch` further rounds, which comes first. rounds: conv_id, round (from 1), ts.
     """
     w = Window.partitionBy("conv_id").orderBy("round")
     gap = F.unix_micros(F.lead("ts").over(w).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
@@ -35,7 +35,7 @@ def flush_reasons(rounds: DataFrame, idle_seconds: int = 90, batch: int = 6, ent
     flushes = F.count("reason").over(w.rowsBetween(Window.unboundedPreceding, -1))
     part = marked.withColumn("part", flushes)
     within = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("round"))
-    sized = part.withColumn("reason", F.coalesce("reason", F.when((F.col("part") >= entry) & (within % batch == 0), "size")))
+    sized = part.withColumn("reason", F.when((F.col("part") >= entry) & (within % batch == 0), "size").otherwise(F.col("reason")))
     return sized.filter("reason IS NOT NULL").select("conv_id", "round", "reason")
 
 

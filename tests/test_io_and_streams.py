@@ -208,8 +208,15 @@ def test_flush_skips_against_a_loop(spark):
     assert got == want and any(want.values())
 
 
-def test_names_are_aligned():
-    from tessera.operators.intake import align_names
-
-    assert align_names(["4ri3l", "Ariel", "basline"], ["Ariel", "Baseline", "Other"]) == ["Ariel", "basline", None]
-    assert align_names(["5y5t3m 8"], ["System B"]) == ["5y5t3m 8"] and align_names([], ["x"]) == [None]
+def test_names_are_aligned(spark):
+    from tessera.operators.intake import aligned
+
+    def names(given, expected):
+        rows = spark.createDataFrame([(1, k, g) for k, g in enumerate(given)], "q int, pos int, given string")
+        found = {r["name"]: r["given"] for r in aligned(rows, ["q"], expected).collect()}
+        return [found.get(n) for n in expected]
+
+    assert names(["4ri3l", "Ariel", "basline"], ["Ariel", "Baseline", "Other"]) == ["Ariel", "basline", None]
+    assert names(["5y5t3m 8"], ["System B"]) == ["5y5t3m 8"] and names([], ["x"]) == [None]
+    assert names(["Gr4ph1t1", "4r14dn3", "Graphity"], ["Ariadne", "Graphiti", "Graphitx"]) == ["4r14dn3", "Gr4ph1t1", "Graphity"]
+    assert names(["Systems A", "System-A"], ["System A", "Systems a"]) == ["System-A", "Systems A"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.render import batch_time, conversation
 from tessera.functions.route_features import NAMES, features, vectorize
-from tessera.operators.documents import salvage, split_text, strip_options
+from tessera.operators.documents import salvage, split_text, without_options
 
 
 def ask(spark, expr, *values):
@@ -69,12 +69,22 @@ def test_chunks_join_to_the_text():
     assert split_text(None, 5) == [] and split_text("abc. def", 6) == ["abc.", " def"]
 
 
-def test_options_and_salvage():
-    assert strip_options("Which?\nA. one\nB. two\nC. three") == "Which?"
-    assert strip_options("Plan A. is fine\nA. x\nB. y") == "Plan A. is fine\nA. x\nB. y"
-    assert strip_options("Who is right? A. one B. two C. three Choose the correct option.") == "Who is right?"
-    assert strip_options("Plan B. is (A) x (C) z (B) y (C) w") == "Plan B. is ("
-    assert strip_options(" A. one B. two D. four ") == "A. one B. two D. four"
+def test_options_and_salvage(spark):
+    stem, options = "Who is right?", "A. one B. two C. three D. four"
+    cases = {
+        "Which?\nA. one\nB. two\nC. three": "Which?",
+        "Plan A. is fine\nA. x\nB. y": "Plan A. is fine\nA. x\nB. y",
+        f"{stem} {options} Choose the correct option.": stem,
+        "Plan B. is (A) x (C) z (B) y (C) w": "Plan B. is (",
+        " A. one B. two D. four ": "A. one B. two D. four",
+        "": "",
+        f"{stem} See A. of it. {options}": f"{stem} See A. of it.",
+        f"{stem} {options} {stem} {options}": f"{stem} {options} {stem}",
+        "A. x\u3000B. y\u00a0C. z": "",
+        "\u3000问题（A）\u3000甲 （B） 乙 （C） 丙": "问题（",
+    }
+    df = spark.createDataFrame([*cases.items(), (None, "")], "q string, want string").withColumn("got", without_options(F.col("q")))
+    assert [r for r in df.collect() if r["got"] != r["want"]] == []
     assert salvage('[{"a": "}"}, {"b": {"c": 1}}, {"d": ') == ['{"a": "}"}', '{"b": {"c": 1}}']
 
 
