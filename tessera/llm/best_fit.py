@@ -20,7 +20,7 @@ from tessera.session import materialize
 
 CAPACITY = 2048
 #: Each round takes up the documents longer than this share of the capacity, longest first.
-SHARES = (2, 3, 4, 6, 12)
+SHARES = (2, 3, 5, 12)
 #: For each of these q, documents longer than capacity / (q + 1) need a sequence for q of them at least.
 SHARED = (1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 24, 32, 64)
 #: Words that a worker remembers, and their bytes; beyond either it starts anew.
@@ -225,8 +225,8 @@ def best_fit(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """key, size, sequence for a written table of keys and sizes from 1 to capacity; keys are unique and not negative.
 
     A round has (1) the documents left over and those of the next shorter class, with all gaps, sorted by ranges of size, key; (2) a sweep
-    in each range; (3) the exchange between ranges: what is left in each is counted, ranks of documents meet ranks of gaps in a join;
-    (4) new gaps; (5) new sequences for documents longer than any gap, only as many as they need at least. Every round places
+    in each range; (3) the exchange between ranges: what is left in each is counted, ranks of documents meet ranks of gaps in a join
+    that sums what each gap has taken; (4) new gaps; (5) new sequences for documents longer than any gap, only as many as they need at least. Every round places
     a document or opens a sequence for one; the rounds are about as many as the classes. The driver holds one row for each range.
     Documents as long as the capacity need no round. The sweep's bit set of sizes is made for capacities up to some ten thousands.
     """
@@ -256,13 +256,15 @@ def best_fit(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         asked = F.broadcast(spark.createDataFrame(deal, "part int, low long, high long, gap_part int, first long, each int"))
         dealt = rest.join(asked, (rest["part"] == asked["part"]) & (rest["rank"] >= asked["low"]) & (rest["rank"] < asked["high"]), "left")
         dealt = dealt.select(rest["id"], rest["size"], "gap_part", (F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("each"))).alias("gap_rank"))
-        target = free.filter("rank IS NOT NULL").select(F.col("part").alias("gap_part"), F.col("rank").alias("gap_rank"), F.col("id").alias("sequence"))
-        met = dealt.filter("gap_part IS NOT NULL").join(target, ["gap_part", "gap_rank"]).select("id", "size", "sequence")
-        met = materialize(met.unionByName(dealt.filter("gap_part IS NULL").select("id", "size", F.lit(None).cast("long").alias("sequence"))), "met")
-        left, met = met.filter("sequence IS NULL").select("id", "size"), met.filter("sequence IS NOT NULL")
-        placed += [df.select(F.col("id").alias("key"), "size", "sequence") for df in (swept.filter("kind = 1 AND sequence IS NOT NULL"), met)]
-        taken = met.select(F.col("sequence").alias("id"), (-F.col("size")).alias("size"))
-        gaps = materialize(free.select("id", "size").unionByName(taken).groupBy("id").agg(F.sum("size").cast("int").alias("size")).filter("size > 0"), "gaps")
+        ranked = free.filter("rank IS NOT NULL").select(F.col("part").alias("gap_part"), F.col("rank").alias("gap_rank"), F.col("id").alias("sequence"), F.col("size").alias("gap"))
+        same = Window.partitionBy("gap_part", "gap_rank")
+        met = ranked.join(dealt.filter("gap_part IS NOT NULL"), ["gap_part", "gap_rank"], "left")
+        rest_of = F.col("gap") - F.coalesce(F.sum("size").over(same), F.lit(0))
+        last = F.row_number().over(same.orderBy("id")) == 1
+        met = materialize(met.select("id", "size", "sequence", F.when(last, rest_of).cast("int").alias("rest")), "met")
+        left = dealt.filter("gap_part IS NULL").select("id", "size")
+        placed += [df.select(F.col("id").alias("key"), "size", "sequence") for df in (swept.filter("kind = 1 AND sequence IS NOT NULL"), met.filter("id IS NOT NULL"))]
+        gaps = free.filter("rank IS NULL").select("id", "size").unionByName(met.filter("rest > 0").select(F.col("sequence").alias("id"), F.col("rest").alias("size")))
         n_left, most = left.count(), gaps.agg(F.max("size")).first()[0] or 0
     return reduce(DataFrame.unionByName, placed)
 
