@@ -214,11 +214,22 @@ def exchange(ranges: list[tuple[int, int, int, int, int]]) -> list[tuple[int, in
     return out
 
 
-def must_open(docs: DataFrame, capacity: int) -> int:
-    """Sequences that documents need at least if they fit into no gap: of those longer than capacity / (q + 1) only q share one."""
-    longer = [F.count_if(F.col("size") * (q + 1) > capacity).alias(str(q)) for q in SHARED]
-    found = docs.agg(F.sum("size").alias("total"), *longer).first()
-    return max(-(-(found["total"] or 0) // capacity), *[-(-found[str(q)] // q) for q in SHARED])
+def levels(capacity: int) -> list[int]:
+    """Lengths for which room is compared with what needs it: four to a doubling."""
+    return sorted({int(capacity / 2 ** (k / 4)) for k in range(1, 4 * capacity.bit_length())} | {0})
+
+
+def must_open(docs: DataFrame, capacity: int, longest: int, room: dict[int, int]) -> int:
+    """Sequences that documents need at least besides the gaps, the longest of `longest`, of which those above each level have so much room.
+
+    What is longer than any gap fits into none, and of documents longer than capacity / (q + 1) only q share a sequence. Documents longer than a
+    level fit only into longer gaps, so what is more than their room needs new sequences.
+    """
+    size = F.col("size")
+    longer = [F.count_if((size > longest) & (size * (q + 1) > capacity)).alias(f"q{q}") for q in SHARED]
+    above = [F.coalesce(F.sum(F.when(size > t, size)), F.lit(0)).alias(f"t{t}") for t in room]
+    found = docs.agg(*longer, *above).first()
+    return max(*[-(-found[f"q{q}"] // q) for q in SHARED], *[-(-(found[f"t{t}"] - held) // capacity) for t, held in room.items()])
 
 
 def best_fit(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -226,7 +237,7 @@ def best_fit(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     A round has (1) the documents left over and those of the next shorter class, with all gaps, sorted by ranges of size, key; (2) a sweep
     in each range; (3) the exchange between ranges: what is left in each is counted, ranks of documents meet ranks of gaps in a join
-    that sums what each gap has taken; (4) new gaps; (5) new sequences for documents longer than any gap, only as many as they need at least. Every round places
+    that sums what each gap has taken; (4) new gaps; (5) new sequences, only as many as are needed at least. Every round places
     a document or opens a sequence for one; the rounds are about as many as the classes. The driver holds one row for each range.
     Documents as long as the capacity need no round. The sweep's bit set of sizes is made for capacities up to some ten thousands.
     """
@@ -235,7 +246,7 @@ def best_fit(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     placed = [lengths.filter(F.col("size") == capacity).select("key", F.col("size").cast("int").alias("size"), (-1 - F.col("key")).alias("sequence"))]
     gaps = spark.createDataFrame([], "id long, size int")
     left = spark.createDataFrame([], "id long, size int")
-    upper, opened, n_left, most = capacity - 1, 0, 0, 0
+    upper, opened, n_left, most, room = capacity - 1, 0, 0, 0, dict.fromkeys(levels(capacity), 0)
     while True:
         docs = left
         if bounds:
@@ -244,8 +255,8 @@ def best_fit(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             docs, upper = left.unionByName(fresh), lower
         elif not n_left:
             break
-        new = must_open(docs.filter(F.col("size") > most), capacity)
-        if new:
+        new = must_open(docs, capacity, most, room)
+        if new > 0:
             gaps = gaps.unionByName(spark.range(opened, opened + new).select("id", F.lit(capacity).alias("size")))
             opened += new
         rows = gaps.select(F.lit(0).alias("kind"), "id", "size").unionByName(docs.select(F.lit(1).alias("kind"), "id", "size"))
@@ -265,7 +276,9 @@ def best_fit(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         left = dealt.filter("gap_part IS NULL").select("id", "size")
         placed += [df.select(F.col("id").alias("key"), "size", "sequence") for df in (swept.filter("kind = 1 AND sequence IS NOT NULL"), met.filter("id IS NOT NULL"))]
         gaps = free.filter("rank IS NULL").select("id", "size").unionByName(met.filter("rest > 0").select(F.col("sequence").alias("id"), F.col("rest").alias("size")))
-        n_left, most = left.count(), gaps.agg(F.max("size")).first()[0] or 0
+        above = [F.coalesce(F.sum(F.when(F.col("size") > t, F.col("size"))), F.lit(0)) for t in room]
+        most, *sums = gaps.agg(F.coalesce(F.max("size"), F.lit(0)), *above).first()
+        n_left, room = left.count(), dict(zip(room, sums, strict=True))
     return reduce(DataFrame.unionByName, placed)
 
 
