@@ -39,14 +39,14 @@ def route(messages: DataFrame, modes: DataFrame | None = None, limit: int = LIMI
 
 
 def raw_chunks(messages: DataFrame, size: int = CHUNK) -> DataFrame:
-    """conv_id, place (from 0), content: `role: text` of each message that isn't blank, cut at sentence ends (documents.split_text), in order.
+    """conv_id, place (from 0), content: `role: text` of each message that isn't blank, cut at sentence ends (documents.split_text), in order; blank pieces go.
 
     Messages are cut on their own and numbered by the running sum of their pieces.
     """
 
     @F.pandas_udf("array<string>")
     def pieces(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: split_text(t, size))
+        return text.map(lambda t: [p for p in split_text(t, size) if p.strip()])
 
     blank = f"^[{BLANK}]+|[{BLANK}]+$"
     bare = messages.withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), blank, "")).filter("text <> ''")

@@ -29,14 +29,14 @@ def split_text(text: str | None, budget: int) -> list[str]:
 
 
 def chunks(messages: DataFrame, budget: int = 1800) -> DataFrame:
-    """doc_id, chunk_id, idx, total, text: derived chunks of (doc_id, msg_index, content), numbered over the document.
+    """doc_id, chunk_id, idx, total, text: derived chunks of (doc_id, msg_index, content), numbered over the document, without blank ones.
 
     Messages are cut on their own; the running index and the total come from sums of piece counts by window.
     """
 
     @F.pandas_udf("array<string>")
     def pieces(content: pd.Series) -> pd.Series:
-        return content.map(lambda t: split_text(t, budget))
+        return content.map(lambda t: [p for p in split_text(t, budget) if p.strip()])
 
     cut = messages.select("doc_id", "msg_index", pieces("content").alias("parts")).withColumn("k", F.size("parts"))
     order = Window.partitionBy("doc_id").orderBy("msg_index")

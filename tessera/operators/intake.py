@@ -15,6 +15,7 @@ from tessera.functions.vectors import cosine
 from tessera.operators.documents import BLANK
 from tessera.operators.keyword import MOST, search
 from tessera.operators.maintenance import edge_reject_reason, next_ids, resolve_ids
+from tessera.operators.ordered import scan
 from tessera.session import materialize
 
 #: The largest number of answers that a request may ask for, and that one answer holds.
@@ -198,17 +199,13 @@ def flush_bodies(rounds: DataFrame, flushes: DataFrame, keep: int = FLUSH_ROUNDS
 def auto_skips(flushes: DataFrame, threshold: int = EMPTY_FLUSHES) -> DataFrame:
     """flushes (conv_id, round, reason, empty) with skipped: after `threshold` empty ones in a row a flush is not worked on, unless it is
     the session's end or asked for by hand. A skipped flush counts neither way."""
-    row = F.struct("round", "reason", "empty")
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<boolean>").alias("out"))
 
-    def step(s: Column, f: Column) -> Column:
-        skip = ~f["reason"].isin("end", "manual") & (s["n"] >= threshold)
-        n = F.when(skip, s["n"]).when(f["empty"], s["n"] + 1).otherwise(0)
-        return F.struct(n.cast("int").alias("n"), F.concat(s["out"], F.array(skip)).alias("out"))
+    def step(state: int, row: tuple) -> tuple[int, bool]:
+        if row.reason not in ("end", "manual") and state >= threshold:
+            return state, True
+        return (state + 1 if row.empty else 0), False
 
-    folded = flushes.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("f")).withColumn("skipped", F.aggregate("f", start, step, lambda s: s["out"]))
-    each = folded.select("conv_id", F.explode(F.arrays_zip("f", "skipped")).alias("x"))
-    return each.select("conv_id", "x.f.round", "x.f.reason", "x.f.empty", "x.skipped")
+    return scan(flushes.select("conv_id", "round", "reason", "empty"), "conv_id", ["round"], lambda: 0, step, "skipped", "boolean")
 
 
 def remembered_requests(log: DataFrame, most: int = REQUESTS) -> DataFrame:

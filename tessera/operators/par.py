@@ -120,28 +120,24 @@ def seeds(queries: DataFrame, nodes: DataFrame, vectors: DataFrame, p: Params) -
     return first.withColumn("pos", pos).filter(F.col("pos") <= p.seed_k).select("query_id", F.col("id").alias("node_id"), "pos")
 
 
-def peak_step(state: DataFrame, means: DataFrame, hop: int, p: Params) -> DataFrame:
-    """Peak state of each query after a hop's mean: peak, prev, declining, count, found.
+def peak_columns(mu: Column, p: Params) -> dict[str, Column]:
+    """peak, prev, declining, count, found of a query after a hop with the mean mu, from the columns of these names before it.
 
     The peak moves to any mean at or above it. A rise above min_delta clears the decline; the first fall below -min_delta marks
     it without counting; each later mean that doesn't rise counts, and `patience` of them stop the query. With first_peak the
-    first such fall stops it.
+    first such fall stops it. A hop without a mean changes nothing.
     """
-    j = state.join(means, "query_id", "left")
-    delta = F.col("mu") - F.col("prev")
-    seen = F.col("mu").isNotNull()
-    first = F.col("prev").isNull()
+    delta, new = mu - F.col("prev"), mu.isNull() | F.col("prev").isNull()
     rise, fall = delta > p.min_delta, delta < -p.min_delta
-    declining = F.when(~seen | first, F.col("declining")).when(rise, False).when(F.col("declining") | fall, True).otherwise(False)
-    count = F.when(~seen | first, F.col("count")).when(rise, 0).when(F.col("declining"), F.col("count") + 1).otherwise(F.col("count"))
-    return j.select(
-        "query_id",
-        F.when(seen, F.greatest("peak", "mu")).otherwise(F.col("peak")).alias("peak"),
-        F.when(seen, F.col("mu")).otherwise(F.col("prev")).alias("prev"),
-        declining.alias("declining"),
-        count.alias("count"),
-        (F.col("found") | F.coalesce(fall if p.first_peak else count >= p.patience, F.lit(False))).alias("found"),
-    )
+    declining = F.when(new, F.col("declining")).when(rise, False).when(F.col("declining") | fall, True).otherwise(False)
+    count = F.when(new, F.col("count")).when(rise, 0).when(F.col("declining"), F.col("count") + 1).otherwise(F.col("count"))
+    return {
+        "peak": F.when(mu.isNotNull(), F.greatest("peak", mu)).otherwise(F.col("peak")),
+        "prev": F.coalesce(mu, F.col("prev")),
+        "declining": declining,
+        "count": count,
+        "found": F.col("found") | F.coalesce(fall if p.first_peak else count >= p.patience, F.lit(False)),
+    }
 
 
 def threshold(hop: int, p: Params) -> Column:
@@ -175,8 +171,8 @@ def retrieve_tracked(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vec
 def retrieve_all(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataFrame, p: Params = Params(), rows: list[tuple] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """retrieve() with passes (query_id, hop, n_in, n_out, thr): how many candidates of each hop the purpose filter met and let pass.
 
-    Hop 0 are the seeds. Each hop is one distributed step for all queries; what it met, scored and kept is written once, to the
-    shared folder. Candidates enter the visited set before inactive or low-scoring ones go. Nodes are written narrow before the first
+    Hop 0 are the seeds. Each hop is one distributed step for all queries; what it met, scored and kept, with each query's peak state after
+    it, is written once, to the shared folder. Candidates enter the visited set before inactive or low-scoring ones go. Nodes are written narrow before the first
     hop. The driver only learns whether any query has a frontier left.
     """
     return _retrieve(queries, nodes, edges, vectors, p, rows, None)[:3]
@@ -225,7 +221,10 @@ def _retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: D
         combined = F.col("weight") * p.decay**hop * p.jump_coef + (F.lit(0.0) if p.blind else F.col("ps") * p.purpose_coef)
         pos = F.row_number().over(Window.partitionBy("query_id", "ok").orderBy(F.desc(F.round("combined", 9)), "ord"))
         columns = ["query_id", "node_id", "parent", "rel_type", "is_reverse", "weight", "ps", "combined", "pos", "thr", "ok"]
-        every = found.withColumn("combined", combined).withColumn("pos", pos).select(*columns)
+        every = found.withColumn("combined", combined).withColumn("pos", pos).select(*columns).join(state, "query_id")
+        mean = F.avg(F.when(F.col("ok"), F.col("weight" if p.blind else "ps"))).over(Window.partitionBy("query_id"))
+        peaks = peak_columns(F.col("mu"), p)
+        every = every.withColumn("mu", mean).select(*columns, "mu", *[c.alias(n) for n, c in peaks.items()])
         every = materialize(every, f"hop{hop}")
         visited = visited.union(every.select("query_id", "node_id"))
         if counts is not None:
@@ -233,14 +232,12 @@ def _retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: D
             used = frontier.select("query_id", "node_id").join(steps, "node_id").join(reached, ["query_id", "nbr"], "left_semi")
             activated.append(used.select("query_id", F.lit(hop).alias("hop"), "path_key"))
         kept = every.filter("ok").select("query_id", F.lit(hop).alias("hop"), *columns[1:9])
-        mean = kept.groupBy("query_id").agg(F.avg("weight" if p.blind else "ps").alias("mu"))
-        state = materialize(peak_step(state, mean, hop, p), f"state{hop}")
         hops.append(kept)
-        means.append(mean.select("query_id", F.lit(hop).alias("hop"), "mu"))
+        means.append(kept.groupBy("query_id").agg(F.avg("weight" if p.blind else "ps").alias("mu")).select("query_id", F.lit(hop).alias("hop"), "mu"))
         counted = every.filter("ok IS NOT NULL").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_in"), F.count_if("ok").alias("n_out"), F.max("thr").alias("thr"))
         passes.append(counted.select("query_id", F.lit(hop).alias("hop"), "n_in", "n_out", "thr"))
-        going = state.filter("NOT found").select("query_id")
-        frontier = kept.filter(F.col("pos") <= (p.expand_k or p.seed_k)).join(going, "query_id", "left_semi").select("query_id", "node_id", "pos")
+        state = every.select("query_id", *peaks).distinct()  # of the queries that have a frontier left
+        frontier = every.filter(F.col("ok") & ~F.col("found") & (F.col("pos") <= (p.expand_k or p.seed_k))).select("query_id", "node_id", "pos")
         if frontier.isEmpty():
             break
     together = lambda parts: reduce(DataFrame.unionByName, parts)

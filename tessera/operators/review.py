@@ -10,8 +10,12 @@ from tessera.operators.vectors import knn
 
 def find_duplicates(new: DataFrame, nodes: DataFrame, vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
     """query_id, duplicate_of, score for new vectors (query_id, embedding): of the three nearest by distance the active ones that
-    are no notes, the best strictly above the threshold; a fit at a later place is not looked for."""
-    near = knn(new, vectors, 3, "l2")
+    are no notes, the best strictly above the threshold; a fit at a later place is not looked for. A column own names a stored vector
+    that is the new one's and doesn't count."""
+    near = knn(new.select("query_id", "embedding"), vectors, 4 if "own" in new.columns else 3, "l2")
+    if "own" in new.columns:
+        others = near.join(new.select("query_id", F.col("own").alias("id")), ["query_id", "id"], "left_anti")
+        near = others.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).filter("place <= 3")
     drop = F.col("is_note") if "is_note" in nodes.columns else F.lit(False)
     live = nodes.filter(~F.col("deprecated") & ~F.col("forgotten") & ~drop).select(F.col("node_id").alias("id"))
     from tessera.functions.vectors import cosine
@@ -24,8 +28,9 @@ def find_duplicates(new: DataFrame, nodes: DataFrame, vectors: DataFrame, thresh
 
 def exact_content(new: DataFrame, nodes: DataFrame) -> DataFrame:
     """The fallback without vectors: query_id, duplicate_of by equal content, the first node in order."""
-    first = nodes.groupBy("content").agg(F.min_by("node_id", "ord").alias("duplicate_of"))
-    return new.join(first, "content").select("query_id", "duplicate_of")
+    key = F.sha2("content", 256).alias("_key")  # texts may be long
+    first = nodes.groupBy(key).agg(F.min_by("node_id", "ord").alias("duplicate_of"))
+    return new.select("query_id", key).join(first, "_key").select("query_id", "duplicate_of")
 
 
 def widen(base: DataFrame, extra: DataFrame, base_k: int = 15, most: int = 15) -> DataFrame:

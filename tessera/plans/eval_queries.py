@@ -252,9 +252,11 @@ def apply_node_ops(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(BASE_SQL + """, d AS (SELECT node_id, node_type, content, count(*) FILTER (true) OVER (PARTITION BY content) AS c FROM active WHERE content IS NOT NULL) SELECT node_id, arg_min(node_id, ord) OVER (PARTITION BY content) AS same_as FROM active WHERE content IS NOT NULL""")
 def exact_content_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    a = G.active(C.nodes(spark, sf)).filter("content IS NOT NULL").withColumn("key", F.sha2("content", 256))
-    first = a.groupBy("key").agg(F.min_by("node_id", "ord").alias("same_as"))
-    return a.select("node_id", "key").join(first, "key").select("node_id", "same_as")
+    from tessera.operators.review import exact_content
+
+    a = G.active(C.nodes(spark, sf)).filter("content IS NOT NULL")
+    found = exact_content(a.select(F.col("node_id").alias("query_id"), "content"), a)
+    return found.select(F.col("query_id").alias("node_id"), F.col("duplicate_of").alias("same_as"))
 
 
 @query("""WITH s AS (SELECT event_type AS g, value AS x FROM events WHERE value IS NOT NULL), a AS (SELECT g, list_sort(list(x)) AS a, count(*) AS n FROM s GROUP BY g)

@@ -159,9 +159,13 @@ def expand_trace_argmax(spark: SparkSession, sf: str) -> DataFrame:
     return G.expand(frontier, G.weighted_adjacency(C.edges(spark, sf), n))
 
 
-@query("WITH " + JUMP_SQL + "SELECT * FROM jump")
+@query(BASE_SQL + ", " + ADJ_SQL + ", " + JUMP_SQL + """SELECT n.node_type, a.rel_type, a.is_reverse, coalesce(any_value(j.weight), 0) AS weight, count(*) AS n FROM adj a JOIN nodes n USING (node_id)
+  LEFT JOIN jump j ON j.node_type = n.node_type AND j.rel_type = a.rel_type AND j.is_reverse = a.is_reverse GROUP BY n.node_type, a.rel_type, a.is_reverse""")
 def jump_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(jump_rows(), "node_type string, rel_type string, is_reverse boolean, weight double")
+    """The weight of every kind of step that the graph has, and how many there are."""
+    kinds = ["node_type", "rel_type", "is_reverse"]
+    steps = G.adjacency(C.edges(spark, sf)).join(C.nodes(spark, sf).select("node_id", "node_type"), "node_id").groupBy(*kinds).agg(F.count(F.lit(1)).alias("n"))
+    return steps.select(*kinds, G.jump_weight(*[F.col(c) for c in kinds]).alias("weight"), "n")
 
 
 @query(BASE_SQL + "SELECT src, dst, rel_type, src || '→' || dst || '@' || rel_type AS path_key FROM edges")

@@ -12,7 +12,7 @@ from tessera.operators import keyword as K
 from tessera.operators import review as R
 from tessera.plans.graph_queries import JUMP_SQL
 from tessera.plans.text_queries import tok
-from tessera.session import table
+from tessera.session import materialize, table
 from tessera.sources import canonical as C
 from tessera.sources.canonical import BASE_SQL
 from tessera.streaming.sessions import tail
@@ -527,3 +527,69 @@ def idle_reviews(spark: SparkSession, sf: str) -> DataFrame:
     from tessera.streaming import buffers as B
 
     return B.reviews(table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts")), _IDLE, 172_800, 600)
+
+
+#: A service log: a line for each event, some twice, with lines of no known form among them. A third are returns, so some requests wait for ever
+#: and some returns have no request.
+_LOG_SQL = """line AS (SELECT event_id AS ord, CASE WHEN event_id % 29 = 0 THEN 'starting up' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') || ' [' || kind || '] space=s' || user_id % 6 || rest END AS line FROM (
+    SELECT *, CASE WHEN event_type IN ('view', 'error') THEN 'request' WHEN event_type IN ('click', 'signup') THEN 'return' ELSE 'feedback' END AS kind,
+      CASE WHEN event_type IN ('view', 'error') THEN ' q=' || event_id WHEN event_type IN ('click', 'signup') THEN ' candidates=' || event_id % 40 || ' abstain=' || (event_id % 9 = 0)::INT ELSE ' qa_id=' || event_id // 40 || ' score=' || event_id % 2 END AS rest FROM events)),
+  e AS (SELECT ord, regexp_extract(line, '\\[(\\w+)\\]', 1) AS kind, regexp_extract(line, 'space=(\\S+)', 1) AS space, line FROM line WHERE line <> 'starting up'),
+  io AS (SELECT *, sum((kind = 'return')::INT) OVER w AS t, sum((kind = 'request')::INT) OVER w AS r, row_number() OVER (PARTITION BY space ORDER BY ord) AS n FROM e WHERE kind <> 'feedback' WINDOW w AS (PARTITION BY space ORDER BY ord)),
+  d AS (SELECT *, greatest(0, max(t - r) OVER (PARTITION BY space ORDER BY ord)) AS d FROM io), d2 AS (SELECT *, coalesce(lag(d) OVER (PARTITION BY space ORDER BY ord), 0) AS before FROM d),
+  pairs AS (SELECT q.space, q.ord AS request, a.ord AS answer FROM (SELECT space, ord, r AS k FROM d2 WHERE kind = 'request') q LEFT JOIN (SELECT space, ord, t - d AS k FROM d2 WHERE kind = 'return' AND d = before) a USING (space, k))"""
+
+
+def _log(spark: SparkSession, sf: str) -> DataFrame:
+    from tessera.operators.logpairs import parse
+
+    e, kind, i = table(spark, sf, "events"), F.col("event_type"), F.col("event_id")
+    text = lambda c: c.cast("string")
+    asks, answers = kind.isin("view", "error"), kind.isin("click", "signup")
+    name = F.when(asks, "request").when(answers, "return").otherwise("feedback")
+    rest = (
+        F.when(asks, F.concat(F.lit(" q="), text(i)))
+        .when(answers, F.concat(F.lit(" candidates="), text(i % 40), F.lit(" abstain="), text((i % 9 == 0).cast("int"))))
+        .otherwise(F.concat(F.lit(" qa_id="), text(F.floor(i / 40)), F.lit(" score="), text(i % 2)))
+    )
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" ["), name, F.lit("] space=s"), text(F.col("user_id") % 6), rest)
+    return parse(e.select(i.alias("ord"), F.when(i % 29 == 0, "starting up").otherwise(line).alias("line")))
+
+
+@query(f"WITH {_LOG_SQL} SELECT space, request, answer FROM pairs")
+def log_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests of the log with their returns, in ranges of a thousand lines."""
+    from tessera.operators.logpairs import pair
+
+    return pair(_log(spark, sf), 1000)
+
+
+@query(f"""WITH {_LOG_SQL}, s AS (SELECT p.space, count(*) AS requests, count(answer) AS answered, avg(regexp_extract(e.line, 'candidates=(\\d+)', 1)::DOUBLE) AS mean_candidates, count(*) FILTER (e.line LIKE '%abstain=1') AS abstained
+    FROM pairs p LEFT JOIN e ON e.ord = p.answer GROUP BY p.space),
+  f AS (SELECT space, count(*) AS feedback, avg(score) AS mean_score FROM (SELECT space, regexp_extract(line, 'qa_id=(\\S+)', 1) AS qa, arg_min(regexp_extract(line, 'score=(\\S+)', 1)::DOUBLE, ord) AS score FROM e WHERE kind = 'feedback' GROUP BY 1, 2) GROUP BY space)
+  SELECT s.space, requests, answered, round(mean_candidates, 6) AS mean_candidates, abstained, coalesce(feedback, 0) AS feedback, round(mean_score, 6) AS mean_score FROM s LEFT JOIN f USING (space)""")
+def log_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    from tessera.operators.logpairs import pair, search_metrics
+
+    log = materialize(_log(spark, sf), "log")
+    return search_metrics(log, pair(log, 1000)).select("space", "requests", "answered", F.round("mean_candidates", 6).alias("mean_candidates"), "abstained", "feedback", F.round("mean_score", 6).alias("mean_score"))
+
+
+@query("""WITH RECURSIVE m AS (SELECT conv_id AS space, turn, length(coalesce(text, '')) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(coalesce(text, ''))) AS r FROM conversations WHERE turn % 5 <> 4),
+  w AS (SELECT space, turn, r, 0 AS batch, 1 AS k, n AS c FROM m WHERE r = 1 UNION ALL
+    SELECT m.space, m.turn, m.r, CASE WHEN w.k >= 6 OR w.c + m.n > 1500 THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.k >= 6 OR w.c + m.n > 1500 THEN 1 ELSE w.k + 1 END, CASE WHEN w.k >= 6 OR w.c + m.n > 1500 THEN m.n ELSE w.c + m.n END
+    FROM w JOIN m ON m.space = w.space AND m.r = w.r + 1),
+  t AS (SELECT space, max(batch) + 1 AS total FROM w GROUP BY space), ok AS (SELECT space FROM t WHERE total * 20.0 / 60 <= 1.0)
+  SELECT space, batch, count(*) AS n, sum(length(c.text))::BIGINT AS chars FROM w JOIN ok USING (space) JOIN conversations c ON c.conv_id = w.space AND c.turn = w.turn GROUP BY space, batch""")
+def backfill_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations built in groups, each fifth message a document, spaces of more than three groups over the budget."""
+    import uuid
+
+    from tessera.operators.backfill import backfill
+    from tessera.session import shared_dir
+    from tessera.sources.versions import Store
+
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("space"), F.col("turn").cast("long").alias("pos"), F.when(F.col("turn") % 5 == 4, "doc").otherwise("conv").alias("channel"), "text")
+    store = Store(spark, f"{shared_dir(spark)}/tessera-backfill-{uuid.uuid4().hex[:12]}")
+    backfill(store, c, lambda rows: rows.groupBy("space", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")), 2, budget_minutes=1.0)
+    return store.read("built")

@@ -33,15 +33,8 @@ COS = "coalesce(list_cosine_similarity(q.v, n.v), 0)"
 def find_duplicate(spark: SparkSession, sf: str) -> DataFrame:
     v, n = C.vectors(spark, sf), C.nodes(spark, sf)
     q = v.filter("ord % 50 = 0").select(F.col("ord").alias("query_id"), F.col("embedding"), F.col("id").alias("own"))
-    near = knn(q.select("query_id", "embedding"), v, 4, "l2").filter("ord <> query_id")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
-    top = near.withColumn("p", place).filter("p <= 3")
-    from tessera.functions.vectors import cosine
-
-    live = G.active(n).select(F.col("node_id").alias("id"))
-    s = top.join(live, "id", "left_semi").join(v.select("id", F.col("embedding").alias("v")), "id").join(q.select("query_id", "embedding"), "query_id")
-    s = s.select("query_id", "id", "ord", F.round(cosine(F.col("v"), F.col("embedding")), 9).alias("s")).filter("s > 0.3")
-    return s.groupBy("query_id").agg(F.max_by("id", F.struct("s", (-F.col("ord")).alias("o"))).alias("duplicate_of"), F.round(F.max("s"), 6).alias("score"))
+    found = R.find_duplicates(q, n, v, 0.3)
+    return found.select("query_id", "duplicate_of", F.round("score", 6).alias("score"))
 
 
 _NEAREST = f""", nearest AS MATERIALIZED (

@@ -114,7 +114,7 @@ def truncate_for_return(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _LANGUAGE = r"""
-WITH given AS (SELECT doc_id, substr(text, 1, 40) || repeat('好', (doc_id % 7)::INT) AS t FROM documents),
+WITH given AS (SELECT doc_id, text || repeat('好', (doc_id % 7 * length(text) // 40)::INT) AS t FROM documents),
 n AS (SELECT doc_id, len(regexp_extract_all(t, '[\x{4e00}-\x{9fff}]')) AS c, len(regexp_extract_all(t, '[A-Za-z]')) AS l FROM given)
 SELECT doc_id, CASE WHEN c > 0 AND c / (c + l) >= 0.10 THEN 'Chinese' ELSE 'English' END AS language FROM n
 """
@@ -122,8 +122,8 @@ SELECT doc_id, CASE WHEN c > 0 AND c / (c + l) >= 0.10 THEN 'Chinese' ELSE 'Engl
 
 @query(_LANGUAGE)
 def language_guess(spark: SparkSession, sf: str) -> DataFrame:
-    """Openings of the documents with none to six Chinese characters added, on both sides of the tenth that decides."""
-    t = F.concat(F.left("text", F.lit(40)), F.repeat(F.lit("好"), (F.col("doc_id") % 7).cast("int")))
+    """The documents with Chinese characters added, none to six for each forty others, on both sides of the tenth that decides."""
+    t = F.concat("text", F.repeat(F.lit("好"), F.floor(F.col("doc_id") % 7 * F.length("text") / 40).cast("int")))
     return docs(spark, sf).select("doc_id", T.language(t).alias("language"))
 
 
@@ -245,13 +245,13 @@ def doc_neighbour_expand(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _chunks_sql(given: str, budget: int) -> str:
-    """pieces(k, i, piece) of the CTE `given` (k, t), cut as documents.split_text does, one cut at a step."""
+    """pieces(k, i, piece) of the CTE `given` (k, t), cut as documents.split_text does, one cut at a step, without blank ones."""
     half = budget // 2
     ends = rf"greatest(length(regexp_extract(h, '(?s)^(.*[。！？!?；;\n])', 1)), length(regexp_extract(h, '(?s)^(.*\.)(?:\s|$)', 1)))"
     at = rf"CASE WHEN {ends} >= {half} THEN {ends} WHEN length(regexp_extract(h, '(?s)^(.*\s)', 1)) >= {half} THEN length(regexp_extract(h, '(?s)^(.*\s)', 1)) ELSE {budget} END"
     return f"""cut(k, i, t, piece) AS (SELECT k, -1, t, NULL::VARCHAR FROM {given} WHERE t <> '' UNION ALL
   SELECT k, i + 1, substr(t, n + 1), substr(t, 1, n) FROM (SELECT k, i, t, CASE WHEN length(t) <= {budget} THEN length(t) ELSE {at} END AS n FROM (SELECT *, substr(t, 1, {budget}) AS h FROM cut WHERE t <> ''))),
-  pieces AS (SELECT k, i, piece FROM cut WHERE i >= 0)"""
+  pieces AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS i, piece FROM cut WHERE i >= 0 AND regexp_replace(piece, '\\s', '', 'g') <> '')"""
 
 
 @query(f"""WITH RECURSIVE given AS (SELECT doc_id AS k, coalesce(text, '') AS t FROM documents), {_chunks_sql('given', 1800)}

@@ -13,6 +13,11 @@ from tessera.operators.vectors import needs_compaction, reconcile, replay
 from tessera.schema import jump_rows
 
 
+def peak_step(state, means, p):
+    """The peak state of each query after a hop."""
+    return state.join(means, "query_id", "left").select("query_id", *[c.alias(n) for n, c in P.peak_columns(F.col("mu"), p).items()])
+
+
 def test_policies(spark):
     rows = spark.createDataFrame([("a", "b", "CAUSAL", False, 0), ("a", "b", "social", False, 1), ("b", "a", "nope", False, 2), ("c", "d", "RelationType.Social", True, 3)], "src string, dst string, rel_type string, bidirectional boolean, ord long")
     got = lambda p: sorted((r["src"], r["dst"], r["rel_type"]) for r in G.load_edges(rows, p).collect())
@@ -78,7 +83,7 @@ def test_peak_finder(spark):
     stopped = {}
     for hop in range(6):
         means = spark.createDataFrame([(q, m[hop]) for q, m in runs.items() if hop < len(m)], "query_id long, mu double")
-        rows = P.peak_step(state, means, hop, P.Params()).collect()
+        rows = peak_step(state, means, P.Params()).collect()
         state = spark.createDataFrame(rows, state.schema)
         for r in rows:
             if r["found"]:
@@ -139,7 +144,7 @@ def test_first_peak(spark):
     def stops(mus: list[float], p: P.Params) -> int | None:
         s = state
         for hop, mu in enumerate(mus):
-            s = spark.createDataFrame(P.peak_step(s, spark.createDataFrame([(1, mu)], "query_id long, mu double"), hop, p).collect(), state.schema)
+            s = spark.createDataFrame(peak_step(s, spark.createDataFrame([(1, mu)], "query_id long, mu double"), p).collect(), state.schema)
             if s.first()["found"]:
                 return hop
         return None
