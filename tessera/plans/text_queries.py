@@ -466,7 +466,7 @@ def add_routes(spark: SparkSession, sf: str) -> DataFrame:
     return _adds(spark, sf).select("conv_id", "turn", "route", "batch")
 
 
-@query(f"""WITH RECURSIVE {_ADDS_SQL}, given AS (SELECT (conv_id, turn) AS k, role || ': ' || regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM ro WHERE route IN ('graph', 'overflow') AND regexp_replace(coalesce(text, ''), '\s', '', 'g') <> ''),
+@query(f"""WITH RECURSIVE {_ADDS_SQL}, given AS (SELECT (conv_id, turn) AS k, role || ': ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM ro WHERE route IN ('graph', 'overflow') AND regexp_replace(coalesce(text, ''), '\\s', '', 'g') <> ''),
   {_chunks_sql('given', 500)}, pl2 AS (SELECT k[1] AS conv_id, row_number() OVER (PARTITION BY k[1] ORDER BY k[2], i) - 1 AS place, piece FROM pieces), top AS (SELECT max(vec_id) AS top FROM embeddings),
   nn AS (SELECT *, 'n' || (top + row_number() OVER (ORDER BY conv_id, place)) AS node_id FROM pl2, top WHERE place < 20)
   SELECT 'node' AS kind, node_id, conv_id, place, md5(piece) AS content_md5 FROM nn UNION ALL SELECT 'overflow', NULL, conv_id, place, md5(piece) FROM pl2 WHERE place >= 20""".replace("role || ': '", "coalesce(role, '') || ': '"))
