@@ -316,6 +316,27 @@ def test_search_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_search_is_exact_on_vectors_that_codes_confuse(spark):
+    from tessera.llm.ann import search
+
+    rng = np.random.default_rng(5)
+    groups = rng.normal(size=(4, 16))[rng.integers(0, 4, 2000)] + 1e-4 * rng.normal(size=(2000, 16))
+    scales = rng.normal(size=(1000, 16)) * np.exp(3 * rng.normal(size=(1000, 1)))
+    far = rng.normal(size=(100, 16)) * 1e20
+    m = np.concatenate([groups, scales, far, rng.integers(0, 2, (400, 16)) + 1e4]).astype(np.float32).astype(np.float64)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<float>")
+    got = {q: g.sort_values("rank") for q, g in search(v, F.col("vec_id") % 25 == 0).toPandas().groupby("query_id")}
+    assert len(got) == 140
+    for q, found in got.items():
+        d = np.zeros(len(m))
+        for column in m.T:
+            d += (column - column[q]) * (column - column[q])
+        d = np.sqrt(d)
+        d[q] = np.inf
+        best = np.lexsort((np.arange(len(m)), d))[:10]
+        assert list(found["vec_id"]) == list(best) and list(found["score"]) == list(d[best])
+
+
 def test_bigram_models(spark, docs):
     from tessera.llm.lm_scoring import WEIGHT, add_up, counts, fit, score
 
