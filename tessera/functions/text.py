@@ -26,6 +26,15 @@ FUZZY_PERIODS = [
 ERAS = [["高中", "高一", "高二", "高三"], ["大学", "大一", "大二", "大三", "大四"], ["大专"]]
 
 
+#: A word boundary by ASCII letters, digits and _ alone. What \b takes for a word's character depends on the Java version and is another thing in SQL.
+_EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def ascii_edges(pattern: str) -> str:
+    """A pattern whose word boundaries are those of ASCII words."""
+    return pattern.replace(r"\b", _EDGE)
+
+
 def strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 

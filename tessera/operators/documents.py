@@ -61,19 +61,21 @@ def neighbours(hits: DataFrame, index: DataFrame, radius: int = 1) -> DataFrame:
 BLANK = r"\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the mark of an option, after white space or a bracket, with white space after it.
 OPTION = rf"(?:^|[{BLANK}（(])([A-H])[.、．)）][{BLANK}]"
+#: The same where the white space after a mark may be the one before the next, so that no mark is lost behind another.
+ADJOINING = rf"(?:^|[{BLANK}（(])([A-H])[.、．)）](?=[{BLANK}])"
 #: A block of options is the last A that a B and then a C follow; other labels may stand between.
 BLOCK = "^(.*)A.*B.*C"
 
 
-def without_options(question: Column) -> Column:
+def without_options(question: Column, mark: str = OPTION) -> Column:
     """The question, trimmed, without its block of options: what stands before the label that begins the block.
 
     The labels of all marks are one short string, in which a regular expression finds the block; the pieces of text between marks, and
     the marks before it, are put together again.
     """
     text = F.coalesce(question, F.lit(""))
-    pieces, marks = F.split(text, OPTION, -1), F.regexp_extract_all(text, F.lit(OPTION), F.lit(0))
-    labels = F.array_join(F.regexp_extract_all(text, F.lit(OPTION), F.lit(1)), "")
+    pieces, marks = F.split(text, mark, -1), F.regexp_extract_all(text, F.lit(mark), F.lit(0))
+    labels = F.array_join(F.regexp_extract_all(text, F.lit(mark), F.lit(1)), "")
     first = F.length(F.regexp_extract(labels, BLOCK, 1))  # marks before the block
     before = F.array_join(F.transform(F.slice(pieces, F.lit(1), first + 1), lambda p, k: F.concat(p, F.when(k < first, F.get(marks, k)).otherwise(""))), "")
     opening = F.regexp_extract(F.get(marks, first), "^(.?)[A-H]", 1)
@@ -81,11 +83,11 @@ def without_options(question: Column) -> Column:
     return F.regexp_replace(whole, f"^[{BLANK}]+|[{BLANK}]+$", "")
 
 
-def with_retrieval_text(df: DataFrame, question: str, name: str = "retrieval") -> DataFrame:
+def with_retrieval_text(df: DataFrame, question: str, name: str = "retrieval", mark: str = OPTION) -> DataFrame:
     """df with the text to search for: the question itself, or, if it asks for one exact answer, without its options, unless that
     leaves nothing."""
     own = F.col(question)
-    stripped = without_options(own)
+    stripped = without_options(own, mark)
     return df.withColumn(name, F.when(has_answer_instruction(own) & (stripped != ""), stripped).otherwise(own))
 
 

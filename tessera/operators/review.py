@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import ascii_edges
 from tessera.operators.vectors import knn
 
 
@@ -95,7 +96,7 @@ def domain_of(node_id: Column, prefixes: dict[str, str], other: str = "noise") -
 
 
 def causal_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit("(?i)\\b(because|so|therefore)\\b|因为|所以|因此|导致")), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(ascii_edges(r"(?i)\b(because|so|therefore)\b|因为|所以|因此|导致"))), F.lit(0))
 
 
 # Words that date a text.

@@ -431,7 +431,7 @@ def route_features(spark: SparkSession, sf: str) -> DataFrame:
     asked = docs(spark, sf).select("doc_id", F.concat(head, F.lit(" "), "text", F.when(k % 3 == 0, _QUESTION).otherwise("")).alias("q"))
     options = F.when(k % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
     found = features(F.col("q"), options, F.col("r"))
-    return D.with_retrieval_text(asked, "q", "r").select("doc_id", *[F.round(c, 6).alias(n) for n, c in found.items()])
+    return D.with_retrieval_text(asked, "q", "r", D.ADJOINING).select("doc_id", *[F.round(c, 6).alias(n) for n, c in found.items()])
 
 
 #: Requests: every conversation, and every document as one of its own, feedback and blanks among them; a third of the spaces keep documents only.

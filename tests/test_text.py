@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.render import batch_time, conversation
 from tessera.functions.route_features import NAMES, features, vectorize
-from tessera.operators.documents import salvage, split_text, without_options
+from tessera.operators.documents import ADJOINING, salvage, split_text, without_options
+from tessera.operators.review import causal_words
 
 
 def ask(spark, expr, *values):
@@ -61,6 +62,16 @@ def test_route_features(spark):
     assert len(df.select(vectorize(F.array(F.lit(1.0), F.lit(2.0)), f)).first()[0]) == 28
 
 
+def test_route_features_of_words_with_accents_and_adjoining_marks(spark):
+    df = spark.createDataFrame([("Noña said siño", 1), ("nota casa", 0), ("el añoé2019", 1)], "q string, want int")
+    f = features(F.col("q"), F.array().cast("array<string>"))
+    got = df.select(f["has_negation"].alias("n"), f["has_year"].alias("y")).collect()
+    assert [(r["n"], r["y"]) for r in got] == [(1, 0), (0, 0), (0, 1)]
+    marks = ["It was A. A. one B. two C. three", "A. A. B. C. x"]
+    assert ask(spark, lambda q: without_options(q, ADJOINING), *marks) == ["It was A.", "A."]
+    assert ask(spark, causal_words, "so soñ añso therefore") == [4]
+
+
 def test_chunks_join_to_the_text():
     text = "First sentence. Second one! " * 20 + "x" * 90
     for budget in (0, 10, 33, 50, 1000):
