@@ -76,3 +76,20 @@ def test_stored_index(spark, tmp_path):
     assert rows(index.search(asked.filter("query_id = 3"))) == []
     plan = index.store.read("postings").filter(F.col("bucket").isin([3]))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_stored_index_in_small_blocks(spark, tmp_path, monkeypatch):
+    import tessera.sources.keyword_index as stored
+    from tessera.operators.keyword import postings, search
+
+    monkeypatch.setattr(stored, "SHARE", 4)
+    monkeypatch.setattr(stored, "NOTE_BLOCK", 8)
+    monkeypatch.setattr(stored, "QUERY_BLOCK", 2)
+    words = "alpha beta gamma delta 数据库 接口".split()
+    notes = spark.createDataFrame([(f"n{i}", words[i % 6], " ".join(words[: i % 5]), f"common {words[i * 7 % 6]} {i}", i % 3) for i in range(60)], "id string, title string, tags string, text string, observed_at long")
+    asked = spark.createDataFrame([(f"q{i}", f"common {words[i % 6]} {words[i * 5 % 6]} {i * 4}") for i in range(7)], "query_id string, text string")
+    index = stored.KeywordIndex(spark, f"file://{tmp_path}/i", buckets=2)
+    index.add(notes)
+    assert index._dealt(index.store.read("postings"), 30).rdd.getNumPartitions() == 15
+    want = search(asked, postings(notes), notes, 5).collect()
+    assert sorted(index.search(asked, 5).collect()) == sorted(want) and len(want) == 35
