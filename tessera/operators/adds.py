@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import is_feedback
-from tessera.operators.documents import BLANK, split_text
+from tessera.operators.documents import BLANK, text_pieces
 from tessera.operators.maintenance import next_ids
 from tessera.operators.routing import batch_shape, pack_batches
 
@@ -39,18 +38,13 @@ def route(messages: DataFrame, modes: DataFrame | None = None, limit: int = LIMI
 
 
 def raw_chunks(messages: DataFrame, size: int = CHUNK) -> DataFrame:
-    """conv_id, place (from 0), content: `role: text` of each message that isn't blank, cut at sentence ends (documents.split_text), in order; blank pieces go.
+    """conv_id, place (from 0), content: `role: text` of each message that isn't blank, cut at sentence ends (documents.text_pieces), in order; blank pieces go.
 
     Messages are cut on their own and numbered by the running sum of their pieces.
     """
-
-    @F.pandas_udf("array<string>")
-    def pieces(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [p for p in split_text(t, size) if p.strip()])
-
     blank = f"^[{BLANK}]+|[{BLANK}]+$"
     bare = messages.withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), blank, "")).filter("text <> ''")
-    cut = bare.select("conv_id", "turn", pieces(F.concat(F.coalesce("role", F.lit("")), F.lit(": "), "text")).alias("parts"))
+    cut = bare.select("conv_id", "turn", text_pieces(F.concat(F.coalesce("role", F.lit("")), F.lit(": "), "text"), size).alias("parts"))
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     placed = cut.withColumn("base", F.coalesce(F.sum(F.size("parts")).over(before), F.lit(0)))
     return placed.select("conv_id", "base", F.posexplode("parts").alias("p", "content")).select("conv_id", (F.col("base") + F.col("p")).cast("long").alias("place"), "content")

@@ -80,6 +80,21 @@ def test_chunks_join_to_the_text():
     assert split_text(None, 5) == [] and split_text("abc. def", 6) == ["abc.", " def"]
 
 
+def test_pieces_in_the_jvm_are_those_of_split_text(spark):
+    import random
+
+    from tessera.operators.documents import text_pieces
+
+    rng, signs = random.Random(3), "ab. .\n \u3000\x1c。！?;é字😀"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(300)] + [None, "", "x" * 50, " " * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for budget in (-1, 1, 2, 3, 7, 10, 25):
+        plan = df.select("k", text_pieces(F.col("t"), budget).alias("p"))
+        got = {r["k"]: r["p"] for r in plan.collect()}
+        assert [k for k, t in enumerate(texts) if got[k] != [p for p in split_text(t, budget) if p.strip()]] == []
+    assert "Python" not in plan._jdf.queryExecution().toString()
+
+
 def test_options_and_salvage(spark):
     stem, options = "Who is right?", "A. one B. two C. three D. four"
     cases = {
