@@ -9,6 +9,7 @@ from tessera.functions.text import is_feedback
 from tessera.operators.documents import BLANK, text_pieces
 from tessera.operators.maintenance import next_ids
 from tessera.operators.routing import batch_shape, pack_batches
+from tessera.session import materialize
 
 #: Messages of one request that go to the graph; the others are stored as documents.
 LIMIT = 64
@@ -56,7 +57,7 @@ def store_raw(messages: DataFrame, nodes: DataFrame, size: int = CHUNK, most: in
 
     New nodes have node_id, which count on from the largest in use without gaps over all tasks, in the order of (conv_id, place).
     """
-    chunks = raw_chunks(messages, size)
+    chunks = materialize(raw_chunks(messages, size), "chunks")  # read by the numbering, the nodes and the overflow
     kept = chunks.filter(F.col("place") < most).withColumn("order", F.struct("conv_id", "place"))
     new = next_ids(nodes.select("node_id"), kept, "order").select("node_id", F.lit("thing").alias("node_type"), "content", "conv_id", "place")
     return new, chunks.filter(F.col("place") >= most)
