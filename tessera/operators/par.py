@@ -69,10 +69,12 @@ def relation_affinity(frame: str, rel_type: Column) -> Column:
 def compile_frame(purposes: Column) -> Column:
     """The frame that an array of purpose texts asks for: that whose cue words occur most often, the first declared on ties;
     `neutral` where none occurs."""
-    text = F.array_join(F.transform(F.coalesce(purposes, F.array().cast("array<string>")), lambda p: F.coalesce(p, F.lit(""))), " ")
-    hits = [F.struct(F.regexp_count(text, F.lit(cues)).alias("n"), F.lit(-k).alias("order"), F.lit(name).alias("name")) for k, (name, cues) in enumerate(FRAME_CUES.items())]
-    best = F.greatest(*hits)
-    return F.when(best["n"] > 0, best["name"]).otherwise(F.lit("neutral"))
+    some = "[" + "".join(sorted({w[0] for cues in FRAME_CUES.values() for w in cues.split("|")})) + "]"
+    # A lambda's argument is computed once, however often its body names it; texts without a cue's first character have no cue.
+    text = F.array_join(F.filter(F.coalesce(purposes, F.array().cast("array<string>")), lambda p: p.rlike(some)), " ")
+    hits = lambda t: [F.struct(F.regexp_count(t, F.lit(cues)).alias("n"), F.lit(-k).alias("order"), F.lit(name).alias("name")) for k, (name, cues) in enumerate(FRAME_CUES.items())]
+    best = F.transform(F.array(text), lambda t: F.greatest(*hits(t)))
+    return F.get(F.transform(best, lambda b: F.when(b["n"] > 0, b["name"]).otherwise(F.lit("neutral"))), 0)
 
 
 def frame_named(name: Column) -> Column:
