@@ -266,12 +266,16 @@ def aligned(given: DataFrame, keys: list[str], expected: list[str], least: float
     """
     spark = given.sparkSession
     wanted = spark.createDataFrame([(k, n) for k, n in enumerate(expected)], "place int, name string").withColumn("plain", plain_name(F.col("name")))
-    rows = given.select(*keys, "pos", "given", plain_name(F.col("given")).alias("plain"))
+    plain = plain_name(F.col("given"))
+    if least > 1 and expected:  # a plain name is no longer than its name; a column without nulls is computed once, not for a filter of nulls too
+        shortest = wanted.agg(F.min(F.length("plain"))).first()[0]
+        given, plain = given.filter(F.length("given") >= shortest), F.coalesce(plain, F.lit(""))
+    rows = given.select(*keys, "pos", "given", plain.alias("plain"))
     near = materialize(rows.join(F.broadcast(wanted.select("plain").distinct()), "plain", "left_semi") if least > 1 else rows, "given")
     exact = near.join(F.broadcast(wanted.drop("plain")), F.col("given") == F.col("name")).groupBy(*keys, "place", "name").agg(F.min_by("given", "pos").alias("given"))
     exact = materialize(exact, "exact")
     spare = near.join(exact.select(*keys, "given"), [*keys, "given"], "left_anti")
-    open_ = given.select(*keys).distinct().join(F.broadcast(wanted)).join(exact.select(*keys, "place"), [*keys, "place"], "left_anti")
+    open_ = near.select(*keys).distinct().join(F.broadcast(wanted)).join(exact.select(*keys, "place"), [*keys, "place"], "left_anti")
     first = open_.groupBy(*keys, "plain").agg(F.min(F.struct("place", "name")).alias("e")).join(spare.groupBy(*keys, "plain").agg(F.min_by("given", "pos").alias("given")), [*keys, "plain"])
     plain = first.select(*keys, "e.place", "e.name", "given", F.lit(2).alias("level"))
     found = exact.select(*keys, "place", "name", "given", F.lit(1).alias("level")).unionByName(plain)

@@ -128,3 +128,36 @@ def test_retrieval_text(spark):
     assert got == ["Who?", q[1], q[2], "谁？", None]
     assert ask(spark, T.has_answer_instruction, "give it enclosed in parentheses, e.g. (X)", "choose the option") == [True, False]
     assert ask(spark, T.is_feedback, "STREAMING online QA feedback: x", "feedback") == [True, False]
+
+
+def test_raw_chunks_are_cut_once(spark):
+    from tessera.operators.adds import store_raw
+
+    m = spark.createDataFrame([(1, 0, "user", "One. " * 40)], "conv_id long, turn long, role string, text string")
+    new, over = store_raw(m, spark.createDataFrame([("n7",)], "node_id string"), size=50, most=2)
+    assert [r["node_id"] for r in new.orderBy("place").collect()] == ["n8", "n9"] and over.count() == 3
+    assert all("tessera-chunks" in f for f in over.inputFiles()) and over.inputFiles()
+
+
+def test_frames_count_each_cue_once(spark):
+    from tessera.operators.par import compile_frame
+
+    df = spark.createDataFrame([(["安排步骤", None, "推荐"],), (["x"],), (None,), (["推荐 选项", "寻求安慰"],)], "p array<string>").select(compile_frame(F.col("p")).alias("f"))
+    assert [r["f"] for r in df.collect()] == ["plan", "neutral", "neutral", "vent"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 3
+
+
+def test_names_are_read_once(spark):
+    from tessera.operators.intake import aligned
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(parts):
+        for part in parts:
+            read.add(len(part))
+            yield part
+
+    rows = [(1, 0, "Alpha"), (1, 1, "4lph4"), (1, 2, "a-lpha"), (2, 0, None), (2, 1, "be"), (3, 0, "4LPHA"), (3, 1, "gamma")]
+    given = spark.createDataFrame(rows, "k int, pos int, given string").mapInPandas(seen, "k int, pos int, given string")
+    found = sorted((r["k"], r["name"], r["given"], r["level"]) for r in aligned(given, ["k"], ["Alpha", "gamma"], least=2.0).collect())
+    assert found == [(1, "Alpha", "Alpha", 1), (3, "Alpha", "4LPHA", 2), (3, "gamma", "gamma", 1)] and read.value == len(rows)
