@@ -11,6 +11,7 @@ from functools import lru_cache, reduce
 from itertools import compress, repeat
 from operator import is_
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -26,64 +27,87 @@ SHARED = (1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 24, 32, 64)
 #: Words that a worker remembers, and their bytes; beyond either it starts anew.
 WORDS, WORD_BYTES = 1 << 19, 1 << 26
 #: Bytes of a text that are split into words at once.
-SECTION = 1 << 20
+SECTION = 1 << 23
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _MARKS, _END = string.punctuation, bytes(4)
+#: Kinds of bytes: white space 0, letters, the rest of ASCII, and what leaves its word uncut.
+_LETTER, _REST, _OPAQUE = 1, 2, 3
+_KINDS = np.array([0 if b in b" \t\n\v\f\r" else _OPAQUE if b > 127 or b == ord("'") else _LETTER if chr(b).isalpha() else _REST for b in range(256)], np.uint8)
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
 
 class Words:
     """Token ids of words as little-endian bytes, remembered. Words end at ASCII white space, across which the tokenizer joins nothing.
 
-    A word of letters between ASCII punctuation is looked up in three parts, where the tokenizer surely cuts as well: beside a letter, and not at
-    an apostrophe or in a special token.
+    A section of texts is cut by array operations and only its different parts are looked up. A word of ASCII and Latin-1 letters, digits and
+    ASCII punctuation is cut wherever letters begin or end, and its ASCII letters are lower-cased: the tokenizer surely does both. Other
+    words, those with an apostrophe or what may be a special token among them, are looked up as they stand.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.known, self.parts, self.size = Tokenizer.from_file(path), {}, {}, 0
+        self.plain = Tokenizer(self.tokenizer.model)  # for lower-case letters between blanks
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(False, use_regex=False)])
         self.ends = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
+        self.stops = np.isin(np.arange(max(self.ends) + 1), [*self.ends])
 
-    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
+    def ids(self, texts: list[str | None] | pa.Array) -> Iterator[bytes]:
         """For each whole text its ids, four bytes each, and the id 0 that ends a document. Long texts are taken up in sections, short ones together."""
-        waiting, size = [], 0
-        for text in texts:
-            parts: list[list[bytes] | bytes] = []
-            waiting.append(parts)
-            data, at = (text or "").encode(), 0
-            while at < len(data):
-                cut = _SPACE.search(data, at + SECTION)
-                end = cut.start() if cut else len(data)
-                parts.append(data[at:end].split())
-                size += end - at
-                at = end
-                if size >= SECTION:
-                    self.settle(waiting)
-                    size = 0
-            if not size:
-                yield from (b"".join([*done, _END]) for done in waiting)
-                waiting = []
-        self.settle(waiting)
-        yield from (b"".join([*done, _END]) for done in waiting)
-
-    def settle(self, waiting: list[list]) -> None:
-        """Lists of words become their ids; only words that are met for the first time take more than a look."""
-        sections = [(parts, k) for parts in waiting for k, words in enumerate(parts) if isinstance(words, list)]
-        found = [list(map(self.known.get, parts[k])) for parts, k in sections]
-        gaps = [[*compress(range(len(ids)), map(is_, ids, repeat(None)))] for ids in found]
-        new = {parts[k][i] for (parts, k), missing in zip(sections, gaps, strict=True) for i in missing}
-        if len(self.known) + len(new) > WORDS or self.size > WORD_BYTES:
+        column = (pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())).fill_null("")
+        _, offsets, values = column.buffers()
+        data = np.frombuffer(values or b"", np.uint8)
+        bounds = np.frombuffer(offsets or bytes(8), np.int64)[column.offset :][: len(column) + 1]
+        row = 0
+        while row < len(column):
+            at, stop = bounds[row], max(row + 1, int(np.searchsorted(bounds, bounds[row] + SECTION, "right")) - 1)
+            if bounds[stop] - at <= SECTION:
+                yield from (ids + _END for ids in self.section(data[at : bounds[stop]], bounds[row:stop] - at))
+            else:
+                yield b"".join([*(self.section(part, np.zeros(1, np.int64))[0] for part in sections(data[at : bounds[stop]])), _END])
+            row = stop
+
+    def section(self, data: np.ndarray, starts: np.ndarray) -> list[bytes]:
+        """The ids of texts that begin at `starts` in their joint UTF-8."""
+        units, letters, first = units_of(data, starts)
+        coded = units.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        plain = np.zeros(len(coded.dictionary), bool)
+        plain[codes] = letters
+        found = self.settle(coded.dictionary.to_pylist(), plain)
+        flat, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        taken = sizes[codes]
+        after = np.concatenate([np.zeros(1, np.int64), np.cumsum(taken)])
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - after[:-1], taken) + np.arange(after[-1])].tobytes()
+        cuts = (4 * after[[*first, len(taken)]]).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def settle(self, units: list[bytes], plain: np.ndarray) -> list[bytes]:
+        """The ids of different units, of which those in `plain` are letters; only units that are met for the first time take more than a look."""
+        found = list(map(self.known.get, units))
+        missing = [*compress(range(len(found)), map(is_, found, repeat(None)))]
+        if len(self.known) + len(missing) > WORDS or self.size > WORD_BYTES:
             self.known, self.parts, self.size = {}, {}, 0
-        self.learn(new)
-        for (parts, k), ids, missing in zip(sections, found, gaps, strict=True):
-            for i in missing:
-                ids[i] = self.known[parts[k][i]]
-            parts[k] = b"".join(ids)
+        isolated = plain[missing].tolist()
+        self.enter([units[i] for i in compress(missing, isolated)])
+        self.learn({units[i] for i, letters in zip(missing, isolated, strict=True) if not letters})
+        for i in missing:
+            found[i] = self.known[units[i]]
+        return found
+
+    def enter(self, letters: list[bytes]) -> None:
+        """Enter units of ASCII and Latin-1 letters, which are one text, since each of them ends with the token that ends a word."""
+        text = b" ".join(letters)
+        ids = np.array(self.plain.encode_batch_fast([text.decode().lower()], add_special_tokens=False)[0].ids, "<u4")
+        flat, stops = ids.tobytes(), (4 * (np.flatnonzero(self.stops[ids]) + 1)).tolist()
+        self.known.update(zip(letters, [flat[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+        self.size += len(text) + len(flat)
 
     def learn(self, words: set[bytes]) -> None:
-        """Enter words that are not known."""
+        """Enter what is not known and not of such letters only."""
         known, made = self.known, self.parts
-        new = [(w, (w.lower().decode(),) if w.isalpha() else self.split(w.decode())) for w in words]
+        new = [(w, self.split(w.decode())) for w in words]
         fresh = {p for _, parts in new for p in parts if p not in made}
         letters = {p for p in fresh if p.lower().isalpha()}
         made.update(self.encoded([*letters], [*(fresh - letters)]))
@@ -111,6 +135,41 @@ class Words:
         return [p for p in (word[:at], core.lower() if core.isascii() else core, word[at + len(core) :]) if p]
 
 
+def sections(data: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in parts that end before white space."""
+    at = 0
+    while at < len(data):
+        cut = _SPACE.search(data, at + SECTION)
+        end = cut.start() if cut else len(data)
+        yield data[at:end]
+        at = end
+
+
+def units_of(data: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """What is looked up, in order, whether it is of letters only, and the number of the first of each text that begins at `starts`."""
+    kind = _KINDS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)  # of U+00C0 to U+00FF, letters all but two
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    cut = np.ones(len(data) + 1, bool)
+    np.not_equal(kind[1:] == 0, kind[:-1] == 0, out=cut[1:-1])
+    cut[starts] = True
+    words = np.flatnonzero(cut)
+    opaque = np.concatenate([np.flatnonzero(kind == _OPAQUE), np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))])
+    whole = np.zeros(len(words) - 1, bool)
+    whole[np.searchsorted(words, opaque, "right") - 1] = True
+    whole = np.repeat(whole, np.diff(words))
+    kind[whole] = _OPAQUE
+    cut[1:-1] |= kind[1:] != kind[:-1]
+    bounds = np.flatnonzero(cut)
+    held = np.flatnonzero(kind[bounds[:-1]])
+    begin = bounds[held]
+    offsets = np.concatenate([np.zeros(1, np.int32), np.cumsum(bounds[held + 1] - begin, dtype=np.int32)])
+    body = np.where(whole, data, _LOWER[data])[kind > 0]
+    units = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+    return units, kind[begin] == _LETTER, np.searchsorted(begin, starts)
+
+
 @lru_cache(1)
 def words_of(path: str) -> Words:
     import os
@@ -126,7 +185,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         words = words_of(tokenizer)
         for batch in batches:
             row, piece, length, crc = [], [], [], []
-            for k, ids in enumerate(words.ids(batch.column(1).to_pylist())):
+            for k, ids in enumerate(words.ids(batch.column(1))):
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     row.append(k)

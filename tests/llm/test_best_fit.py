@@ -66,6 +66,33 @@ def test_words_are_the_tokenizers():
         assert ids == b"".join(i.to_bytes(4, "little") for i in [*tokenizer.encode(text, add_special_tokens=False).ids, 0]), repr(text)
 
 
+def test_words_are_cut_only_where_the_tokenizer_cuts(monkeypatch):
+    import pyarrow as pa
+
+    import tessera.llm.best_fit as b
+
+    rng = random.Random(5)
+    signs = ["aAzZ", "éÉÞß×÷ÿÃ", "'’", "<|>", ["<|endoftext|>", "<|ENDOFTEXT|>"], "\u0338\u0301\u0327", "=<>!-*#", " \t\n\x0b\r", "\x1c\x85\xa0\x00\x7f", "09²½", "漢각ᄀ", "İſΣςœµª", "привет", "sdtre"]
+    texts = ["É,é×é÷É <|ENDOFTEXT|>A =\u0338A A\u0301, ***É***", " ", None]
+    texts += ["".join(rng.choice(rng.choice(signs)) for _ in range(rng.randint(0, 12))) for _ in range(5000)]
+    for section in (b.SECTION, 40):
+        monkeypatch.setattr(b, "SECTION", section)
+        words = b.Words(PATH)
+        got = list(words.ids(pa.array(["before", *texts, "after"]).slice(1, len(texts))))
+        for text, ids in zip(texts, got, strict=True):
+            assert ids == b"".join(i.to_bytes(4, "little") for i in [*words.tokenizer.encode(text or "", add_special_tokens=False).ids, 0]), repr(text)
+
+
+def test_each_part_of_words_is_looked_up_once():
+    from tessera.llm.best_fit import Words
+
+    letters = [a + b + "é" * (b == "x") for a in ("star", "moon", "rain", "wind") for b in "bcdfgx"]
+    marks = ["", ",", ".", "***", "&&&", ".%%%"]
+    words = Words(PATH)
+    assert len(list(words.ids([" ".join(w + m for w in letters) + " " + " ".join(w.upper() + m for w in letters if w.isascii()) for m in marks]))) == len(marks)
+    assert len(words.known) == len(letters) + len(marks) - 1
+
+
 def test_sections_and_forgetting(monkeypatch):
     import tessera.llm.best_fit as b
 
